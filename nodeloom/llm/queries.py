@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import byte_bpe, packing, token_counts
+from nodeloom.llm import byte_bpe, media, packing, pii, token_counts
 from nodeloom.llm._common import read_table
 
 
@@ -27,6 +27,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(docs, _tokenizer("word_bpe_49k.json"), size=4096, separator=1)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,6 +42,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op6_best_fit_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op5_token_counts, op6_best_fit_packing, op8_pii, op9_media_columns, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
