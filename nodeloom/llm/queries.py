@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import byte_bpe, media, packing, pii, token_counts
+from nodeloom.llm import byte_bpe, media, packing, pii, simhash, token_counts
 from nodeloom.llm._common import read_table
 
 
@@ -17,6 +17,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, radius=2)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, _tokenizer("piece_bpe_32k.model"), limit=4096).drop("text")
@@ -42,6 +46,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op6_best_fit_packing, op8_pii, op9_media_columns, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op5_token_counts, op6_best_fit_packing, op8_pii, op9_media_columns, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
