@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import byte_bpe, media, packing, pii, simhash, token_counts
+from nodeloom.llm import byte_bpe, media, packing, pii, simhash, suffix_dedup, token_counts
 from nodeloom.llm._common import read_table
 
 
@@ -31,6 +31,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(docs, _tokenizer("word_bpe_49k.json"), size=4096, separator=1)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -46,6 +50,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op5_token_counts, op6_best_fit_packing, op8_pii, op9_media_columns, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op5_token_counts, op6_best_fit_packing, op7_suffix_dedup, op8_pii, op9_media_columns, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
