@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import byte_bpe, media, packing, pii, simhash, suffix_dedup, token_counts
+from nodeloom.llm import byte_bpe, media, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
 from nodeloom.llm._common import read_table
 
 
@@ -17,10 +17,20 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.toxicity(docs.select("doc_id", "text"), labels.select("doc_id", "toxic")).drop("text")
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality.quality(docs.select("doc_id", "text"), labels.select("doc_id", "quality")).drop("text")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, _tokenizer("piece_bpe_32k.model"), limit=4096).drop("text")
@@ -50,6 +60,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op5_token_counts, op6_best_fit_packing, op7_suffix_dedup, op8_pii, op9_media_columns, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_quality, op5_token_counts, op6_best_fit_packing, op7_suffix_dedup, op8_pii, op9_media_columns, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
