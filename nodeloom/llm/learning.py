@@ -38,10 +38,10 @@ def softplus(x: np.ndarray) -> np.ndarray:
 
 
 class Adam:
-    """Adam steps on a list of arrays, in place."""
+    """Adam steps on a list of arrays, in place; the rate falls to zero over ``steps``."""
 
-    def __init__(self, params: list[np.ndarray], rate: float):
-        self.params, self.rate, self.t = params, rate, 0
+    def __init__(self, params: list[np.ndarray], rate: float, steps: int):
+        self.params, self.rate, self.steps, self.t = params, rate, steps, 0
         self.m = [np.zeros_like(p) for p in params]
         self.v = [np.zeros_like(p) for p in params]
 
@@ -50,4 +50,4 @@ class Adam:
         for p, g, m, v in zip(self.params, grads, self.m, self.v, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+            p -= self.rate * max(0, 1 - (self.t - 1) / self.steps) * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)

@@ -3,8 +3,9 @@
 Random indexing: every token has a fixed sparse vector of signs drawn from a hash of it; the vector
 of a frequent token is the sum of those of its neighbours, over all places where it stands in the
 sample. Tokens too rare for a vector use that of their shape (capitals, lower case, digits, signs).
-A document is the mean of its tokens' unit vectors with the logarithm of its length; a network with
-one hidden layer, in numpy, gives a logit, and a temperature fitted on rows that the network has not
+A document is the mean of its tokens' unit vectors with four numbers on its tokens: how many, how
+many different, how often one follows itself, the share of the commonest. A network with one hidden
+layer, in numpy, gives a logit, and a temperature fitted on rows that the network has not
 seen makes its sigmoid a probability.
 
 At most ``sample`` labelled rows are fitted on, chosen by a hash of their id; every text is scored
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import lru_cache
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from nodeloom.llm.learning import Adam, first_rows, labelled, sigmoid, softplus,
 
 SAMPLE = 8_000
 DIMENSIONS, SIGNS, WINDOW = 64, 6, 2
+INPUTS = DIMENSIONS + 4
 VOCABULARY, LEAST = 30_000, 8
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 3e-3, 1e-4
 
@@ -48,28 +50,39 @@ def shape(token: str) -> str:
     return " 9" if token[0].isdigit() else f" {token[0]}{len(token) > 1}"
 
 
-@lru_cache(maxsize=1 << 16)
-def sign_vector(token: str) -> np.ndarray:
-    """The token's fixed vector: a few signs at places drawn from its hash."""
+def sign_vectors(tokens: list[str]) -> np.ndarray:
+    """The tokens' fixed vectors: a few signs at places, all read from a hash of the token."""
     from xxhash import xxh64_intdigest
 
-    random = np.random.default_rng(xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 7))
-    vector = np.zeros(DIMENSIONS, np.float32)
-    vector[random.choice(DIMENSIONS, SIGNS, replace=False)] = random.choice((-1, 1), SIGNS)
-    return vector
+    hashes = np.array([xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 7) for t in tokens], np.uint64)
+    vectors = np.zeros((len(tokens), DIMENSIONS), np.float32)
+    for k in range(SIGNS):
+        bits = hashes >> np.uint64(10 * k)
+        np.add.at(vectors, (np.arange(len(tokens)), (bits >> np.uint64(1)).astype(np.int64) % DIMENSIONS), 1 - 2 * (bits & np.uint64(1)).astype(np.float32))
+    return vectors
 
 
 def context_sums(texts) -> dict[str, tuple[int, np.ndarray]]:
     """Token, and shape, to (occurrences, sum of its neighbours' vectors), over whole texts."""
     index: dict[str, int] = {}
-    vectors: list[np.ndarray] = []
-    counts, sums = np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32)
+    kind_of: list[int] = []  # the index of the shape of each token
+    vectors, sums = np.zeros((1024, DIMENSIONS), np.float32), np.zeros((1024, DIMENSIONS), np.float32)
+    counts = np.zeros(1024, np.int64)
+
+    def enter(tokens: list[str]) -> None:
+        nonlocal vectors, sums, counts
+        fresh = [t for t in dict.fromkeys(tokens) if t not in index]
+        kinds = {shape(t) for t in fresh}.difference(index)
+        for t in (*sorted(kinds), *fresh):
+            index[t] = len(index)
+        kind_of.extend([-1] * len(kinds))
+        kind_of.extend(index[shape(t)] for t in fresh)
+        while len(index) > len(counts):
+            counts = np.concatenate((counts, np.zeros_like(counts)))
+            vectors, sums = (np.concatenate((x, np.zeros_like(x))) for x in (vectors, sums))
+        vectors[len(index) - len(fresh) : len(index)] = sign_vectors(fresh)
 
     def add(ids: np.ndarray, around: np.ndarray) -> None:
-        nonlocal counts, sums
-        grow = len(index) - len(counts)
-        if grow:
-            counts, sums = np.append(counts, np.zeros(grow, np.int64)), np.concatenate((sums, np.zeros((grow, DIMENSIONS), np.float32)))
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
         counts[ids[order][first]] += np.diff(np.append(first, len(ids)))
@@ -80,23 +93,17 @@ def context_sums(texts) -> dict[str, tuple[int, np.ndarray]]:
         for i in range(0, len(tokens), _BLOCK):
             low = max(0, i - WINDOW)
             part = tokens[low : i + _BLOCK + WINDOW]
-            for token in part:
-                if token not in index:
-                    index[token] = len(index)
-                    vectors.append(sign_vector(token))
-                    if (kind := shape(token)) not in index:
-                        index[kind] = len(index)
-                        vectors.append(np.zeros(DIMENSIONS, np.float32))
+            enter(part)
             ids = np.array([index[t] for t in part])
-            own = np.array([vectors[k] for k in ids.tolist()])
+            own = vectors[ids]
             around = np.zeros_like(own)
             for d in range(1, WINDOW + 1):
                 around[d:] += own[:-d]
                 around[:-d] += own[d:]
             inner = slice(i - low, i - low + min(_BLOCK, len(tokens) - i))
             add(ids[inner], around[inner])
-            add(np.array([index[shape(t)] for t in part[inner]]), around[inner])
-    return {t: (int(counts[k]), sums[k]) for t, k in index.items() if k < len(counts) and counts[k]}
+            add(np.array(kind_of)[ids[inner]] if len(part) > 10_000 else np.array([kind_of[k] for k in ids[inner].tolist()]), around[inner])
+    return {t: (int(counts[k]), sums[k]) for t, k in index.items() if counts[k]}
 
 
 def fit_vectors(sample: DataFrame) -> dict[str, np.ndarray]:
@@ -131,23 +138,25 @@ def fit_vectors(sample: DataFrame) -> dict[str, np.ndarray]:
 
 
 class Pooler:
-    """Documents to mean token vectors."""
+    """Documents to mean token vectors, and how many, how varied and how repetitive the tokens are."""
 
     def __init__(self, vectors: dict[str, np.ndarray]):
         self.index = {t: k for k, t in enumerate(vectors)}
         self.matrix = np.array([*vectors.values(), np.zeros(DIMENSIONS)], np.float32)
 
     def __call__(self, text: str) -> np.ndarray:
-        counts = Counter(_TOKENS(text))
-        total = sum(counts.values())
+        tokens = _TOKENS(text)
+        counts, total = Counter(tokens), len(tokens)
         ids = list(map(self.index.get, counts))
         if None in ids:
             none = len(self.index)
             ids = [self.index.get(shape(t), none) if k is None else k for k, t in zip(ids, counts, strict=True)]
-        pooled = np.zeros(DIMENSIONS + 1, np.float32)
+        pooled = np.zeros(INPUTS, np.float32)
         if total:
-            pooled[:-1] = np.fromiter(counts.values(), np.float32, len(ids)) @ self.matrix[ids] / total
-        pooled[-1] = np.log1p(total) / 10
+            often = np.fromiter(counts.values(), np.float32, len(ids))
+            pooled[:DIMENSIONS] = often @ self.matrix[ids] / total
+            same = sum(map(eq, tokens, tokens[1:]))
+            pooled[DIMENSIONS:] = np.log1p(total) / 10, np.log1p(len(ids)) / 10, same / total, often.max() / total
         return pooled
 
 
@@ -163,7 +172,7 @@ class Network:
         z, t = self.standard(x[~held]), y[~held]
         self.a, self.b = random.normal(0, np.sqrt(2 / z.shape[1]), (z.shape[1], HIDDEN)), np.zeros(HIDDEN)
         self.c, self.d = random.normal(0, np.sqrt(1 / HIDDEN), HIDDEN), np.array([np.log((t.mean() + 1e-3) / (1 - t.mean() + 1e-3))])
-        adam = Adam([self.a, self.b, self.c, self.d], RATE)
+        adam = Adam([self.a, self.b, self.c, self.d], RATE, EPOCHS * -(-len(z) // BATCH))
         for _ in range(EPOCHS):
             order = random.permutation(len(z))
             for i in range(0, len(z), BATCH):
@@ -211,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     order = F.xxhash64(F.col("__id").cast("string"))
     pooled = rows.select("__id", "label", "__text").mapInArrow(pool, f"__id {dict(rows.dtypes)['__id']}, label int, x binary").orderBy(order, "__id").collect()
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in pooled], float).reshape(-1, DIMENSIONS + 1)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in pooled], float).reshape(-1, INPUTS)
     y = np.array([r["label"] for r in pooled], float)
     return pooler, Network(x, y) if len(set(y.tolist())) == 2 else Constant(y)
 
@@ -232,7 +241,7 @@ def quality(
         pooler, scorer = model.value
 
         def columns(texts):
-            scores = scorer(np.array([pooler(t) for t in texts], float).reshape(-1, DIMENSIONS + 1)) if texts else np.zeros(0)
+            scores = scorer(np.array([pooler(t) for t in texts], float).reshape(-1, INPUTS)) if texts else np.zeros(0)
             return [scores, (scores >= threshold).astype(np.int32)]
 
         return columns

@@ -35,8 +35,8 @@ from nodeloom.llm.learning import Adam, first_rows, labelled, sigmoid, softplus,
 #: Labelled rows that the classifiers are fitted on, at most.
 POSITIVES, UNLABELLED = 4_000, 8_000
 #: Features kept, the smallest number of sampled texts that must have one, and letters of a word's start.
-FEATURES, LEAST, START = 20_000, 3, 4
-MEMBERS, STEPS, BATCH, RATE, DECAY = 3, 400, 1_024, 0.05, 2e-3
+FEATURES, LEAST, START = 8_000, 4, 4
+MEMBERS, STEPS, BATCH, RATE, DECAY = 3, 400, 1_024, 0.05, 5e-4
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -80,7 +80,7 @@ def fit_member(x: Sparse, positive: np.ndarray, unlabelled: np.ndarray, prior: f
     """Weights and bias of one classifier."""
     random = np.random.default_rng(seed)
     weights, bias = np.zeros(n_features), np.array([np.log(prior / (1 - prior))])
-    adam = Adam([weights, bias], RATE)
+    adam = Adam([weights, bias], RATE, steps)
     for _ in range(steps):
         p = random.choice(positive, min(len(positive), BATCH), replace=False)
         u = random.choice(unlabelled, min(len(unlabelled), BATCH), replace=False)
