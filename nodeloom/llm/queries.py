@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import byte_bpe, media, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
+from nodeloom.llm import byte_bpe, embedding_dedup, media, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
 from nodeloom.llm._common import read_table
 
 
@@ -31,6 +31,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs.select("doc_id", "text"), labels.select("doc_id", "quality")).drop("text")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, _tokenizer("piece_bpe_32k.model"), limit=4096).drop("text")
@@ -60,6 +64,28 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_quality, op5_token_counts, op6_best_fit_packing, op7_suffix_dedup, op8_pii, op9_media_columns, op10_byte_bpe)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_quality, op4_embedding_dedup, op5_token_counts, op6_best_fit_packing, op7_suffix_dedup, op8_pii, op9_media_columns, op10_byte_bpe)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+              AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+        ), links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach AS (
+            SELECT vec_id AS x, vec_id AS y FROM embeddings
+            UNION
+            SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+        ), component AS (
+            SELECT x, min(y) AS component_id FROM reach GROUP BY x
+        ), counted AS (
+            SELECT x, count(*) AS n FROM links GROUP BY x
+        )
+        SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM embeddings e JOIN component c ON c.x = e.vec_id LEFT JOIN counted k ON k.x = e.vec_id
+    """,
+}
