@@ -135,7 +135,11 @@ class Labels:
             self.of = to[self.of]
 
 
-def link_small(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, labels: Labels, radius: int) -> None:
+def every_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.ones(len(a), bool)
+
+
+def link_small(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, labels: Labels, radius: int, accept=every_pair) -> None:
     """Links within many groups at once: all distances of items d apart, for each d."""
     end = np.repeat(starts + sizes, sizes)
     place = np.repeat(starts, sizes) + np.arange(len(end)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -145,11 +149,12 @@ def link_small(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, labels
             first = place[i : i + (1 << 18)]
             differ = planes(values[first] ^ values[first + d])
             (hit,) = bit_positions(within(differ.__getitem__, differ.shape[1:], radius))
-            hit = hit[hit < len(first)]
-            labels.join(first[hit], first[hit] + d)
+            a = first[hit[hit < len(first)]]
+            a = a[accept(a, a + d)]
+            labels.join(a, a + d)
 
 
-def link_large(values: np.ndarray, start: int, size: int, labels: Labels, radius: int) -> None:
+def link_large(values: np.ndarray, start: int, size: int, labels: Labels, radius: int, accept=every_pair) -> None:
     """Links within one group: blocks of queries against vertical planes of the items from there on."""
     group = values[start : start + size]
     for i in range(0, size, QUERIES):
@@ -159,22 +164,29 @@ def link_large(values: np.ndarray, start: int, size: int, labels: Labels, radius
             signs = np.uint64(0) - ((queries[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1))
             mask = within(lambda j: stored_planes[j][None, :] ^ signs[j][:, None], (len(queries), stored_planes.shape[1]), radius)
             a, b = bit_positions(mask)
-            real = k + b < size
-            labels.join(start + i + a[real], start + k + b[real])
+            real = (k + b < size) & (k + b > i + a)
+            a, b = start + i + a[real], start + k + b[real]
+            for j in range(0, len(a), 1 << 17):
+                x, y = a[j : j + (1 << 17)], b[j : j + (1 << 17)]
+                good = accept(x, y)
+                labels.join(x[good], y[good])
+
 
+def forest(values: np.ndarray, group: np.ndarray, radius: int, accept=every_pair) -> tuple[np.ndarray, np.ndarray]:
+    """Places (item, root) that connect the items of each group as their distances do; rows sorted by group.
 
-def forest(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (item, root) that connect the items of each group as their distances do; rows sorted by group."""
+    Of the pairs within the radius those count that ``accept`` takes, given their places.
+    """
     cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.empty(0, int)
     sizes = np.diff(np.append(cuts, len(group)))
     labels = Labels(len(values))
     few = (sizes > 1) & (sizes <= SMALL)
     if few.any():
-        link_small(values, cuts[few], sizes[few], labels, radius)
+        link_small(values, cuts[few], sizes[few], labels, radius, accept)
     for start, size in zip(cuts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        link_large(values, start, size, labels, radius)
+        link_large(values, start, size, labels, radius, accept)
     linked = np.flatnonzero(labels.of != np.arange(len(values)))
-    return values[linked], values[labels.of[linked]]
+    return linked, labels.of[linked]
 
 
 def _bands(bits: int, n: int) -> list[tuple[int, int]]:
@@ -209,6 +221,36 @@ def keys(value: Column, bits: int, radius: int) -> Column:
     )
 
 
+def whole_groups(batches, width: int, rows: int = 1 << 18):
+    """(table, group number of each row) of many whole groups at a time, from batches sorted by their first ``width`` columns."""
+
+    def changes(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        for i in range(width):
+            c = table.column(i).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return new
+
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            new = changes(table)
+            cut = np.flatnonzero(new)
+            if len(cut):
+                yield table.slice(0, cut[-1]).combine_chunks(), np.cumsum(new[: cut[-1]])
+                table = table.slice(cut[-1])
+            held, n = table.to_batches(), table.num_rows
+    if n:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.cumsum(changes(table))
+
+
 def near_links(distinct: DataFrame, radius: int = 2, split: int = SPLIT) -> DataFrame:
     """Links (a, b) that connect the distinct 64-bit values of column ``fingerprint`` as all pairs within the radius do."""
     bits_left = 64 - min(a + b for (_, a), (_, b) in combinations(_bands(64, radius + 2), 2))
@@ -220,39 +262,10 @@ def near_links(distinct: DataFrame, radius: int = 2, split: int = SPLIT) -> Data
     ordered = groups.repartition("which", "key", "sub", "subkey").sortWithinPartitions("which", "key", "sub", "subkey", "fingerprint")
 
     def compare(batches):
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def emit(table: pa.Table):
-            columns = [table.column(i).to_numpy() for i in range(4)]
-            new = np.zeros(table.num_rows, np.int64)
-            for c in columns:
-                new[1:] |= c[1:] != c[:-1]
-            a, b = forest(table.column(4).to_numpy().view(np.uint64), np.cumsum(new), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        def last_group(table: pa.Table) -> int:
-            """Where the last group of the sorted rows starts."""
-            at = 0
-            for i in range(4):
-                c = table.column(i).to_numpy()
-                differs = np.flatnonzero(c != c[-1])
-                at = max(at, int(differs[-1]) + 1 if len(differs) else 0)
-            return at
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 1 << 18:
-                table = pa.Table.from_batches(held).combine_chunks()
-                at = last_group(table)
-                if at:
-                    yield emit(table.slice(0, at))
-                held, rows = table.slice(at).to_batches(), table.num_rows - at
-        if rows:
-            yield emit(pa.Table.from_batches(held).combine_chunks())
+        for table, group in whole_groups(batches, 4):
+            values = table.column(4).to_numpy()
+            a, b = forest(values.view(np.uint64), group, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(values[a]), pa.array(values[b])], names=["a", "b"])
 
     return ordered.mapInArrow(compare, "a long, b long")
 

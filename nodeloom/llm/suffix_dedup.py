@@ -294,7 +294,10 @@ def repeated_runs(docs: DataFrame, text: str = "__text", length: int = LENGTH, w
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, width: int = WIDTH, hot: int = HOT, with_kept: bool = False) -> DataFrame:
-    """``df`` without its text column, with n_bytes, n_removed, n_spans and kept_sha256; ``with_kept`` adds the bytes left as ``kept``."""
+    """``df`` without its text column, with n_bytes, n_removed, n_spans and kept_sha256.
+
+    ``with_kept`` adds ``kept``, the text left; of a character cut apart no byte is left.
+    """
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     keep = [c for c in without(df, new) if c != text_col]
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
@@ -304,7 +307,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     lists = runs.groupBy("tid", "size").agg(F.collect_set(F.struct("first", "last")).alias("found"))
     joined = docs.join(lists, ["tid", "size"], "left").select("__row", "__text", F.col("found.first").alias("first"), F.col("found.last").alias("last"))
     numbers = [T.StructField(n, T.LongType()) for n in new[:3]]
-    schema = T.StructType([docs.schema["__row"], *numbers, T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.BinaryType())] * with_kept])
+    schema = T.StructType([docs.schema["__row"], *numbers, T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.StringType())] * with_kept])
 
     def cut(batches):
         for batch in batches:
@@ -318,9 +321,9 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
                     removed, spans = int((ends - starts).sum()), len(starts)
                     edges = [0, *np.stack((starts, ends), 1).reshape(-1).tolist(), len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept)[: 4 + with_kept])
+                rows.append((len(data), removed, spans, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * with_kept))
             columns = list(zip(*rows, strict=True)) or [[]] * (4 + with_kept)
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], names=schema.names)
 
     out = joined.mapInArrow(cut, schema)
