@@ -25,56 +25,73 @@ from pyspark.sql import types as T
 
 from nodeloom.llm._common import append_columns
 
-#: Pre-tokens of a worker's cache before it is emptied; longer ones are not kept.
+#: Pre-tokens of a worker's cache beyond which it is emptied before the next block; long ones are not kept.
 CACHED, LONGEST_KEPT = 800_000, 64
 #: Characters of a block of documents whose new pre-tokens are replayed together.
-BLOCK = 8_000_000
+BLOCK = 32_000_000
 NONE = np.int32(2**31 - 1)
 
 
 class Merges:
-    """The ranks of a file as tables: id to bytes, byte to id, and pair of ids to the id of both."""
+    """Merge rules as a table: a pair of ids to its rank, and a rank to the id of both."""
+
+    def __init__(self, rules: dict[tuple[int, int], int], made: np.ndarray):
+        self.width = 1 + max((max(p) for p in rules), default=0)
+        self.width = max(self.width, len(made) + 1)
+        keys = np.array([a * self.width + b for a, b in rules], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], np.array(list(rules.values()), np.int32)[order]
+        self.made = made  # the id that a merge of this rank gives
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or NONE."""
+        key = a.astype(np.int64) * self.width + b
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+
+
+class ByteRanks(Merges):
+    """The ranks of a file: a pair merges if its bytes have a rank, which is the id as well."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.ranks = ranks
+        self.ranks_of = ranks
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.first = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.width = len(self.bytes_of)
-        table = {ranks[t[:i]] * self.width + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.keys = np.array(sorted(table), np.int64)
-        self.to = np.array([table[k] for k in self.keys.tolist()], np.int32)
+        rules = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        super().__init__(rules, np.arange(len(self.bytes_of), dtype=np.int32))
 
-    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The id that each pair merges into, or NONE."""
-        key = a.astype(np.int64) * self.width + b
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.to[at], NONE)
+    def start(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all bytes of all words, number of bytes of each word)"""
+        return self.first[np.frombuffer(b"".join(words), np.uint8)], np.array([len(w) for w in words], np.int64)
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Merges:
-    return Merges(path)
+def load(path: str) -> ByteRanks:
+    return ByteRanks(path)
+
 
+def replay(ids: np.ndarray, lengths: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words, by applying all merges in rank order to all words together.
 
-def replay(words: list[bytes], merges: Merges) -> list[np.ndarray]:
-    """The ids of every word, by applying all merges in rank order to all words together."""
-    if not words:
-        return []
-    lengths = np.array([len(w) for w in words], np.int64)
+    ``ids`` are the words' first ids end to end, ``lengths`` how many each word has. Returns the
+    new ids end to end and where each word starts, with the end of the last.
+    """
+    if not len(ids):
+        return ids, np.zeros(len(lengths) + 1, np.int64)
+    ids = ids.copy()
     ends = np.cumsum(lengths)
-    ids = merges.first[np.frombuffer(b"".join(words), np.uint8)]
     n = len(ids)
     after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
     after[ends[lengths > 0] - 1] = -1
     starts = (ends - lengths)[lengths > 0]
     before[starts] = -1
     alive = np.ones(n, bool)
-    made = np.full(n, NONE, np.int32)  # what the pair that starts here merges into
+    ranked = np.full(n, NONE, np.int32)  # the rank of the pair that starts here
     index: dict[int, list[np.ndarray]] = {}
     waiting: list[int] = []
 
@@ -82,7 +99,7 @@ def replay(words: list[bytes], merges: Merges) -> list[np.ndarray]:
         """Looks the pairs that start at these places up and enters them into the index."""
         places = places[after[places] >= 0]
         found = merges.pair(ids[places], ids[after[places]])
-        made[places] = found
+        ranked[places] = found
         places, found = places[found != NONE], found[found != NONE]
         order = np.argsort(found, kind="stable")
         places, found = places[order], found[order]
@@ -99,7 +116,7 @@ def replay(words: list[bytes], merges: Merges) -> list[np.ndarray]:
         rank = heapq.heappop(waiting)
         parts = index.pop(rank)
         places = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-        places = places[alive[places] & (made[places] == rank)]
+        places = places[alive[places] & (ranked[places] == rank)]
         if not len(places):
             continue
         if len(places) > 1:
@@ -109,31 +126,42 @@ def replay(words: list[bytes], merges: Merges) -> list[np.ndarray]:
                 since = np.arange(len(places)) - np.maximum.accumulate(np.where(run_start, np.arange(len(places)), 0))
                 places = places[since % 2 == 0]
         gone = after[places]
-        ids[places] = rank
+        ids[places] = merges.made[rank]
         alive[gone] = False
         following = after[gone]
         after[places] = following
         inner = following >= 0
         before[following[inner]] = places[inner]
-        made[places] = NONE
+        ranked[places] = NONE
         left = before[places]
         left = left[left >= 0]
-        made[left] = NONE
+        ranked[left] = NONE
         enter(np.unique(np.concatenate((left, places))))
-    kept = np.cumsum(alive)
     flat = ids[alive]
-    bounds = np.concatenate(([0], kept[ends - 1] if n else ends))
-    bounds[1:][lengths == 0] = 0
-    bounds = np.maximum.accumulate(bounds)
-    return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return flat, np.concatenate(([0], np.cumsum(alive)))[np.concatenate(([0], ends))]
 
 
 class Words(dict):
-    """Pre-token to its ids as little-endian unsigned 32-bit integers, up to a number of entries."""
+    """Pre-token to its ids as little-endian unsigned 32-bit integers.
 
-    def learn(self, words: list[str], merges: Merges) -> None:
-        for word, ids in zip(words, replay([w.encode() for w in words], merges), strict=True):
-            self[word] = ids.astype("<u4").tobytes()
+    An unknown pre-token is noted and stands for itself until it is learnt, so that each place in a
+    text costs one look-up.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> str:
+        self.new.append(word)
+        self[word] = word
+        return word
+
+    def learn(self, words: list[str], merges) -> None:
+        flat, bounds = replay(*merges.start([w.encode() for w in words]), merges)
+        data = flat.astype("<u4").tobytes()
+        at = (4 * bounds).tolist()
+        self.update(zip(words, [data[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
 
 
 @lru_cache(maxsize=1)
@@ -142,8 +170,22 @@ def worker_words(path: str) -> Words:
     return Words()
 
 
+def foreign(pattern: str):
+    """A test for characters that match ``pattern``; for texts of the first 256 characters without regular expressions."""
+    search = re.compile(pattern).search
+    fine = bytes(i for i in range(256) if not search(chr(i)))
+
+    def test(text: str) -> bool:
+        try:
+            return bool(text.encode("latin-1").translate(None, fine))
+        except UnicodeEncodeError:
+            return bool(search(text))
+
+    return test
+
+
 #: Any character but ASCII print, white space and the Latin blocks.
-_NOT_LATIN = re.compile(r"[^\t-\r -~\x85\xa0-\u024f]")
+_NOT_LATIN = foreign(r"[^\t-\r -~\x85\xa0-\u024f]")
 
 
 @lru_cache(maxsize=2)
@@ -157,12 +199,12 @@ def splitter(pattern: str):
     space, letter, number = r"\t-\r \x85\xa0", letters("L"), letters("N")
     plain = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]")
     for name, chars in ((r"\p{L}", letter), (r"\p{N}", number), (r"\s", space)):
-        plain = plain.replace(name, f"[{chars}]")
+        plain = plain.replace(f"[{name}]", f"[{chars}]").replace(name, f"[{chars}]")
     plain = plain.replace(r"\S", f"[^{space}]")
     slow = regex.compile(pattern).findall
     if r"\p" in plain:
         return slow
-    fast, odd = re.compile(plain).findall, _NOT_LATIN.search
+    fast, odd = re.compile(plain).findall, _NOT_LATIN
     return lambda text: slow(text) if odd(text) else fast(text)
 
 
@@ -170,28 +212,47 @@ def encode(texts: list[str], path: str, pattern: str, words: Words | None = None
     """The ids of every text as little-endian unsigned 32-bit integers."""
     merges, split = load(path), splitter(pattern)
     words = worker_words(path) if words is None else words
+    return encode_blocks(texts, split, words, lambda new: words.learn(new, merges))
+
+
+def encode_blocks(texts: list[str], split, words: Words, learn) -> list[bytes]:
+    """Joins what ``words`` holds for the parts of every text; ``learn`` fills in the parts that a block of texts brings."""
     out: list[bytes] = []
-    start = 0
-    while start < len(texts):
-        stop, size = start, 0
-        while stop < len(texts) and (size == 0 or size + len(texts[stop]) <= BLOCK):
-            size += max(1, len(texts[stop]))
-            stop += 1
-        block = [split(t) for t in texts[start:stop]]
-        needed = set().union(*block)
-        missing = needed.difference(words)
-        if len(words) + len(missing) > CACHED:
+    for block in blocks(texts):
+        if len(words) > CACHED:
             words.clear()
-            missing = needed
-        words.learn(sorted(missing), merges)
-        out += [b"".join(map(words.__getitem__, found)) for found in block]
-        for word in missing:
-            if len(word) > LONGEST_KEPT:
-                del words[word]
-        start = stop
+        try:
+            found = [list(map(words.__getitem__, split(t))) for t in block]
+            new, words.new = words.new, []
+            learn(new)
+            for parts in found:
+                try:
+                    out.append(b"".join(parts))
+                except TypeError:  # some were new
+                    out.append(b"".join([x if type(x) is bytes else words[x] for x in parts]))
+            for word in new:
+                if len(word) > LONGEST_KEPT:
+                    del words[word]
+        except BaseException:
+            words.new = []
+            words.clear()
+            raise
     return out
 
 
+def blocks(texts: list[str], size: int = BLOCK):
+    """The texts in order, in lists of about ``size`` characters."""
+    block, held = [], 0
+    for text in texts:
+        block.append(text)
+        held += len(text) + 1
+        if held >= size:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
 def decode(ids: bytes, path: str) -> bytes:
     """The bytes that the ids stand for."""
     return b"".join(map(load(path).bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -11,9 +11,10 @@ then find their place by their rank among the pieces of their length. Ranks come
 that numbers the pieces of each length within a task, plus the counts of the tasks before; nothing
 is sorted, no length class ever meets in one task, and the driver sees the histogram only.
 
-Tokens: ids are looked up by white-space separated chunk in a cache that each worker fills from
-the tokenizer, since no pre-token of it spans white space; texts with characters for which this is
-not known to be exact go to the tokenizer whole.
+Tokens: no pre-token spans white space, so ids are looked up by white-space separated chunk in a
+cache that each worker fills by replaying the tokenizer's merges over all new pre-tokens at once
+(see ``byte_bpe``); texts with characters for which this is not known to be exact, and tokenizers
+of another kind, go through the tokenizer itself.
 
 Defined cases: null and empty texts are documents of one token, the separator; repeated rows and
 equal doc_ids are packed each on their own; an empty table packs into nothing.
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
@@ -36,19 +36,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nodeloom.llm._common import quoted, stored
+from nodeloom.llm.byte_bpe import CACHED, Merges, Words, encode_blocks, foreign, splitter
 
 SIZE, SEPARATOR = 4096, 1
-#: Entries of a worker's cache of chunks before it is emptied; longer chunks are not kept.
-CACHED, LONGEST_KEPT = 800_000, 64
+#: Anything but ASCII print, white space and those letters and signs of the Latin blocks that are in
+#: NFC as they are and lower-cased alone: such texts go to the tokenizer whole.
+_ODD = foreign(r"[^\t-\r -~¡-ĩĬ-ńŊ-ɏ]|ſ")
 
-#: Letters and digits of the Latin blocks, white space and ASCII print: in NFC as they are, lower-cased
-#: character by character, and split alike by every regular expression engine.
-_PLAIN = re.compile(r"[^\t-\r -~¡-ĩĬ-ńŊ-ɏ]|ſ")
+
+class WordMerges(Merges):
+    """The merges of a tokenizer whose words end in a suffix, and whose pre-tokens never span white space."""
+
+    def __init__(self, spec: dict):
+        model = spec["model"]
+        vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        rules = {(vocabulary[a], vocabulary[b]): rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        super().__init__(rules, np.array([vocabulary[a + b] for a, b in pairs], np.int32))
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the other bytes are written as 256 and up, in order
+        sign = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+        self.inner = np.array([vocabulary[sign[b]] for b in range(256)], np.int32)
+        self.final = np.array([vocabulary[sign[b] + suffix] for b in range(256)], np.int32)
+
+    def start(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(first ids of all words, number of bytes of each word); no word is empty."""
+        data, lengths = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64)
+        ids, last = self.inner[data], np.cumsum(lengths) - 1
+        ids[last] = self.final[data[last]]
+        return ids, lengths
+
+
+#: The pre-tokens of ``word_bpe`` files, for the Latin blocks.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 @lru_cache(maxsize=4)
 def load(path: str):
-    """The tokenizer, and whether it is one whose pre-tokens never span white space."""
+    """(tokenizer, its merges if they can be replayed chunk by chunk, strings of special tokens)"""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
     from tokenizers import Tokenizer
 
@@ -56,56 +80,49 @@ def load(path: str):
     tokenizer.no_truncation()
     tokenizer.no_padding()
     spec = json.loads(tokenizer.to_str())
-    split = next((p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"), {})
-    drops_space = split.get("behavior") == "Removed" and split.get("invert") and r"[^\s\p{L}\p{N}]+" in split["pattern"]["Regex"] and " ?" not in split["pattern"]["Regex"]
-    kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-    specials = [t["content"] for t in spec.get("added_tokens", [])]
-    return tokenizer, bool(drops_space) and set(kinds) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in kinds, specials
-
+    model, steps = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    known = (
+        model["type"] == "BPE"
+        and model.get("end_of_word_suffix")
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        and [p["type"] for p in steps] == ["Split", "ByteLevel"]
+        and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": _SPLIT}, "Removed", True)
+        and not (steps[1]["add_prefix_space"] or steps[1]["use_regex"])
+    )
+    return tokenizer, WordMerges(spec) if known else None, [t["content"].lower() for t in spec.get("added_tokens", [])]
+
+
+class Chunks(Words):
+    """Lower-case chunk without white space to its ids as little-endian unsigned 32-bit integers."""
 
-@lru_cache(maxsize=1)
-def worker_chunks(path: str) -> Chunks:
-    """The cache of this Python worker; it outlives a task."""
-    return Chunks(load(path)[0])
+    def __init__(self):
+        super().__init__()
+        self.parts = Words()  # the same for the pre-tokens that chunks consist of
 
+    def learn(self, words: list[str], merges: WordMerges) -> None:
+        if len(self.parts) > CACHED:
+            self.parts.clear()
+        known = self.parts
+        found = [self.split(c) for c in words]
+        known.learn(list({p for parts in found for p in parts if p not in known}), merges)
+        self.update(zip(words, [known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for p in found], strict=True))
 
-class Chunks(dict):
-    """Lower-case chunk without white space to its ids as little-endian unsigned 32-bit integers."""
+    split = staticmethod(splitter(_SPLIT))
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
 
-    def learn(self, words: list[str]) -> None:
-        if len(self) + len(words) > CACHED:
-            self.clear()
-        for word, found in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, "<u4").tobytes()
+@lru_cache(maxsize=1)
+def worker_chunks(path: str) -> Chunks:
+    """The cache of this Python worker; it outlives a task."""
+    return Chunks()
 
 
-def token_bytes(texts: list[str], path: str, chunks: Chunks | None) -> list[bytes]:
+def token_bytes(texts: list[str], path: str, chunks: Chunks) -> list[bytes]:
     """The ids of every text, as ``tokenizers`` gives them without special tokens."""
-    tokenizer, by_chunk, specials = load(path)
-    whole = [not by_chunk or chunks is None or bool(_PLAIN.search(t)) or any(s in t.lower() for s in specials) for t in texts]
-    out: list[bytes] = [b""] * len(texts)
-    if any(whole):
-        at = [i for i, w in enumerate(whole) if w]
-        for i in at:
-            out[i] = np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-    for i in range(0, len(texts), 256):
-        split = [(j, texts[j].lower().split()) for j in range(i, min(i + 256, len(texts))) if not whole[j]]
-        missing = set().union(*(w for _, w in split)).difference(chunks or ()) if split else ()
-        if missing:
-            kept = sorted(missing)
-            if len(chunks) + len(kept) > CACHED:  # emptied: everything this block needs is learnt anew
-                chunks.clear()
-                kept = sorted(set().union(*(w for _, w in split)))
-            chunks.learn(kept)
-        for j, words in split:
-            out[j] = b"".join(map(chunks.__getitem__, words))
-        for word in [w for w in missing if len(w) > LONGEST_KEPT]:
-            del chunks[word]
-    return out
+    tokenizer, merges, specials = load(path)
+    plain = [merges is not None and not _ODD(t) and not any((s[0].isalpha() or s[0] in t) and s in t.lower() for s in specials) for t in texts]
+    found = iter(encode_blocks([t for t, p in zip(texts, plain, strict=True) if p], lambda t: t.lower().split(), chunks, lambda new: chunks.learn(new, merges)))
+    return [next(found) if p else np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, p in zip(texts, plain, strict=True)]
 
 
 PIECES = T.StructType(
