@@ -132,7 +132,12 @@ def bundle_aggregate(nodes: DataFrame, how="mean", metrics: Sequence[str] | None
             out = out.unionByName(p)
         return out
     if callable(how):
-        column = F.pandas_udf(lambda s: float(how(s.dropna())) if s.notna().any() else float("nan"), "double", F.PandasUDFType.GROUPED_AGG)(F.col("value"))
+
+        @F.pandas_udf("double")
+        def run(s: pd.Series) -> float:
+            return float(how(s.dropna())) if s.notna().any() else float("nan")
+
+        column = run(F.col("value"))
         return long.groupBy(*SERIES).agg(column.alias("value")).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     return long.groupBy(*SERIES).agg(AGGREGATES[how]("value").cast("double").alias("value"))
 
