@@ -273,8 +273,9 @@ def repeated_runs(docs: DataFrame, text: str = "__text", length: int = LENGTH, w
     surveyed = docs.where(F.col("size") >= length).select(text, "tid", "size").mapInArrow(_survey(length, width), _ROWS)
     judged = stored(surveyed.repartition("core").sortWithinPartitions("decided", "core", "reach").mapInArrow(_judge, _FOUND), "anchors")
     open_ones = judged.where("core is not null")
-    crowded = open_ones.groupBy("core").agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select("core", F.lit(True).alias("crowded"))
-    marked = open_ones.join(crowded, "core", "left")
+    crowded = open_ones.groupBy("core").agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select("core")
+    any_crowded = not crowded.isEmpty()
+    sparse = open_ones.join(crowded, "core", "left_anti") if any_crowded else open_ones
 
     def with_text(rows: DataFrame) -> DataFrame:
         """One copy of each text that has such rows, with the rows."""
@@ -283,11 +284,11 @@ def repeated_runs(docs: DataFrame, text: str = "__text", length: int = LENGTH, w
         return texts.join(lists, ["tid", "size"]).select("tid", "size", text, "found")
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = with_text(marked.where("crowded is null")).mapInArrow(_runs(length, width, parts), "part int, run binary")
+    runs = with_text(sparse).mapInArrow(_runs(length, width, parts), "part int, run binary")
     found = judged.where("core is null").select("tid", "size", "first", "last")
     found = found.unionByName(runs.repartition(parts, "part").mapInArrow(_merge_runs(length, width), "tid long, size int, first int, last int"))
-    if not crowded.isEmpty():
-        windows = stored(with_text(marked.where("crowded")).mapInArrow(_windows(length), "h1 long, h2 long, tid long, size int, first int"), "windows")
+    if any_crowded:
+        windows = stored(with_text(open_ones.join(crowded, "core", "left_semi")).mapInArrow(_windows(length), "h1 long, h2 long, tid long, size int, first int"), "windows")
         again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
         found = found.unionByName(windows.join(again, ["h1", "h2"]).select("tid", "size", "first", F.col("first").alias("last")))
     return found
