@@ -34,7 +34,8 @@ from nodeloom.llm.learning import Adam, first_rows, labelled, sigmoid, softplus,
 SAMPLE = 8_000
 DIMENSIONS, SIGNS, WINDOW = 64, 6, 2
 INPUTS = DIMENSIONS + 4
-VOCABULARY, LEAST = 30_000, 8
+#: Tokens with a vector of their own, and how many texts of the sample must hold one: words of a single text would tell it.
+VOCABULARY, LEAST = 30_000, 5
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 3e-3, 1e-4
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
@@ -63,7 +64,7 @@ def sign_vectors(tokens: list[str]) -> np.ndarray:
 
 
 def context_sums(texts) -> dict[str, tuple[int, np.ndarray]]:
-    """Token, and shape, to (occurrences, sum of its neighbours' vectors), over whole texts."""
+    """Token, and shape, to (number of texts, sum of its neighbours' vectors), over whole texts."""
     index: dict[str, int] = {}
     kind_of: list[int] = []  # the index of the shape of each token
     vectors, sums = np.zeros((1024, DIMENSIONS), np.float32), np.zeros((1024, DIMENSIONS), np.float32)
@@ -85,11 +86,10 @@ def context_sums(texts) -> dict[str, tuple[int, np.ndarray]]:
     def add(ids: np.ndarray, around: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        counts[ids[order][first]] += np.diff(np.append(first, len(ids)))
         sums[ids[order][first]] += np.add.reduceat(around[order], first, axis=0)
 
     for text in texts:
-        tokens = _TOKENS(text)
+        tokens, own_ids = _TOKENS(text), set()
         for i in range(0, len(tokens), _BLOCK):
             low = max(0, i - WINDOW)
             part = tokens[low : i + _BLOCK + WINDOW]
@@ -100,9 +100,12 @@ def context_sums(texts) -> dict[str, tuple[int, np.ndarray]]:
             for d in range(1, WINDOW + 1):
                 around[d:] += own[:-d]
                 around[:-d] += own[d:]
+            own_ids.update(ids.tolist())
             inner = slice(i - low, i - low + min(_BLOCK, len(tokens) - i))
             add(ids[inner], around[inner])
-            add(np.array(kind_of)[ids[inner]] if len(part) > 10_000 else np.array([kind_of[k] for k in ids[inner].tolist()]), around[inner])
+            add(np.array([kind_of[k] for k in ids[inner].tolist()]), around[inner])
+        seen = list(own_ids | {kind_of[k] for k in own_ids})
+        counts[seen] += 1
     return {t: (int(counts[k]), sums[k]) for t, k in index.items() if counts[k]}
 
 

@@ -1,0 +1,466 @@
+"""Operators against plain versions on small tables, and the cases their docstrings define."""
+
+import collections
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from nodeloom.llm import anchors, byte_bpe, components, embedding_dedup, media, packing, pii, quality, similar, simhash, suffix_dedup, suffixes, token_counts, toxicity
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+ODD = "aab AsSt'ÉıŁß1²½_-.   \n\t\x85\x1c\xa0ŉİǅΣς́<|endoftext|>日本\U0001f600​"
+SCHEMA = "doc_id long, text string, score string, fingerprint long"
+
+
+def texts(n=300, seed=1):
+    r = random.Random(seed)
+    return ["", " ", "a" * 300, " " * 90 + "x", *("".join(r.choice(ODD) for _ in range(r.randint(1, 40))) for _ in range(n))]
+
+
+def prose(seed, words):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(words))
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Nulls everywhere, empty and long texts, ties, repeated rows, and columns that clash with results."""
+    long = prose(0, 20_000)
+    rows = [(1, None, "x", 5), (2, "", "y", 6), (None, prose(1, 90), None, None), (3, prose(1, 90), "z", 1), (3, prose(1, 90), "z", 1), (4, long, "a", 2), (5, "Mail a.b@c.de or +1 234 567 8901", None, 3), (6, prose(2, 200), "q", 4)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def labels_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+# Tokenisers.
+
+
+def test_pieces_as_the_library(spark):
+    model, exact = token_counts.load(PIECES)
+    assert exact
+    rows = texts() + ["▁", "a▁b", "x  y ", "\n\n x"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    got = {r["doc_id"]: r for r in token_counts.token_counts(df, PIECES, limit=5).collect()}
+    for i, t in enumerate(rows):
+        n = len(model.encode(t))
+        assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len(t.encode()), n > 5), repr(t)
+
+
+def test_small_caches_change_nothing(monkeypatch):
+    model, _ = token_counts.load(PIECES)
+    monkeypatch.setattr(token_counts, "CACHED", 3)
+    lengths = token_counts.Lengths(model, {"the": len(model.encode("the"))})
+    for t in [prose(i, 30) for i in range(5)]:
+        assert sum(map(lengths.__getitem__, token_counts.pre_tokens(t))) == len(model.encode(t))
+    assert token_counts.unpack(token_counts.pack({"a": 1, "é": 3})) == {"a": 1, "é": 3} and token_counts.unpack(token_counts.pack({})) == {}
+
+
+def test_byte_bpe_as_the_library(monkeypatch):
+    import tiktoken
+
+    merges = byte_bpe.load(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges.ranks_of, special_tokens={})
+    rows = texts(1500) + ["a" * n for n in range(1, 120)] + [" " * n + "x" for n in range(40)] + [prose(3, 3000)]
+    monkeypatch.setattr(byte_bpe, "BLOCK", 2_000)
+    monkeypatch.setattr(byte_bpe, "CACHED", 50)
+    for t, ids in zip(rows, byte_bpe.encode(rows, RANKS, public_tokenizers.PATTERN, byte_bpe.Words()), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t), repr(t)
+        assert byte_bpe.decode(ids, RANKS) == t.encode()
+
+
+def test_splitter_agrees_with_the_pattern():
+    import regex
+
+    fast, slow = byte_bpe.splitter(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN).findall
+    for c in range(0x400):
+        t = f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)} it's"
+        assert fast(t) == slow(t), hex(c)
+
+
+def test_word_ids_as_the_library():
+    tokenizer, merges, _ = packing.load(WORDS)
+    assert merges is not None
+    rows = texts(1500) + ["x <|EndOfText|> y", "<|startoftext|>", prose(4, 3000)] + [f"a{chr(c)}s {chr(c)}'s" for c in range(0x300)]
+    for t, ids in zip(rows, packing.token_bytes(rows, WORDS, packing.Chunks()), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+# Packing.
+
+
+def test_packing_is_gapless_and_whole(spark):
+    rows = [(i, prose(i, (i * 37) % 700)) for i in range(120)] + [(200, None), (200, None), (201, prose(9, 5000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = packing.best_fit_packing(df, WORDS, size=512, with_ids=True).collect()
+    tokenizer = packing.load(WORDS)[0]
+    want = collections.Counter()
+    for i, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        for k, s in enumerate(range(0, len(ids), 512)):
+            part = np.array(ids[s : s + 512], "<u4").tobytes()
+            want[i, k, s, len(part) // 4, zlib.crc32(part), part] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"], bytes(r["ids"])) for r in out) == want
+    bins = collections.defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 512
+    least = -(-sum(r["length"] for r in out) // 512)
+    assert len(bins) <= least + max(2, least // 20)
+
+
+def test_plan_uses_every_piece_once():
+    r = random.Random(0)
+    for _ in range(40):
+        counts = collections.Counter(r.choice((r.randint(1, 100), 100, 34, 67)) for _ in range(r.randint(0, 300)))
+        used = collections.Counter()
+        for times, content in packing.plan(counts, 100):
+            assert sum(k * n for k, n in content) <= 100
+            for k, n in content:
+                used[k] += n * times
+        assert used == counts
+    assert len(packing.plan({k: 10**9 + k for k in range(1, 101)}, 100)) < 1_000
+    assert sum(t for t, _ in packing.plan({60: 2, 50: 1, 45: 1, 30: 1, 10: 1, 5: 1}, 100)) == 3
+
+
+# SimHash.
+
+
+def plain_fingerprint(text, width=3):
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    found = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in found]
+    return sum((sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(64))
+
+
+def components_of(n, linked):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+def test_fingerprints():
+    for t in [*texts(100), prose(1, 5), prose(2, 400), "Ä B c D"]:
+        assert simhash.fingerprint(t, 3) == plain_fingerprint(t)
+    assert simhash.fingerprint(" \n", 3) == 0
+
+
+@pytest.mark.parametrize("size", [5, 40, 300])
+@pytest.mark.parametrize("radius", [1, 2, 5])
+def test_bit_slices(size, radius):
+    r = np.random.default_rng(size)
+    values = r.integers(0, 2**63, 8, dtype=np.uint64)[r.integers(0, 8, size)]
+    for _ in range(6):
+        values = values ^ (np.uint64(1) << r.integers(0, 64, size).astype(np.uint64)) * (r.random(size) < 0.5).astype(np.uint64)
+    values = np.unique(values)
+    group = np.sort(r.integers(0, 2, len(values)))
+    n = len(values)
+    want = components_of(n, [(i, j) for i in range(n) for j in range(i) if group[i] == group[j] and bin(int(values[i] ^ values[j])).count("1") <= radius])
+    a, b = simhash.forest(values, group, radius)
+    assert components_of(n, zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("split", [4_096, 3])
+def test_near_links_find_all(spark, split):
+    r = np.random.default_rng(7)
+    seeds = r.integers(0, 2**63, 30, dtype=np.uint64)
+    values = np.unique(np.concatenate([seeds, *(seeds[:20] ^ (np.uint64(1) << np.uint64(int(b))) for b in r.integers(0, 64, 8))])).view(np.int64)
+    df = spark.createDataFrame([(int(v),) for v in values], "fingerprint long")
+    found = simhash.near_links(df, 2, split).collect()
+    at = {int(v): i for i, v in enumerate(values)}
+    want = components_of(len(values), [(i, j) for i in range(len(values)) for j in range(i) if bin((int(values[i]) ^ int(values[j])) & (2**64 - 1)).count("1") <= 2])
+    assert components_of(len(values), [(at[x["a"]], at[x["b"]]) for x in found]) == want
+
+
+def test_components(spark):
+    r = random.Random(3)
+    pairs = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)] + [(900, k) for k in range(800, 900)]
+    df = spark.createDataFrame([*pairs, (None, 3)], "a long, b long")
+    got = {x["node"]: x["root"] for x in components.connected_components(df, "a", "b").collect()}
+    want = components_of(1000, pairs)
+    assert got == {x: want[x] for p in pairs for x in p if p[0] != p[1]} | {}
+    assert components.connected_components(df.limit(0), "a", "b").count() == 0
+
+
+def test_near_duplicates_edges(spark, edge, empty):
+    out = simhash.near_duplicates(edge).collect()
+    assert len(out) == 8 and {r["component_id"] for r in out if r["doc_id"] in (1, 2)} == {1}
+    assert [r["component_id"] for r in out if r["doc_id"] is None] == [3]
+    assert all(r["fingerprint"] == "0" * 16 for r in out if r["doc_id"] in (1, 2))
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_similar_keeps_one_of_each(spark, edge, empty):
+    base = prose(11, 200).split()
+    near = [*base[:100], "new", *base[101:]]
+    rows = [(i, " ".join(base)) for i in (7, 5, 9)] + [(3, " ".join(near)), (20, prose(12, 200)), (21, prose(13, 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in similar.keep_one_of_each(df).collect()) == [3, 20, 21]
+    many = spark.createDataFrame([(i, " ".join([*base[:i], f"w{i}", *base[i + 1 :]])) for i in range(1, 40)] + [(100, prose(14, 100))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in similar.keep_one_of_each(many, chunk=4).collect()) == [1, 100]
+    out = similar.keep_one_of_each(edge)
+    assert out.columns == edge.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4, 5, 6]
+    assert similar.keep_one_of_each(empty).count() == 0
+
+
+# Suffixes.
+
+
+def test_runs_and_merge():
+    r = random.Random(5)
+    runs = [sorted(bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))) for _ in range(r.randint(0, 40))) for _ in range(7)]
+    decoded = [suffixes.front_decode(*suffixes.front_code(run)) for run in runs]
+    assert [[s for s, _ in d] for d in decoded] == runs
+    out = list(suffixes.merge([suffixes.front_decode(*suffixes.front_code(run)) for run in runs]))
+    assert [s for _, s, _ in out] == sorted(s for run in runs for s in run)
+    before = b""
+    for _, s, n in out:
+        assert n == len(os.path.commonprefix([before, s]))
+        before = s
+    assert list(suffixes.merge([])) == []
+
+
+def test_anchors_of_equal_windows_agree():
+    r = np.random.default_rng(0)
+    data = r.integers(97, 123, 3000).astype(np.uint8)
+    shifted = np.concatenate((r.integers(97, 123, 77).astype(np.uint8), data[500:1500], r.integers(97, 123, 50).astype(np.uint8)))
+    of = {}
+    for p, a, b in zip(*anchors.anchors(data, 60, 21), strict=True):
+        of |= {s: p - s for s in range(a, b + 1)}
+    assert sorted(of) == list(range(3000 - 60 + 1))
+    for p, a, b in zip(*anchors.anchors(shifted, 60, 21), strict=True):
+        for s in range(a, b + 1):
+            if 77 <= s <= 77 + 1000 - 60:
+                assert p - s == of[s - 77 + 500]
+
+
+def plain_removal(rows, length):
+    starts = collections.Counter(d[i : i + length] for d in rows for i in range(len(d) - length + 1))
+    out = []
+    for d in rows:
+        gone = np.zeros(len(d) + 1, bool)
+        for i in range(len(d) - length + 1):
+            if starts[d[i : i + length]] > 1:
+                gone[i : i + length] = True
+        kept = bytes(x for x, g in zip(d, gone, strict=False) if not g)
+        out.append((len(d), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_repeats(spark, hot):
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abé ") for _ in range(n))
+    shared = [word(n) for n in (60, 90, 41, 200)]
+    rows = ["", "abc", "x" * 300, "xy" * 100, shared[0] * 4]
+    for _ in range(60):
+        rows.append("".join(r.choice([word(r.randint(1, 80)), r.choice(shared)[r.randint(0, 30) :], r.choice(shared)]) for _ in range(r.randint(1, 6))))
+    rows += [rows[10], rows[10], rows[11]]
+    want = plain_removal([t.encode() for t in rows], 40)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id int, text string").repartition(4)
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.remove_repeats(df, length=40, width=15, hot=hot).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
+def test_repeats_edges(spark, edge, empty):
+    out = suffix_dedup.remove_repeats(edge, with_kept=True).collect()
+    assert len(out) == 8
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r["doc_id"]].append(r)
+    assert all(r["kept"] == "" and r["n_spans"] == 1 for r in by[3] + by[None])
+    assert by[1][0]["n_bytes"] == 0 and by[1][0]["kept_sha256"] == hashlib.sha256(b"").hexdigest() and by[4][0]["n_removed"] == 0
+    assert out[0].asDict().keys() >= {"score", "fingerprint"}
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+# Personal data.
+
+PLAIN = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(p) <= 255 for p in t.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda t: 16 <= len(d := re.sub("[ -]", "", t)) <= 19 and pii.luhn(d)),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 8 <= len(re.sub("[^0-9]", "", t)) <= 15),
+}
+
+
+def plain_spans(text):
+    return {k: [m.span() for m in re.finditer(p, text) if ok(m[0])] for k, (p, ok) in PLAIN.items()}
+
+
+@pytest.mark.parametrize("alphabet", ["a.@-1+", "0123. -+", "12.", "19. -()+@a.b", "4 -1", "é1.2@"])
+def test_base_spans(alphabet):
+    r = random.Random(alphabet)
+    for _ in range(4000):
+        t = "".join(r.choice(alphabet) for _ in range(r.randint(1, 45)))
+        found = pii.spans(t)
+        assert {k: found[k] for k in pii.BASE} == plain_spans(t), repr(t)
+
+
+def test_base_spans_hold_what_validates():
+    for t in ("4111 1111 1111 1111", "x4111-1111-1111-1111y", "4111111111111112", "10.0.0.256 1.2.3.4", "+49 (30) 123-4567", "a@b.c@d.e"):
+        found = pii.spans(t)
+        assert {k: found[k] for k in pii.BASE} == plain_spans(t)
+    assert pii.spans("4111 1111 1111 1111")["card"] == [(0, 19)]
+
+
+def test_added_spans():
+    t = "see https://a.b/c?d=e, IBAN: DE89 3704 0044 0532 0130 00 and account no. 123456789."
+    found = pii.spans(t)
+    assert [t[a:b] for a, b in found["url"]] == ["https://a.b/c?d=e"]
+    assert [t[a:b] for a, b in found["account"]] == ["DE89 3704 0044 0532 0130 00", "123456789"]
+    assert pii.spans("IBAN: DE89 3704 0044 0532 0130 01")["account"] == [] and pii.spans("an account nobody has")["account"] == []
+    assert pii.masked("to a@b.cd now", pii.spans("to a@b.cd now")) == "to [EMAIL] now"
+
+
+def test_pii_edges(spark, edge, empty):
+    out = {r["doc_id"]: r for r in pii.find_pii(edge).collect()}
+    assert out[5]["n_email"] == 1 and out[5]["n_phone"] == 1 and out[1]["spans"] == "" and out[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert out[5]["base_sha256"] == hashlib.sha256(out[5]["spans"].encode()).hexdigest()
+    masked = pii.mask_pii(edge)
+    assert masked.columns == edge.columns and masked.where("doc_id = 5").first()["text"] == "Mail [EMAIL] or [PHONE]"
+    assert pii.find_pii(empty).count() == pii.mask_pii(empty).count() == 0
+
+
+# Media.
+
+
+def test_media_round_trip(spark, edge, empty):
+    for t in ["", "a", "a" * 64, "é" * 33, prose(1, 4000)]:
+        data, n = media.payload(t)
+        assert len(data) % 64 == 0 and len(data) >= 64 and data[:n] == t.encode() and not data[n:].strip(b"\0")
+        assert media.read_wav(media.write_wav(data)) == data
+        times, codes = media.pairs(media.peaks(data))
+        assert len(times) == len(codes) > 0 and (np.diff(times.astype(int)) >= 0).all()
+    out = media.media_columns(edge, with_media=True).collect()
+    assert len(out) == 8
+    for r in out:
+        back = media.read_wav(bytes(r["media"]))
+        assert r["payload_sha256"] == hashlib.sha256(back).hexdigest() and r["tail_crc32"] == zlib.crc32(back[-64:]) and r["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest()
+    assert len({(r["feature"], r["media_sha256"]) for r in out if r["doc_id"] in (3, None)}) == 1
+    assert media.media_columns(empty).count() == 0
+
+
+# Vectors.
+
+
+@pytest.mark.parametrize("chunk", [4_096, 7])
+def test_embeddings(spark, chunk):
+    r = np.random.default_rng(2)
+    centers = r.normal(size=(12, 20))
+    rows = [(i, [float(x) for x in centers[i % 12] + r.normal(size=20) * r.choice([0.02, 0.15, 0.3])], int(i % 3)) for i in range(150)]
+    rows += [(200, rows[0][1], 0), (201, rows[0][1], 0), (202, rows[0][1], None), (203, None, 0), (204, [0.0] * 20, 0), (205, [float("nan")] * 20, 0), (206, rows[0][1][:10], 0), (207, [None, *rows[0][1][1:]], 0), (208, [], 0), (209, [2 * x for x in rows[0][1]], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {x["vec_id"]: tuple(x)[1:] for x in embedding_dedup.near_duplicates(df, cosine=0.93, chunk=chunk).collect()}
+    ok = [i for i, (_, v, k) in enumerate(rows) if k is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    single = {i: np.array(rows[i][1], np.float32).astype(float) for i in ok}
+    pairs = [(i, j) for i in ok for j in ok if j < i and rows[i][2] == rows[j][2] and len(single[i]) == len(single[j]) and cos(single[i], single[j]) >= 0.93]
+    root, n = components_of(len(rows), pairs), collections.Counter(x for p in pairs for x in p)
+    first = {}
+    for i, (k, _, _) in enumerate(rows):
+        first[root[i]] = min(first.get(root[i], k), k)
+    assert got == {k: (n[i], first[root[i]], first[root[i]] == k) for i, (k, _, _) in enumerate(rows)}
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+# Classifiers.
+
+
+def corpus(spark, n=400):
+    r = random.Random(1)
+    docs, labels = [], []
+    for i in range(n):
+        words = prose(i, r.randint(30, 120)).split()
+        toxic, good = i % 8 == 0, i % 5 != 1
+        if toxic:
+            for _ in range(3):
+                words.insert(r.randint(0, len(words)), r.choice(["vilewort", "scumlet", "rotface"]))
+        if not good:
+            words = [w.upper() + "!!" for w in words] if i % 2 else [w for w in words[:20] for _ in range(8)]
+        docs.append((i, " ".join(words), "x"))
+        labels.append((i, int(good), int(toxic)))
+    docs += [(n, None, "x"), (n + 1, "", "x"), (n + 1, "", "x")]
+    return spark.createDataFrame(docs, "doc_id long, text string, score string"), labels_of(spark, [*labels, (None, 1, 1), (n, None, None)])
+
+
+def test_classifiers_on_held_out_rows(spark):
+    docs, labels = corpus(spark)
+    for found, column, low in ((toxicity.toxicity(docs, labels), "toxic", 0.9), (quality.quality(docs, labels), "quality", 0.9)):
+        rows = found.join(labels, "doc_id").where("held_out").select("score", "predicted", F.col(column).alias("y"), "doc_id").where("y is not null").collect()
+        assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and 0 <= r["score"] <= 1 for r in rows)
+        assert np.mean([r["predicted"] == r["y"] for r in rows]) >= low
+        assert found.count() == 403 and found.where("score is null").count() == 0
+        again = {r["doc_id"]: r["score"] for r in found.where("doc_id < 400").collect()}
+        other = toxicity.toxicity(docs.repartition(7), labels) if column == "toxic" else None
+        if other is not None:
+            assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-9 for r in other.where("doc_id < 400").collect())
+
+
+def test_held_out_labels_are_not_read(spark):
+    docs, labels = corpus(spark, 120)
+    from nodeloom.llm._common import held_out
+
+    flipped = labels.withColumn("toxic", F.when(held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic"))).withColumn("quality", F.when(held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    for f in (toxicity.toxicity, quality.quality):
+        a, b = ({r["doc_id"]: r["score"] for r in f(docs, x).where("doc_id < 120").collect()} for x in (labels, flipped))
+        assert a == b
+
+
+def test_classifiers_without_labels(spark, edge, empty):
+    none = labels_of(spark, [])
+    one = labels_of(spark, [(i, 1, 0) for i in range(1, 7)])
+    for labels in (none, one):
+        for f in (toxicity.toxicity, quality.quality):
+            out = f(edge, labels)
+            assert out.count() == 8 and out.where("score is null or score < 0 or score > 1").count() == 0
+            assert f(empty, labels).count() == 0
+
+
+def test_positive_unlabelled_risk_stays_right():
+    r = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(200)]
+    make = lambda toxic: {*r.choice(words, 30, replace=False)} | ({"vile"} if toxic else set())
+    rows = [(1, make(True)) for _ in range(100)] + [(0, make(k < 20)) for k in range(200)]
+    weights, bias = toxicity.fit(rows, [label == 1 for label, _ in rows], 0.1)
+    score = lambda x: bias + sum(weights.get(w, 0) for w in x)
+    assert all(score(x) > 0 for label, x in rows if "vile" in x) and np.mean([score(x) < 0 for _, x in rows if "vile" not in x]) > 0.98
+
+
+def test_tokens_edges(spark, edge, empty):
+    import public_tokenizers
+
+    assert token_counts.token_counts(edge, PIECES).count() == 8 and token_counts.token_counts(empty, PIECES).count() == 0
+    out = byte_bpe.byte_bpe(edge, RANKS, public_tokenizers.PATTERN, with_ids=True)
+    assert out.count() == 8 and out.where("doc_id = 1").first()["n_tokens"] == 0 and byte_bpe.byte_bpe(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert packing.best_fit_packing(edge, WORDS).groupBy("doc_id").count().count() == 7 and packing.best_fit_packing(empty, WORDS).count() == 0
