@@ -451,8 +451,10 @@ def test_positive_unlabelled_risk_stays_right():
     r = np.random.default_rng(0)
     words = [f"w{i}" for i in range(200)]
     make = lambda toxic: {*r.choice(words, 30, replace=False)} | ({"vile"} if toxic else set())
-    rows = [(1, make(True)) for _ in range(100)] + [(0, make(k < 20)) for k in range(200)]
-    weights, bias = toxicity.fit(rows, [label == 1 for label, _ in rows], 0.1)
+    rows, held = [(1, make(True)) for _ in range(100)] + [(0, make(k < 20)) for k in range(200)], toxicity.Rows()
+    for _, words_of in rows:
+        held.add(words_of)
+    weights, bias = toxicity.fit(held, [label == 1 for label, _ in rows], 0.1)
     score = lambda x: bias + sum(weights.get(w, 0) for w in x)
     assert all(score(x) > 0 for label, x in rows if "vile" in x) and np.mean([score(x) < 0 for _, x in rows if "vile" not in x]) > 0.98
 
