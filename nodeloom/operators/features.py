@@ -9,29 +9,37 @@ from pyspark.sql import functions as F
 
 from nodeloom.sources.tables import NODE, TRACT
 
-# The usual order of tracts.
-TRACTS = (
-    "Left Arcuate",
-    "Left SLF",
-    "Left Uncinate",
-    "Left ILF",
-    "Left IFOF",
-    "Left Cingulum Hippocampus",
-    "Left Thalamic Radiation",
-    "Left Corticospinal",
-    "Left Cingulum Cingulate",
-    "Callosum Forceps Minor",
-    "Callosum Forceps Major",
-    "Right Cingulum Cingulate",
-    "Right Corticospinal",
-    "Right Thalamic Radiation",
-    "Right Cingulum Hippocampus",
-    "Right IFOF",
-    "Right ILF",
-    "Right Uncinate",
-    "Right SLF",
-    "Right Arcuate",
-)
+# The usual order of tracts, with their short codes.
+TRACT_CODES = {
+    "Left Arcuate": "ARC_L",
+    "Left SLF": "SLF_L",
+    "Left Uncinate": "UNC_L",
+    "Left ILF": "ILF_L",
+    "Left IFOF": "IFO_L",
+    "Left Cingulum Hippocampus": "HCC_L",
+    "Left Thalamic Radiation": "ATR_L",
+    "Left Corticospinal": "CST_L",
+    "Left Cingulum Cingulate": "CGC_L",
+    "Callosum Forceps Minor": "FA",
+    "Callosum Forceps Major": "FP",
+    "Right Cingulum Cingulate": "CGC_R",
+    "Right Corticospinal": "CST_R",
+    "Right Thalamic Radiation": "ATR_R",
+    "Right Cingulum Hippocampus": "HCC_R",
+    "Right IFOF": "IFO_R",
+    "Right ILF": "ILF_R",
+    "Right Uncinate": "UNC_R",
+    "Right SLF": "SLF_R",
+    "Right Arcuate": "ARC_R",
+}
+TRACTS = tuple(TRACT_CODES)
+
+
+def short_names(df: DataFrame, codes: dict[str, str] | None = None) -> DataFrame:
+    """Tracts by their short code, whether their names are written with blanks or without; unknown ones stay."""
+    codes = TRACT_CODES if codes is None else codes
+    known = F.create_map(*(F.lit(x) for name, code in codes.items() for x in (name.replace(" ", ""), code)))
+    return df.withColumn(TRACT, F.coalesce(F.try_element_at(known, F.replace(F.col(TRACT), F.lit(" "), F.lit(""))), F.col(TRACT)))
 
 
 def without_side(tract: Column) -> Column:

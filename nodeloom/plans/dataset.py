@@ -33,7 +33,6 @@ class ProfileDataset:
         target_cols: Sequence[str] | None = None,
         encode_cols: Sequence[str] | None = None,
         *,
-        encode: Sequence[str] | None = None,
         metrics: Sequence[str] | None = None,
         index_col: str = SUBJECT,
         concat_sessions: bool = False,
@@ -41,7 +40,7 @@ class ProfileDataset:
         prefix: bool = False,
     ) -> ProfileDataset:
         """From a node table and, unless unsupervised, a table of attributes."""
-        wanted = list(encode or encode_cols or ())
+        wanted = list(encode_cols or ())
         check_targets(target_cols, wanted, attributes is None)
         sessions = nodes.select(SUBJECT, SESSION).distinct() if SESSION in nodes.columns else None
         if bundle_means:
@@ -59,7 +58,7 @@ class ProfileDataset:
         if attributes is None:
             return cls(features, subjects, sessions=sessions)
         targets = join_targets(subjects, attributes, list(target_cols), index_col)
-        targets, classes = _encode(targets, wanted)
+        targets, classes = encode(targets, wanted)
         return cls(features, subjects, targets, classes, tuple(target_cols), sessions)
 
     @classmethod
@@ -165,6 +164,3 @@ class ProfileDataset:
         c = self.target_cols[0]
         return f"{c}_code" if c in (self.classes or {}) else c
 
-
-def _encode(targets: DataFrame, columns: Sequence[str]):
-    return encode(targets, columns)

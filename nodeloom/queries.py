@@ -184,7 +184,7 @@ def complete_targets(spark, sf_dir):
 def dataset_without_missing(spark, sf_dir):
     from nodeloom.plans.dataset import ProfileDataset
 
-    d = ProfileDataset.build(nodes(spark, sf_dir), customers(spark, sf_dir).where("c_custkey % 3 <> 0"), ["c_mktsegment"], encode=["c_mktsegment"])
+    d = ProfileDataset.build(nodes(spark, sf_dir), customers(spark, sf_dir).where("c_custkey % 3 <> 0"), ["c_mktsegment"], ["c_mktsegment"])
     return d.drop_target_na().features.groupBy(SUBJECT).agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
 
 
@@ -254,6 +254,24 @@ def coefficients_by_metric(spark, sf_dir):
     return features.coefficients_by_metric(_coefficients(spark, sf_dir)).withColumn("beta", text("beta"))
 
 
+@query("""WITH codes AS (SELECT unnest(['LeftArcuate', 'CallosumForcepsMinor', 'RightSLF']) AS name, unnest(['ARC_L', 'FA', 'SLF_R']) AS code), t AS (SELECT p_partkey, ['Left Arcuate', 'CallosumForcepsMinor', 'Right SLF', 'click'][1 + p_partkey % 4] AS t FROM part)
+ SELECT p_partkey, coalesce(code, t) AS "tractID" FROM t LEFT JOIN codes ON name = replace(t, ' ', '')""")
+def short_tract_names(spark, sf_dir):
+    names = F.array(*map(F.lit, ("Left Arcuate", "CallosumForcepsMinor", "Right SLF", "click")))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 4).cast("int")).alias(TRACT))
+    return features.short_names(p)
+
+
+_SCORES = hashrand.uniform_sql("'fold'", "p_partkey", "k")
+
+
+@query(f"""SELECT p_partkey AS feature_idx, round(avg(abs(round({_SCORES} - 0.5, 6))), 6) + 0.0 AS score FROM part, (SELECT unnest(range(0, 3)) AS k) GROUP BY p_partkey""")
+def mean_coefficients(spark, sf_dir):
+    folds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature_idx"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    scored = folds.withColumn("beta", F.round(hashrand.uniform("fold", F.col("feature_idx"), F.col("k")) - 0.5, 6))
+    return features.mean_size(scored).withColumn("score", r("score"))
+
+
 # Profile statistics.
 
 _QBINS = """q AS (SELECT quantile_cont(c_acctbal, [0.0, 0.25, 0.5, 0.75, 1.0]) AS e FROM customer),
@@ -318,6 +336,20 @@ def false_discovery(spark, sf_dir):
     return profiles.false_discovery(t, by=["c_nationkey"]).select("c_custkey", "c_nationkey", r("q", 9).alias("q"))
 
 
+@query(f"""SELECT CAST(c_custkey AS VARCHAR) AS "subjectID", {hashrand.uniform_sql("3", "c_custkey")} < 0.25 AS test FROM customer""")
+def train_test_split(spark, sf_dir):
+    return profiles.split(customers(spark, sf_dir).select(SUBJECT), 0.25, 3)
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, CAST(user_id AS VARCHAR) AS "subjectID", event_type AS "tractID", round(avg(value), 6) + 0.0 AS mean, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL""")
+def windowed_means(spark, sf_dir):
+    from nodeloom.streaming.means import running_means
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias(SUBJECT), F.col("event_type").alias(TRACT), "ts", "value")
+    means = running_means(e, "value").withColumn("mean", r("mean"))
+    return means.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 # Matching.
 
 
@@ -488,6 +520,29 @@ def cross_validated(spark, sf_dir):
     return validation.cross_validate(m, "x", "y", SUBJECT, estimator="ridge", folds=3, scoring=["r2", "neg_mean_squared_error"]).drop("fit_time", "score_time")
 
 
+@query(f"""WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings)
+ SELECT vec_id AS "subjectID", CAST(CASE WHEN i < (n % 7) * (n // 7 + 1) THEN i // (n // 7 + 1) ELSE n % 7 + (i - (n % 7) * (n // 7 + 1)) // (n // 7) END AS INTEGER) AS fold FROM o""")
+def fold_assignment(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(SUBJECT))
+    return validation.with_folds(rows, SUBJECT, 7)
+
+
+@query()
+def lasso_predictions(spark, sf_dir):
+    from nodeloom.plans.fitted import Fitted
+
+    m = reshape.matrix(vectors(spark, sf_dir)).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(SUBJECT), F.col("label").cast("double").alias("y")), SUBJECT)
+    return Fitted("lasso", alpha=0.05).fit(m, "x", "y", SUBJECT).predict(m, "x", SUBJECT)
+
+
+@query()
+def mapped_features(spark, sf_dir):
+    from nodeloom.plans.mapper import FeatureMapper
+
+    n = nodes(spark, sf_dir)
+    return FeatureMapper(metrics=["value"]).fit(n).transform(n.where("cast(subjectID as int) % 2 = 0"))
+
+
 @query()
 def sparse_group_path(spark, sf_dir):
     m = reshape.matrix(vectors(spark, sf_dir)).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(SUBJECT), (F.col("label") % 2).cast("double").alias("y")), SUBJECT)
