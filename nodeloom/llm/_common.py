@@ -127,5 +127,5 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 def held_out(id_col: str = "doc_id"):
-    """True for rows whose labels are never learned from: crc32 of the id as text, modulo 5, is 0."""
-    return F.crc32(F.col(quoted(id_col)).cast("string").cast("binary")) % 5 == 0
+    """True for rows whose labels are never learned from: crc32 of the id as text, modulo 5, is 0. False for a null id."""
+    return F.coalesce(F.crc32(F.col(quoted(id_col)).cast("string").cast("binary")) % 5 == 0, F.lit(False))

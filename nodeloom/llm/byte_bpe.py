@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from nodeloom.llm._common import append_columns
 
 #: Pre-tokens of a worker's cache beyond which it is emptied before the next block; long ones are not kept.
-CACHED, LONGEST_KEPT = 800_000, 64
+CACHED, LONGEST_KEPT = 600_000, 64
 #: Characters of a block of documents whose new pre-tokens are replayed together.
 BLOCK = 32_000_000
 NONE = np.int32(2**31 - 1)

@@ -24,9 +24,12 @@ def first_rows(rows: DataFrame, n: int) -> DataFrame:
 
 
 def with_texts(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__id, label, __text) of sampled rows; the sample's size is bounded, so it is broadcast."""
+    """(__id, label, __text) of sampled rows; the sample's size is bounded, so it is broadcast.
+
+    Of several texts with one id the smallest is taken.
+    """
     texts = docs.select(F.col(quoted(id_col)).alias("__id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("__text"))
-    return texts.join(F.broadcast(rows), "__id").dropDuplicates(["__id"])
+    return texts.join(F.broadcast(rows), "__id").groupBy("__id").agg(F.max("label").alias("label"), F.min("__text").alias("__text"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -101,7 +101,7 @@ class Chunks(Words):
         self.parts = Words()  # the same for the pre-tokens that chunks consist of
 
     def learn(self, words: list[str], merges: WordMerges) -> None:
-        if len(self.parts) > CACHED:
+        if len(self.parts) > CACHED // 3:
             self.parts.clear()
         known = self.parts
         found = [self.split(c) for c in words]

@@ -40,6 +40,8 @@ from nodeloom.llm.suffixes import common_prefix, front_code, front_decode, merge
 LENGTH, WIDTH = 400, 201
 #: Undecided anchors of one core up to which they are merged in one task.
 HOT = 20_000
+#: Undecided anchors that one task merges, about; there are as many tasks as that takes.
+PER_TASK = 100_000
 
 _ROWS = "decided boolean, core long, reach long, tid long, size int, place int, first int, last int, many boolean"
 _FOUND = "tid long, size int, core long, place int, first int, last int"
@@ -283,7 +285,7 @@ def repeated_runs(docs: DataFrame, text: str = "__text", length: int = LENGTH, w
         texts = docs.where(F.col("size") >= length).groupBy("tid", "size").agg(F.first(text).alias(text))
         return texts.join(lists, ["tid", "size"]).select("tid", "size", text, "found")
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-open_ones.count() // PER_TASK))
     runs = with_text(sparse).mapInArrow(_runs(length, width, parts), "part int, run binary")
     found = judged.where("core is null").select("tid", "size", "first", "last")
     found = found.unionByName(runs.repartition(parts, "part").mapInArrow(_merge_runs(length, width), "tid long, size int, first int, last int"))

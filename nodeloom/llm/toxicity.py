@@ -9,7 +9,8 @@ of all training rows, the risk of a scorer g under the logistic loss is
 (Kiryo et al., 2017). Each of a few linear numpy classifiers descends it by mini-batches; where the
 second term falls below zero the step goes the other way, so the positives are not memorised. The
 inputs are the words of a text and their first letters, present or not, each weighted by the log
-ratio of its rates among positives and unlabelled; the score is the sigmoid of the mean output.
+ratio of its rates among positives and unlabelled. The score is the sigmoid of the mean output less
+the cut that has the least risk of the same kind with decisions in the place of losses.
 
 At most ``positives`` and ``unlabelled`` labelled rows are fitted on, chosen by a hash of their id;
 every text is scored whole.
@@ -21,7 +22,6 @@ or without unlabelled rows every score is the prior; repeated rows each get a ro
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -47,25 +47,45 @@ def features(text: str) -> set[str]:
     return words | {w[:START] + "-" for w in words if len(w) > START}
 
 
-def gather(sample: DataFrame) -> list[tuple[int, set[str]]]:
-    """(label, features) of a bounded sample; only distinct words leave the executors."""
+class Rows:
+    """Sampled texts as arrays of feature numbers, with the features' names."""
+
+    def __init__(self):
+        self.names: dict[str, int] = {}
+        self.ids: list[np.ndarray] = []
+
+    def add(self, words) -> None:
+        number = self.names
+        self.ids.append(np.array([number.setdefault(w, len(number)) for w in sorted(words)], np.int32))
+
+    def counts(self, pick: np.ndarray) -> np.ndarray:
+        """In how many of these texts each feature occurs."""
+        total = np.zeros(len(self.names), np.int64)
+        for i in pick:
+            total[self.ids[i]] += 1
+        return total
+
+
+def gather(sample: DataFrame, rows: Rows) -> int:
+    """Adds the texts of a bounded sample to ``rows``, and how many; only distinct words leave the executors."""
 
     def run(batches):
         for batch in batches:
-            words = [" ".join(sorted(set(_WORDS(t.lower())))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], names=["label", "words"])
+            words = [" ".join(sorted(set(_WORDS(t.lower())))) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["words"])
 
-    rows = sample.select("label", "__text").mapInArrow(run, "label int, words string").collect()
-    return [(r["label"], (w := set(r["words"].split())) | {x[:START] + "-" for x in w if len(x) > START}) for r in rows]
+    found = sample.orderBy("__id").select("__text").mapInArrow(run, "words string").collect()
+    for r in found:
+        words = r["words"].split()
+        rows.add({*words, *(x[:START] + "-" for x in words if len(x) > START)})
+    return len(found)
 
 
 class Sparse:
     """Rows of weighted features, for products with a weight vector."""
 
-    def __init__(self, rows: list[list[int]], values: np.ndarray):
-        self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.col = np.array([j for r in rows for j in r], np.int64)
+    def __init__(self, rows: list[np.ndarray], values: np.ndarray):
+        self.col = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
         self.values = values
         self.starts = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
 
@@ -99,27 +119,40 @@ def fit_member(x: Sparse, positive: np.ndarray, unlabelled: np.ndarray, prior: f
     return weights, float(bias[0])
 
 
-def fit(rows: list[tuple[int, set[str]]], is_positive: list[bool], prior: float, members: int = MEMBERS, steps: int = STEPS) -> tuple[dict[str, float], float]:
+def fit(rows: Rows, is_positive: list[bool], prior: float, members: int = MEMBERS, steps: int = STEPS) -> tuple[dict[str, float], float]:
     """Weight of each feature and bias of the mean of the classifiers."""
     positive = np.flatnonzero(is_positive)
     unlabelled = np.flatnonzero(~np.array(is_positive, bool))
     if not len(positive) or not len(unlabelled) or not 0 < prior < 1:
         prior = min(max(prior, 1e-6), 1 - 1e-6)
         return {}, float(np.log(prior / (1 - prior)))
-    in_positive, in_unlabelled = Counter(), Counter()
-    for (_, words), is_p in zip(rows, is_positive, strict=True):
-        (in_positive if is_p else in_unlabelled).update(words)
-    known = [w for w in in_positive.keys() | in_unlabelled.keys() if in_positive[w] + in_unlabelled[w] >= LEAST]
-    p = np.array([in_positive[w] for w in known]) + 1.0
-    u = np.array([in_unlabelled[w] for w in known]) + 1.0
+    p, u = rows.counts(positive) + 1.0, rows.counts(unlabelled) + 1.0
     ratio = np.log(p / (len(positive) + 2)) - np.log(u / (len(unlabelled) + 2))
     telling = np.abs(ratio) * np.sqrt(p + u)  # rare words need a larger ratio
-    order = sorted(range(len(known)), key=lambda i: (-telling[i], known[i]))[:FEATURES]
-    index = {known[i]: k for k, i in enumerate(order)}
-    x = Sparse([sorted(index[w] for w in words & index.keys()) for _, words in rows], ratio[order])
-    found = [fit_member(x, positive, unlabelled, prior, len(order), seed, steps) for seed in range(members)]
-    weights = np.mean([w for w, _ in found], 0) * x.values
-    return {w: float(weights[k]) for w, k in index.items()}, float(np.mean([b for _, b in found]))
+    names = list(rows.names)
+    known = np.flatnonzero(p + u >= LEAST + 2).tolist()
+    kept = sorted(known, key=lambda i: (-telling[i], names[i]))[:FEATURES]
+    to = np.full(len(names), -1, np.int32)
+    to[kept] = np.arange(len(kept))
+    x = Sparse([(t := to[ids])[t >= 0] for ids in rows.ids], ratio[kept])
+    found = [fit_member(x, positive, unlabelled, prior, len(kept), seed, steps) for seed in range(members)]
+    weights = np.mean([w for w, _ in found], 0)
+    output = x.scores(np.arange(len(rows.ids)), weights)[0]
+    bias = -best_cut(output[positive], output[unlabelled], prior)
+    return {names[i]: float(w) for i, w in zip(kept, weights * x.values, strict=True)}, bias
+
+
+def best_cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The output to cut at: least corrected risk of wrong decisions, of such cuts the one in the widest gap."""
+    values = np.unique(np.concatenate((positive, unlabelled)))
+    if len(values) < 2:
+        return float(values[0])
+    cuts = (values[1:] + values[:-1]) / 2
+    missed = np.searchsorted(np.sort(positive), cuts) / len(positive)
+    taken = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    risk = prior * missed + np.maximum(0, taken - prior * (1 - missed))
+    least = np.flatnonzero(risk <= risk.min() + 1e-12)
+    return float(cuts[least[np.argmax(np.diff(values)[least])]])
 
 
 def toxicity(
@@ -138,8 +171,10 @@ def toxicity(
     rate = known.agg(F.avg("label")).first()[0]
     toxic = first_rows(known.where("label = 1"), positives)
     anyone = first_rows(known, unlabelled).select("__id", F.lit(0).alias("label"))
-    rows = gather(with_texts(docs, toxic, id_col, text_col)) + gather(with_texts(docs, anyone, id_col, text_col))
-    weights, bias = fit(rows, [label == 1 for label, _ in rows], 0.5 if rate is None else float(rate))
+    rows = Rows()
+    n = gather(with_texts(docs, toxic, id_col, text_col), rows)
+    m = gather(with_texts(docs, anyone, id_col, text_col), rows)
+    weights, bias = fit(rows, [True] * n + [False] * m, 0.5 if rate is None else float(rate))
     model = spark.sparkContext.broadcast((weights, bias))
 
     def make():
