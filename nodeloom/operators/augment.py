@@ -159,12 +159,20 @@ def window_warp(packed: DataFrame, ratio: float = 0.1, scales: tuple[float, ...]
     return _each(packed, "window", seed, change)
 
 
-def ranked(packed: DataFrame) -> DataFrame:
-    """Adds each sample's rank within its label, the label's size and where its ranks begin among all."""
-    sizes = packed.groupBy("label").agg(F.count("*").alias("size"))
+def ranked(packed: DataFrame, per_bucket: int = 100_000) -> DataFrame:
+    """Adds each sample's rank within its label, the label's size and where its ranks begin among all.
+
+    Only ids are ranked, in buckets of a label, so neither values nor a large label meet in one task.
+    """
+    ids = packed.select("sample_id", "label")
+    sizes = ids.groupBy("label").agg(F.count("*").alias("size"))
     begin = sizes.withColumn("begin", F.sum("size").over(Window.orderBy("label")) - F.col("size")).withColumn("total", F.sum("size").over(Window.partitionBy()))
-    inner = Window.partitionBy("label").orderBy("sample_id")
-    return packed.join(begin, "label").withColumn("rank", F.row_number().over(inner) - 1)
+    placed = ids.join(begin, "label").withColumn("bucket", F.pmod(F.xxhash64("sample_id"), F.ceil(F.col("size") / per_bucket)))
+    counts = placed.groupBy("label", "bucket").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("label").orderBy("bucket")) - F.col("n")).drop("n")
+    inner = Window.partitionBy("label", "bucket").orderBy("sample_id")
+    ranks = placed.join(before, ["label", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(inner) - 1)
+    return packed.join(ranks.select("sample_id", "label", "size", "begin", "total", "rank"), ["sample_id", "label"])
 
 
 def with_partner(packed: DataFrame, name: str, seed: int) -> DataFrame:

@@ -17,8 +17,8 @@ from nodeloom.functions.series import fill_cubic
 from nodeloom.sources.tables import KEYS, NODE, SESSION, SUBJECT, TRACT
 
 SERIES = (SUBJECT, TRACT, "metric")
-#: Rows of (metric, tract, node) up to which they are broadcast to all subjects.
-DIMENSION_LIMIT = 1_000_000
+#: Features up to which the dimensions are held as literals and a subject's values as one map.
+DIMENSION_LIMIT = 100_000
 
 
 def standard_id(column) -> F.Column:
@@ -65,13 +65,44 @@ def feature_dim(cells: DataFrame) -> DataFrame:
     return groups.join(nodes).join(n).select("metric", TRACT, NODE, "pos", "group_idx", (F.col("group_idx") * F.col("__n") + F.col("pos")).cast("int").alias("feature_idx"))
 
 
-def grid(cells: DataFrame) -> DataFrame:
-    """Every subject with a value times every feature, with the value or null."""
-    dims = feature_dim(cells)
-    size = cells.agg(F.countDistinct("metric"), F.countDistinct(TRACT), F.countDistinct(NODE)).first()
-    small = int(np.prod([int(x) for x in size])) <= DIMENSION_LIMIT
-    full = cells.select(SUBJECT).distinct().join(F.broadcast(dims) if small else dims)
-    return full.join(cells, [SUBJECT, "metric", TRACT, NODE], "left")
+def dimensions(long: DataFrame) -> tuple[list[str], list[str], list[int]] | None:
+    """Sorted metrics, tracts and nodes with a value, from one pass; None if their product is over the limit."""
+    known = long.where("value is not null")
+    sizes = known.agg(F.approx_count_distinct("metric"), F.approx_count_distinct(TRACT), F.approx_count_distinct(NODE)).first()
+    if np.prod([float(x) for x in sizes]) > DIMENSION_LIMIT:
+        return None
+    return tuple(sorted(x) for x in known.agg(F.collect_set("metric"), F.collect_set(TRACT), F.collect_set(NODE)).first())
+
+
+def grid(cells: DataFrame, long: DataFrame | None = None) -> DataFrame:
+    """Every subject with a value times every feature, with the value or null.
+
+    The values of a subject are gathered in one map and spread over the features, so that rows are
+    partitioned by subject, as gap filling and matrices need them, and the grid itself is never shuffled.
+    Dimensions too large for that are joined instead. ``long`` is what the cells were collapsed from.
+    """
+    found = dimensions(cells if long is None else long)
+    if found is None:
+        return cells.select(SUBJECT).distinct().join(feature_dim(cells)).join(cells, [SUBJECT, "metric", TRACT, NODE], "left")
+    metrics, tracts, nodes = found
+    texts = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    numbers = F.array(*map(F.lit, nodes)).cast("array<int>")
+    place = lambda values, column: F.array_position(values, column).cast("int") - 1
+    n, size = len(nodes), len(metrics) * len(tracts) * len(nodes)
+    index = (place(texts(metrics), F.col("metric")) * len(tracts) + place(texts(tracts), F.col(TRACT))) * n + place(numbers, F.col(NODE))
+    own = cells.groupBy(SUBJECT).agg(F.map_from_entries(F.collect_list(F.struct(index, "value"))).alias("__own"))
+    spread = own.select(SUBJECT, "__own", F.explode(F.sequence(F.lit(0), F.lit(max(size - 1, 0)))).alias("feature_idx"))
+    group, pos = F.expr(f"feature_idx div {max(n, 1)}").cast("int"), (F.col("feature_idx") % max(n, 1)).cast("int")
+    return spread.select(
+        SUBJECT,
+        F.get(texts(metrics), F.expr(f"feature_idx div {max(n * len(tracts), 1)}").cast("int")).alias("metric"),
+        F.get(texts(tracts), (group % max(len(tracts), 1)).cast("int")).alias(TRACT),
+        F.get(numbers, pos).alias(NODE),
+        pos.alias("pos"),
+        group.alias("group_idx"),
+        "feature_idx",
+        F.try_element_at("__own", F.col("feature_idx")).alias("value"),
+    )
 
 
 def interpolate(full: DataFrame, method: str = "linear", by: Sequence[str] = SERIES) -> DataFrame:
@@ -108,8 +139,8 @@ def interpolate(full: DataFrame, method: str = "linear", by: Sequence[str] = SER
 
 def features_long(nodes: DataFrame, metrics: Sequence[str] | None = None, concat_sessions: bool = False, method: str = "linear") -> DataFrame:
     """The gap-filled grid of a node table: one row per subject and feature."""
-    cells = collapse(melt(with_sessions(nodes, concat_sessions), metrics))
-    return interpolate(grid(cells), method)
+    long = melt(with_sessions(nodes, concat_sessions), metrics)
+    return interpolate(grid(collapse(long), long), method)
 
 
 #: Aggregates that bundle_aggregate takes by name; medians are exact.
