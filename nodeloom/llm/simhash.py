@@ -256,9 +256,13 @@ def near_links(distinct: DataFrame, radius: int = 2, split: int = SPLIT) -> Data
     bits_left = 64 - min(a + b for (_, a), (_, b) in combinations(_bands(64, radius + 2), 2))
     keyed = distinct.select("fingerprint", F.explode(keys(F.col("fingerprint"), 64, radius)).alias("k")).select("fingerprint", "k.*")
     hot = keyed.groupBy("which", "key").agg(F.count("*").alias("__n")).where(F.col("__n") > split).select("which", "key", F.lit(True).alias("__hot"))
-    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subkey")))
-    finer = F.transform(keys(F.col("rest"), bits_left, radius), lambda k: F.struct(k["which"].alias("sub"), k["key"].alias("subkey")))
-    groups = keyed.join(hot, ["which", "key"], "left").select("fingerprint", "which", "key", F.explode(F.when(F.col("__hot"), finer).otherwise(whole)).alias("s")).select("which", "key", "s.sub", "s.subkey", "fingerprint")
+    whole = F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subkey"))
+    if hot.isEmpty():
+        groups = keyed.withColumn("s", whole)
+    else:
+        finer = F.transform(keys(F.col("rest"), bits_left, radius), lambda k: F.struct(k["which"].alias("sub"), k["key"].alias("subkey")))
+        groups = keyed.join(hot, ["which", "key"], "left").withColumn("s", F.explode(F.when(F.col("__hot"), finer).otherwise(F.array(whole))))
+    groups = groups.select("which", "key", "s.sub", "s.subkey", "fingerprint")
     ordered = groups.repartition("which", "key", "sub", "subkey").sortWithinPartitions("which", "key", "sub", "subkey", "fingerprint")
 
     def compare(batches):
