@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from nodeloom.llm._common import append_columns
 
-#: Pre-tokens of a worker's cache beyond which it is emptied before the next block; long ones are not kept.
-CACHED, LONGEST_KEPT = 600_000, 64
+#: Pre-tokens that a worker's cache holds, about; long ones are not kept.
+CACHED, LONGEST_KEPT = 800_000, 64
 #: Characters of a block of documents whose new pre-tokens are replayed together.
 BLOCK = 32_000_000
 NONE = np.int32(2**31 - 1)
@@ -145,14 +145,29 @@ class Words(dict):
     """Pre-token to its ids as little-endian unsigned 32-bit integers.
 
     An unknown pre-token is noted and stands for itself until it is learnt, so that each place in a
-    text costs one look-up.
+    text costs one look-up. Entries are of two generations: what is not asked for in one is forgotten
+    with the next.
     """
 
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
-
-    def __missing__(self, word: str) -> str:
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        """Makes all entries old ones; those that were old already go."""
+        self.old = dict(self)
+        self.clear()
+
+    def forget(self) -> None:
+        self.old, self.new = {}, []
+        self.clear()
+
+    def __missing__(self, word: str):
+        known = self.old.get(word)
+        if known is not None:
+            self[word] = known
+            return known
         self.new.append(word)
         self[word] = word
         return word
@@ -219,8 +234,8 @@ def encode_blocks(texts: list[str], split, words: Words, learn) -> list[bytes]:
     """Joins what ``words`` holds for the parts of every text; ``learn`` fills in the parts that a block of texts brings."""
     out: list[bytes] = []
     for block in blocks(texts):
-        if len(words) > CACHED:
-            words.clear()
+        if len(words) > CACHED // 2:
+            words.turn()
         try:
             found = [list(map(words.__getitem__, split(t))) for t in block]
             new, words.new = words.new, []
@@ -234,8 +249,7 @@ def encode_blocks(texts: list[str], split, words: Words, learn) -> list[bytes]:
                 if len(word) > LONGEST_KEPT:
                     del words[word]
         except BaseException:
-            words.new = []
-            words.clear()
+            words.forget()
             raise
     return out
 

@@ -101,11 +101,11 @@ class Chunks(Words):
         self.parts = Words()  # the same for the pre-tokens that chunks consist of
 
     def learn(self, words: list[str], merges: WordMerges) -> None:
-        if len(self.parts) > CACHED // 3:
-            self.parts.clear()
+        if len(self.parts) > CACHED // 8:
+            self.parts.turn()
         known = self.parts
         found = [self.split(c) for c in words]
-        known.learn(list({p for parts in found for p in parts if p not in known}), merges)
+        known.learn(list({p for parts in found for p in parts if p not in known and p not in known.old}), merges)
         self.update(zip(words, [known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for p in found], strict=True))
 
     split = staticmethod(splitter(_SPLIT))
