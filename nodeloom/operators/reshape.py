@@ -112,14 +112,7 @@ def interpolate(full: DataFrame, method: str = "linear", by: Sequence[str] = SER
     or takes a line.
     """
     if method == "cubic":
-        schema = full.schema
-
-        def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("pos", kind="stable")
-            pdf["value"] = fill_cubic(pdf["pos"].to_numpy(float), pdf["value"].to_numpy(float))
-            return pdf
-
-        return full.groupBy(*by).applyInPandas(fill, schema).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+        return _cubic(full, by)
     order = Window.partitionBy(*by).orderBy("pos")
     left, right = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col("value").isNotNull(), F.col("pos"))
@@ -137,6 +130,20 @@ def interpolate(full: DataFrame, method: str = "linear", by: Sequence[str] = SER
     return full.withColumn("value", F.coalesce("value", F.when(inside, filled[method])))
 
 
+def _cubic(full: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Cubic filling: a series is one row while Python has it, so that a batch holds many series."""
+
+    @F.pandas_udf("array<double>")
+    def fill(pos: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([[None if np.isnan(x) else x for x in fill_cubic(np.asarray(p, float), np.array(v, float))] for p, v in zip(pos, value, strict=True)])
+
+    rest = [c for c in full.columns if c not in (*by, "pos")]
+    packed = full.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", *rest))).alias("__rows"))
+    filled = packed.withColumn("__filled", fill(F.transform("__rows", lambda x: x["pos"]), F.transform("__rows", lambda x: x["value"])))
+    each = filled.select(*by, F.explode(F.arrays_zip("__rows", "__filled")).alias("__x"))
+    return each.select(*(F.col("__x.__filled").alias("value") if c == "value" else F.col(c) if c in by else F.col(f"__x.__rows.{c}") for c in full.columns))
+
+
 def features_long(nodes: DataFrame, metrics: Sequence[str] | None = None, concat_sessions: bool = False, method: str = "linear") -> DataFrame:
     """The gap-filled grid of a node table: one row per subject and feature."""
     long = melt(with_sessions(nodes, concat_sessions), metrics)

@@ -87,40 +87,40 @@ def _bend(x: np.ndarray, power: float) -> np.ndarray:
     return out
 
 
-def best_power(x: np.ndarray, low: float = -4.0, high: float = 4.0) -> float:
-    """The power under which the transformed values are likeliest normal, by golden sections."""
-    x = x[~np.isnan(x)]
-    if len(x) < 2 or x.std() == 0:
-        return 1.0
-
-    def loss(power: float) -> float:
-        spread = _bend(x, power).var()
-        return len(x) / 2 * np.log(spread) - (power - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum() if spread > 0 else np.inf
-
-    ratio = (np.sqrt(5) - 1) / 2
-    a, b = high - ratio * (high - low), low + ratio * (high - low)
-    fa, fb = loss(a), loss(b)
-    for _ in range(80):
-        if fa < fb:
-            high, b, fb = b, a, fa
-            a = high - ratio * (high - low)
-            fa = loss(a)
-        else:
-            low, a, fa = a, b, fb
-            b = low + ratio * (high - low)
-            fb = loss(b)
-    return (low + high) / 2
+#: Powers tried at a time, and how often the range around the best is tried again; each round is an eighth as wide.
+POWERS, ROUNDS = 17, 4
 
 
-def power_transform(df: DataFrame, by: str = FEATURE, standardize: bool = True) -> DataFrame:
-    """Yeo-Johnson with each feature's best power, then standard scaling."""
+def best_powers(df: DataFrame, by: str = FEATURE, low: float = -4.0, high: float = 4.0) -> DataFrame:
+    """(by, power): the power under which each feature's transformed values are likeliest normal.
+
+    The likelihood needs sums only, so batches are reduced to them and features never meet in one task.
+    """
     kind = dict(df.dtypes)[by]
+    known = df.where("value is not null").select(F.col(by).alias("__by"), F.col("value").cast("double").alias("__x"))
+    ranges = known.select("__by").distinct().select("__by", F.lit(low).alias("low"), F.lit(high).alias("high"))
+
+    def sums(batches):
+        for pdf in batches:
+            for name, part in pdf.groupby("__by", sort=False):
+                x, grid = part["__x"].to_numpy(), np.linspace(part["low"].iloc[0], part["high"].iloc[0], POWERS)
+                bent = [_bend(x, p) for p in grid]
+                yield pd.DataFrame({"__by": name, "power": grid, "n": len(x), "s1": [y.sum() for y in bent], "s2": [(y * y).sum() for y in bent], "logs": (np.sign(x) * np.log1p(np.abs(x))).sum()})
+
+    for _ in range(ROUNDS):
+        parts = known.join(ranges, "__by").mapInPandas(sums, f"__by {kind}, power double, n long, s1 double, s2 double, logs double")
+        whole = parts.groupBy("__by", "power").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("logs").alias("logs"))
+        spread = F.col("s2") / F.col("n") - F.pow(F.col("s1") / F.col("n"), F.lit(2.0))
+        loss = F.when(spread > 1e-300, F.col("n") / 2 * F.log(spread) - (F.col("power") - 1) * F.col("logs"))
+        best = whole.withColumn("loss", loss).groupBy("__by").agg(F.min_by("power", "loss").alias("best"), F.min("power").alias("a"), F.max("power").alias("b"))
+        step = (F.col("b") - F.col("a")) / (POWERS - 1)
+        ranges = best.select("__by", F.coalesce(F.col("best") - step, F.lit(1.0)).alias("low"), F.coalesce(F.col("best") + step, F.lit(1.0)).alias("high"))
+    return ranges.select(F.col("__by").alias(by), ((F.col("low") + F.col("high")) / 2).alias("__power"))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({by: pdf[by].iloc[:1], "__power": [best_power(pdf["value"].to_numpy(float))]})
 
-    powers = df.select(by, "value").groupBy(by).applyInPandas(search, f"`{by}` {kind}, __power double")
-    bent = df.join(powers, by).withColumn("value", yeo_johnson(F.col("value"), F.col("__power"))).drop("__power")
+def power_transform(df: DataFrame, by: str = FEATURE, standardize: bool = True) -> DataFrame:
+    """Yeo-Johnson with each feature's best power, then standard scaling; a feature without spread stays as it is."""
+    bent = df.join(best_powers(df, by), by).withColumn("value", yeo_johnson(F.col("value"), F.col("__power"))).drop("__power")
     return scale(bent, "standard", by) if standardize else bent
 
 

@@ -52,6 +52,9 @@ def test_fill_agrees_with_pandas(spark):
             np.testing.assert_allclose(out.to_numpy(), expected.to_numpy(), equal_nan=True)
         known = ~np.isnan(wide.to_numpy())
         np.testing.assert_array_equal(out.to_numpy()[known], wide.to_numpy()[known])
+    cubic = reshape.features_long(df, method="cubic").toPandas().pivot(index="nodeID", columns="subjectID", values="value").astype(float)
+    for s in wide.columns:
+        np.testing.assert_allclose(cubic[s].to_numpy(), series.fill_cubic(np.arange(float(len(wide))), wide[s].to_numpy()), equal_nan=True)
 
 
 def test_bundles_keep_empty_subjects_and_take_functions(spark):
@@ -279,8 +282,17 @@ def test_imputers_and_scalers(spark):
         scale.scale(df, "upside")
     with pytest.raises(ValueError):
         scale.impute(df, "guess")
-    positive = np.exp(np.random.default_rng(0).normal(3, 0.4, size=2000)) - 1  # its logarithm after adding one is normal
-    assert abs(scale.best_power(positive)) < 0.15
+    random = np.random.default_rng(0)
+    columns = [np.exp(random.normal(3, 0.4, size=500)) - 1, random.normal(size=500), random.gamma(2, size=500) - 1, np.full(500, 2.0)]
+    long = spark.createDataFrame([(k, j, float(v)) for j, c in enumerate(columns) for k, v in enumerate(c)], "k int, feature_idx int, value double").repartition(3)
+    powers = {r["feature_idx"]: r["__power"] for r in scale.best_powers(long).collect()}
+    for j, c in enumerate(columns[:3]):
+        loss = lambda p, c=c: len(c) / 2 * np.log(scale._bend(c, p).var()) - (p - 1) * (np.sign(c) * np.log1p(np.abs(c))).sum()
+        grid = np.linspace(-4, 4, 4001)
+        assert abs(powers[j] - grid[np.argmin([loss(p) for p in grid])]) < 0.01
+    assert abs(powers[0]) < 0.3  # the logarithm after adding one is normal
+    out = scale.power_transform(long).groupBy("feature_idx").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).orderBy("feature_idx").collect()
+    assert all(abs(r["m"]) < 1e-9 and abs(r["s"] - 1) < 1e-9 for r in out[:3])
 
 
 def test_coefficients(spark):
@@ -410,3 +422,25 @@ def test_stream(spark, tmp_path):
     out = running_means(source, "v").writeStream.format("memory").queryName("means").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     out.awaitTermination(120)
     assert sorted(r["mean"] for r in spark.table("means").collect()) == [2.0, 5.0]
+
+
+def test_mapper_gives_others_its_features(spark):
+    from nodeloom.plans.mapper import FeatureMapper
+
+    nodes = _nodes(spark)
+    mapper = FeatureMapper().fit(nodes)
+    assert mapper.feature_names() == [("m", t, n) for t in "AB" for n in (0, 1, 3, 4, 5)]
+    other = spark.createDataFrame([("x", "A", 0, 1.0), ("x", "A", 9, 7.0), ("x", "C", 0, 7.0), ("x", "A", 3, 2.0)], "subjectID string, tractID string, nodeID int, m double")
+    out = mapper.transform(other).orderBy("feature_idx").collect()
+    assert [r["value"] for r in out] == [1, 1.5, 2, None, None] + [None] * 5
+    same = mapper.transform(nodes).select("subjectID", "feature_idx", "value")
+    assert same.exceptAll(reshape.features_long(nodes).select("subjectID", "feature_idx", "value")).count() == 0
+    assert FeatureMapper(bundles="mean").fit_transform(nodes).where("subjectID = 's3'").count() == 2
+
+
+def test_grids_of_any_size_agree(spark, monkeypatch):
+    nodes = _nodes(spark)
+    small = reshape.features_long(nodes).collect()
+    monkeypatch.setattr(reshape, "DIMENSION_LIMIT", 1)
+    large = reshape.features_long(nodes).select(*small[0].asDict()).collect()
+    assert sorted(map(str, small)) == sorted(map(str, large))
