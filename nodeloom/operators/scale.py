@@ -125,20 +125,45 @@ def power_transform(df: DataFrame, by: str = FEATURE, standardize: bool = True)
 
 
 def group_components(df: DataFrame, key: str, n: int, group: str = "group_idx", by: str = FEATURE) -> DataFrame:
-    """(key, group, component, value): the first ``n`` principal components of each group's features."""
-    kinds = dict(df.dtypes)
+    """(key, group, component, value): the first ``n`` principal components of each group's features.
+
+    Every row must have all features of a group. Batches are reduced to sums and cross products, which are
+    added natively; only the covariance of a group meets in one task, never its rows.
+    """
+    kind = dict(df.dtypes)[group]
+    values = F.transform(F.array_sort(F.collect_list(F.struct(by, F.col("value").cast("double").alias("value")))), lambda s: s["value"])
+    packed = df.groupBy(key, group).agg(values.alias("x")).withColumnRenamed(group, "__g")
 
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index=key, columns=by, values="value")
-        x = wide.to_numpy(float)
-        x = x - x.mean(0)
-        u, s, vt = np.linalg.svd(x, full_matrices=False)
-        sign = np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])
-        scores = (u * s * sign)[:, :n]
-        rows = [(k, pdf[group].iloc[0], c, float(v)) for k, row in zip(wide.index, scores, strict=True) for c, v in enumerate(row)]
-        return pd.DataFrame(rows, columns=[key, group, "component", "value"])
-
-    return df.groupBy(group).applyInPandas(reduce, f"`{key}` {kinds[key]}, `{group}` {kinds[group]}, component int, value double")
+    def sums(batches):
+        for pdf in batches:
+            for g, part in pdf.groupby("__g", sort=False):
+                x = np.stack(part["x"].to_numpy())
+                yield pd.DataFrame({"__g": [g], "sums": [np.concatenate(([len(x)], x.sum(0), (x.T @ x).reshape(-1)))]})
+
+    parts = packed.select("__g", "x").mapInPandas(sums, f"__g {kind}, sums array<double>")
+    total = parts.select("__g", F.posexplode("sums").alias("i", "s")).groupBy("__g", "i").agg(F.sum("s").alias("s"))
+    whole = total.groupBy("__g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("sums"))
+
+    @F.pandas_udf("mean array<double>, axes array<double>")
+    def axes(found: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s in found:
+            s = np.asarray(s)
+            p = int(round((np.sqrt(4 * len(s) - 3) - 1) / 2))
+            mean = s[1 : p + 1] / s[0]
+            _, vectors = np.linalg.eigh(s[p + 1 :].reshape(p, p) / s[0] - np.outer(mean, mean))
+            top = vectors[:, ::-1][:, :n].T
+            top = top * np.sign(top[np.arange(len(top)), np.abs(top).argmax(1)])[:, None]
+            rows.append((mean, top.reshape(-1)))
+        return pd.DataFrame(rows, columns=["mean", "axes"])
+
+    @F.pandas_udf("array<double>")
+    def scores(x: pd.Series, mean: pd.Series, axes: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(a).reshape(-1, len(v)) @ (np.asarray(v) - np.asarray(m)) for v, m, a in zip(x, mean, axes, strict=True)])
+
+    fitted = whole.select("__g", axes("sums").alias("f")).select("__g", "f.mean", "f.axes")
+    scored = packed.join(fitted, "__g").select(key, F.col("__g").alias(group), scores("x", "mean", "axes").alias("s"))
+    return scored.select(key, group, F.posexplode("s").alias("component", "value"))
 
 
 def combat(df: DataFrame, site: str, covariates: Sequence[str] = (), by: str = FEATURE, key: str = "subjectID", rounds: int = 100) -> DataFrame:

@@ -444,3 +444,16 @@ def test_grids_of_any_size_agree(spark, monkeypatch):
     monkeypatch.setattr(reshape, "DIMENSION_LIMIT", 1)
     large = reshape.features_long(nodes).select(*small[0].asDict()).collect()
     assert sorted(map(str, small)) == sorted(map(str, large))
+
+
+def test_group_components(spark):
+    random = np.random.default_rng(4)
+    x = random.normal(size=(60, 8)) @ random.normal(size=(8, 8))
+    long = spark.createDataFrame([(k, j // 4, j, float(x[k, j])) for k in range(60) for j in range(8)], "k int, group_idx int, feature_idx int, value double").repartition(4)
+    out = scale.group_components(long, "k", 2).toPandas()
+    for g in range(2):
+        part = x[:, 4 * g : 4 * g + 4]
+        u, s, vt = np.linalg.svd(part - part.mean(0), full_matrices=False)
+        sign = np.sign(vt[np.arange(4), np.abs(vt).argmax(1)])
+        got = out[out.group_idx == g].pivot(index="k", columns="component", values="value").to_numpy()
+        np.testing.assert_allclose(got, (u * s * sign)[:, :2], atol=1e-8)
