@@ -457,3 +457,16 @@ def test_group_components(spark):
         sign = np.sign(vt[np.arange(4), np.abs(vt).argmax(1)])
         got = out[out.group_idx == g].pivot(index="k", columns="component", values="value").to_numpy()
         np.testing.assert_allclose(got, (u * s * sign)[:, :2], atol=1e-8)
+
+
+def test_sites_are_harmonised(spark):
+    random = np.random.default_rng(6)
+    rows = [(f"s{i}", "ab"[i % 2], float(i % 5), j, float(random.normal() * (1 + i % 2) + 3 * (i % 2) + 0.5 * (i % 5) + j)) for i in range(80) for j in range(6)]
+    df = spark.createDataFrame(rows, "subjectID string, site string, age double, feature_idx int, value double")
+    out = scale.combat(df, "site", ["age"])
+    assert out.count() == df.count()
+    apart = lambda d: d.groupBy("feature_idx").agg(F.abs(F.avg(F.when(F.col("site") == "a", F.col("value"))) - F.avg(F.when(F.col("site") == "b", F.col("value")))).alias("x")).agg(F.max("x")).first()[0]
+    spread = lambda d: [r["s"] for r in d.groupBy("site").agg(F.stddev("value").alias("s")).orderBy("site").collect()]
+    assert apart(df) > 2 and apart(out) < 0.5
+    before, after = spread(df), spread(out)
+    assert after[1] / after[0] < before[1] / before[0]
