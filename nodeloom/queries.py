@@ -123,9 +123,9 @@ def bundle_aggregates(spark, sf_dir):
     return out
 
 
-@query(f"""WITH {FILLED} SELECT s AS "subjectID", CAST(g AS INTEGER) AS group_idx, m AS metric, t AS "tractID", round(avg(v), 6) + 0.0 AS value FROM filled GROUP BY ALL""")
+@query(f"""WITH {FILLED} SELECT s AS "subjectID", CAST(g AS INTEGER) AS group_idx, m AS metric, t AS "tractID", round(avg(v), 9) + 0.0 AS value FROM filled GROUP BY ALL""")
 def bundle_means(spark, sf_dir):
-    return reshape.bundle_means(filled(spark, sf_dir)).withColumn("value", r("value"))
+    return reshape.bundle_means(filled(spark, sf_dir)).withColumn("value", r("value", 9))
 
 
 @query(f"""WITH {GRID} SELECT m AS metric, t AS "tractID", n AS "nodeID", pos, CAST(g AS INTEGER) AS group_idx, CAST(f AS INTEGER) AS feature_idx FROM dim""")
@@ -296,10 +296,10 @@ def width_bins(spark, sf_dir):
     return c.select(SUBJECT, profiles.bin_index(F.col("c_acctbal"), profiles.width_edges(c, "c_acctbal", 5)).alias("bin"))
 
 
-@query(f"""WITH {_QBINS}, {FILLED} SELECT m AS metric, t AS "tractID", 'balance ' || printf('%.2f', e[b + 1]) || '-' || printf('%.2f', e[b + 2]) AS hue, n AS "nodeID", round(avg(v), 6) + 0.0 AS mean, count(v) AS n FROM filled JOIN bins USING (s) WHERE v IS NOT NULL GROUP BY ALL""")
+@query(f"""WITH {_QBINS}, {FILLED} SELECT m AS metric, t AS "tractID", 'balance ' || printf('%.2f', e[b + 1]) || '-' || printf('%.2f', e[b + 2]) AS hue, n AS "nodeID", round(avg(v), 9) + 0.0 AS mean, count(v) AS n FROM filled JOIN bins USING (s) WHERE v IS NOT NULL GROUP BY ALL""")
 def mean_profiles(spark, sf_dir):
     hues = profiles.hue(customers(spark, sf_dir), "c_acctbal", quantiles=4, name="balance")
-    return profiles.mean_profiles(filled(spark, sf_dir), hues).withColumn("mean", r("mean"))
+    return profiles.mean_profiles(filled(spark, sf_dir), hues).withColumn("mean", r("mean", 9))
 
 
 @query()
@@ -311,9 +311,9 @@ def profile_intervals(spark, sf_dir):
 _GROUPS = """grps AS (SELECT CAST(c_custkey AS VARCHAR) AS s, c_mktsegment = 'BUILDING' AS h FROM customer)"""
 
 
-@query(f"""WITH {_GROUPS}, {FILLED} SELECT m AS metric, t AS "tractID", n AS "nodeID", round(avg(v) FILTER (h) - avg(v) FILTER (NOT h), 6) + 0.0 AS coef FROM filled JOIN grps USING (s) WHERE v IS NOT NULL GROUP BY ALL HAVING count(v) FILTER (h) > 0 AND count(v) FILTER (NOT h) > 0 AND count(v) > 2""")
+@query(f"""WITH {_GROUPS}, {FILLED} SELECT m AS metric, t AS "tractID", n AS "nodeID", round(avg(v) FILTER (h) - avg(v) FILTER (NOT h), 9) + 0.0 AS coef FROM filled JOIN grps USING (s) WHERE v IS NOT NULL GROUP BY ALL HAVING count(v) FILTER (h) > 0 AND count(v) FILTER (NOT h) > 0 AND count(v) > 2""")
 def group_difference(spark, sf_dir):
-    return _tests(spark, sf_dir).select("metric", TRACT, NODE, r("coef").alias("coef"))
+    return _tests(spark, sf_dir).select("metric", TRACT, NODE, r("coef", 9).alias("coef"))
 
 
 def _tests(spark, sf_dir):
