@@ -30,21 +30,57 @@ def impute(df: DataFrame, strategy: str = "mean", fill: float = 0.0, by: str = F
     return df.join(stats, by).withColumn("value", F.coalesce("value", "__fill")).drop("__fill")
 
 
-def impute_nearest(df: DataFrame, key: str, k: int = 5, by: str = FEATURE) -> DataFrame:
+#: Rows that look for neighbours, and rows that are looked at, in one task.
+NEAREST_ROWS = 2_048
+
+
+def impute_nearest(df: DataFrame, key: str, k: int = 5, by: str = FEATURE, rows: int = NEAREST_ROWS) -> DataFrame:
     """Nulls replaced by the mean over the ``k`` nearest rows that have the feature.
 
     Distances are Euclidean over shared features, scaled up for those not shared; rows that share none
     are no neighbours, and a feature without neighbours gets its mean. Only rows with a null look for
-    neighbours.
+    neighbours. They look at all rows, in blocks of about ``rows`` that meet two by two; a pair of blocks
+    gives its ``k`` nearest, never its pairs.
     """
     df = df.join(df.groupBy(by).agg(F.avg("value").alias("__mean")).where("__mean is not null"), by)
-    total = df.agg(F.countDistinct(by)).first()[0]
-    seeking = df.where("value is null").select(key).distinct()
-    a = df.where("value is not null").join(seeking, key, "left_semi").select(F.col(key).alias("__a"), by, F.col("value").alias("__x"))
-    b = df.where("value is not null").select(F.col(key).alias("__b"), by, F.col("value").alias("__y"))
-    near = a.join(b, by).where("__a <> __b").groupBy("__a", "__b").agg((F.sum(F.pow(F.col("__x") - F.col("__y"), 2)) * total / F.count("*")).alias("__d"))
-    asked = df.where("value is null").select(F.col(key).alias("__a"), by)
-    offers = asked.join(near, "__a").join(b, ["__b", by])
+    names = sorted(r[0] for r in df.select(by).distinct().collect())
+    kinds = dict(df.dtypes)
+    cells = F.collect_list(F.struct(F.col(by).alias("f"), F.col("value").cast("double").alias("v")))
+    packed = df.groupBy(key).agg(cells.alias("x"), F.max(F.col("value").isNull()).alias("seeks"))
+    n, m = packed.agg(F.count("*"), F.count_if("seeks")).first()
+    pieces = lambda count: max(1, -(-count // rows))
+    of = lambda count: F.pmod(F.xxhash64(key), F.lit(pieces(count))).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(pieces(count) - 1)))
+    seekers = packed.where("seeks").select(F.col(key).alias("__a"), F.col("x").alias("x"), of(m).alias("i"), every(n).alias("j"))
+    looked_at = packed.select(F.col(key).alias("__b"), F.col("x").alias("x"), of(n).alias("j"), every(m).alias("i"))
+    place = {name: c for c, name in enumerate(names)}
+
+    def dense(cells: pd.Series) -> np.ndarray:
+        out = np.full((len(cells), len(names)), np.nan)
+        for r, found in enumerate(cells):
+            for cell in found:
+                if cell["v"] is not None:
+                    out[r, place[cell["f"]]] = cell["v"]
+        return out
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("__b")  # of equal distances the smallest key
+        x, y, mine, theirs = dense(a["x"]), dense(b["x"]), a["__a"].to_numpy(), b["__b"].to_numpy()
+        out = []
+        for r in range(len(x)):
+            square = (y - x[r]) ** 2
+            shared = (~np.isnan(square)).sum(1)
+            usable = (shared > 0) & (theirs != mine[r])
+            distance = np.full(len(y), np.inf)
+            distance[usable] = np.nansum(square[usable], 1) * len(names) / shared[usable]
+            order = np.argsort(distance, kind="stable")
+            for c in np.flatnonzero(np.isnan(x[r])):
+                best = order[usable[order] & ~np.isnan(y[order, c])][:k]
+                out += [(mine[r], names[c], distance[o], theirs[o], y[o, c]) for o in best]
+        return pd.DataFrame(out, columns=["__a", by, "__d", "__b", "__y"])
+
+    schema = f"__a {kinds[key]}, `{by}` {kinds[by]}, __d double, __b {kinds[key]}, __y double"
+    offers = seekers.groupBy("i", "j").cogroup(looked_at.groupBy("i", "j")).applyInPandas(lambda a, b: nearest(a, b), schema)
     first = Window.partitionBy("__a", by).orderBy("__d", "__b")
     found = offers.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k).groupBy("__a", by).agg(F.avg("__y").alias("__fill"))
     filled = df.join(found.withColumnRenamed("__a", key), [key, by], "left")

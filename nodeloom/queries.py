@@ -353,8 +353,7 @@ def windowed_means(spark, sf_dir):
 # Matching.
 
 
-def _units(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey < 400")
+def _units(c):
     return c.select("c_custkey", (F.col("c_mktsegment") == "BUILDING").alias("status"), "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
 
 
@@ -365,15 +364,24 @@ _UNITS = """u AS (SELECT c_custkey, c_mktsegment = 'BUILDING' AS status, c_acctb
 @query(f"""WITH {_UNITS}, d AS (SELECT x.c_custkey AS test_id, y.c_custkey AS ctrl_id, sqrt(((x.a - y.a) * (x.a - y.a) * bb - 2 * (x.a - y.a) * (x.b - y.b) * ab + (x.b - y.b) * (x.b - y.b) * aa) / (aa * bb - ab * ab)) AS dist
  FROM u x JOIN u y ON x.status AND NOT y.status, cv) SELECT test_id, ctrl_id, round(dist, 6) + 0.0 AS dist FROM d WHERE dist <= 0.05""")
 def pair_distances(spark, sf_dir):
-    u = _units(spark, sf_dir)
+    return _distances(_units(table(spark, sf_dir, "customer").where("c_custkey < 400"))).where("dist <= 0.05").withColumn("dist", r("dist"))
+
+
+def _distances(u):
     test, control = match.split_by_status(u, "status")
     names = ["c_acctbal", "nation"]
-    return match.pair_distances(test, control, names, match.precision(u, names), "c_custkey").where("dist <= 0.05").withColumn("dist", r("dist"))
+    return match.pair_distances(test, control, names, match.precision(u, names), "c_custkey")
+
+
+@query()
+def all_pair_distances(spark, sf_dir):
+    return _distances(_units(table(spark, sf_dir, "customer")))
 
 
 @query()
 def matched_units(spark, sf_dir):
-    return match.mahalanobis_match(_units(spark, sf_dir), "status", "c_custkey", threshold=0.2)
+    u = _units(table(spark, sf_dir, "customer"))
+    return match.mahalanobis_match(u.withColumn("block", F.col("nation")), "status", "c_custkey", ["c_acctbal", "nation"], threshold=0.2, block="block").drop("block")
 
 
 # Imputation and scaling.
@@ -401,7 +409,15 @@ _KNN = """WITH g AS (SELECT c_custkey AS s, f, v FROM (SELECT c_custkey, 0 AS f,
 
 @query(_KNN)
 def imputed_by_neighbours(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey < 60")
+    return _by_neighbours(table(spark, sf_dir, "customer").where("c_custkey < 60"))
+
+
+@query()
+def all_imputed_by_neighbours(spark, sf_dir):
+    return _by_neighbours(table(spark, sf_dir, "customer"))
+
+
+def _by_neighbours(c):
     key = F.col("c_custkey")
     x = F.array(F.when(key % 5 != 0, F.col("c_acctbal") / 1000), F.when(key % 7 != 1, F.col("c_nationkey").cast("double")), (key * 37 % 101).cast("double"))
     long = c.select("c_custkey", F.posexplode(x).alias("feature_idx", "value"))
@@ -540,7 +556,7 @@ def mapped_features(spark, sf_dir):
     from nodeloom.plans.mapper import FeatureMapper
 
     n = nodes(spark, sf_dir)
-    return FeatureMapper(metrics=["value"]).fit(n).transform(n.where("cast(subjectID as int) % 2 = 0"))
+    return FeatureMapper(metrics=["value"]).fit(n).transform(n)
 
 
 @query()

@@ -295,6 +295,22 @@ def test_imputers_and_scalers(spark):
     assert all(abs(r["m"]) < 1e-9 and abs(r["s"] - 1) < 1e-9 for r in out[:3])
 
 
+def test_neighbours_of_all_rows(spark):
+    random = np.random.default_rng(4)
+    x = random.normal(size=(90, 3)).round(2)
+    x[random.random(x.shape) < 0.2] = np.nan
+    x[:3] = np.nan  # share nothing
+    long = spark.createDataFrame([(i, j, None if np.isnan(v) else float(v)) for i, row in enumerate(x) for j, v in enumerate(row)], "k int, feature_idx int, value double")
+    got = {(r["k"], r["feature_idx"]): r["value"] for r in scale.impute_nearest(long, "k", 4, rows=16).collect()}
+    for i, j in itertools.product(range(90), range(3)):
+        want = x[i, j]
+        if np.isnan(want):
+            square = (x - x[i]) ** 2
+            offers = sorted((np.nansum(square[b]) * 3 / n, b) for b in range(90) if b != i and (n := (~np.isnan(square[b])).sum()) and not np.isnan(x[b, j]))
+            want = np.mean([x[b, j] for _, b in offers[:4]]) if offers else np.nanmean(x[:, j])
+        assert math.isclose(got[i, j], want, abs_tol=1e-9)
+
+
 def test_coefficients(spark):
     rows = [(m, t, n, n, (0.0 if t == "Right SLF" else 1.0) * (i * 10 + n)) for i, (m, t) in enumerate(itertools.product("ab", ("Left SLF", "Right SLF"))) for n in range(3)]
     df = spark.createDataFrame(rows, "metric string, tractID string, nodeID int, pos int, beta double")

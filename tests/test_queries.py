@@ -1,14 +1,17 @@
 """Every registered query with SQL gives the rows that SQL gives; the others give rows."""
 
+import collections
 import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from nodeloom import queries
+from nodeloom.operators import match
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
 
 
@@ -36,3 +39,29 @@ def test_same_as_sql(spark, con, name, tmp_path):
 def test_gives_rows(spark, name):
     rows = queries.QUERIES[name](spark, SF)
     assert rows.count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="the test tables are not here")
+def test_all_rows_are_used(spark):
+    c = spark.read.parquet(f"{LARGER}/customer.parquet")
+    ids = {r[0] for r in c.select("c_custkey").collect()}
+    assert max(ids) > 1_000
+    assert queries.QUERIES["all_imputed_by_neighbours"](spark, LARGER).where("value is not null").count() == 3 * len(ids)
+    tests = c.where("c_mktsegment = 'BUILDING'").count()
+    assert queries.QUERIES["all_pair_distances"](spark, LARGER).count() == tests * (len(ids) - tests)
+    units = {r["c_custkey"]: r for r in queries._units(c).collect()}
+    x = np.array([(r["c_acctbal"], r["nation"]) for r in units.values()])
+    spread = np.sqrt(np.linalg.inv(np.cov(x.T, bias=True))[0, 0])
+    got = collections.defaultdict(dict)
+    for r in queries.QUERIES["matched_units"](spark, LARGER).collect():
+        got[r["nation"], r["ord"]][r["side"]] = r["c_custkey"]
+    assert all(units[p[0]]["status"] and not units[p[1]]["status"] and units[p[0]]["nation"] == units[p[1]]["nation"] == n for (n, _), p in got.items())
+    want = 0
+    for n in {r["nation"] for r in units.values()}:
+        a, b = ([r["c_acctbal"] for r in units.values() if r["nation"] == n and r["status"] == s] for s in (True, False))
+        cost = np.abs(np.subtract.outer(a, b)) * spread
+        want += (cost[match.assign(cost)] <= 0.2).sum()
+    assert len({i for p in got.values() for i in p.values()}) == 2 * len(got)
+    assert abs(len(got) - want) <= 3 and max(p[0] for p in got.values()) > 1_000  # assignments of equal cost differ in what is over the threshold
+    subjects = spark.read.parquet(f"{LARGER}/events.parquet").where("value is not null").select("user_id").distinct().count()
+    assert queries.QUERIES["mapped_features"](spark, LARGER).select("subjectID").distinct().count() == subjects
