@@ -220,6 +220,21 @@ def test_near_duplicates_edges(spark, edge, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [4, 4_096])
+def test_similar_is_decided_on_the_sets(spark, chunk):
+    """Pairs from 0.70 to 0.90, each its own pair of texts: those from 0.8 on lose one, those below lose none."""
+    r, rows, want = random.Random(3), [], []
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    for k in range(120):
+        base = [word() for _ in range(304)]  # 300 shingles
+        n = 15 + k % 40
+        other = [*base[:-n], *(word() for _ in range(n))]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        want += [2 * k] if 300 - n >= 0.8 * (300 + n) else [2 * k, 2 * k + 1]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in similar.keep_one_of_each(df, chunk=chunk).collect()) == want
+
+
 def test_similar_keeps_one_of_each(spark, edge, empty):
     base = prose(11, 200).split()
     near = [*base[:100], "new", *base[101:]]

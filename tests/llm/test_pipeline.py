@@ -69,6 +69,18 @@ def test_one_of_each_group_stays(stages):
     assert out.exceptAll(given).count() == 0
 
 
+def test_groups_are_those_of_the_true_similarity(stages):
+    _, given, out = stages[1]
+    rows = {r["doc_id"]: shingles(r["text"]) for r in given.collect()}
+    root = {i: i for i in rows}
+    for i in sorted(rows):
+        for j in rows:
+            if i < j and len(both := rows[i] & rows[j]) >= 0.8 * len(rows[i] | rows[j]) and both and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if x == b else x for k, x in root.items()}
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(root.values()))
+
+
 def test_repeats_go(stages):
     _, given, out = stages[2]
     data = {r["doc_id"]: r["text"].encode() for r in given.collect()}
