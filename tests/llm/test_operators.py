@@ -235,6 +235,31 @@ def test_similar_is_decided_on_the_sets(spark, chunk):
     assert sorted(x["doc_id"] for x in similar.keep_one_of_each(df, chunk=chunk).collect()) == want
 
 
+@pytest.mark.parametrize("chunk", [30, 4_096])
+def test_similar_with_repeated_lines(spark, chunk):
+    """Texts that differ in how often a line stands in them, alone and under one large key."""
+    r, rows = random.Random(5), []
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    for k in range(30):
+        head, line = [word() for _ in range(120)], [word() for _ in range(8)]
+        rows += [(100 * k + j, " ".join(head + line * n)) for j, n in enumerate((1, 10, 20, 40))]
+        assert similar.describe(rows[-1][1], 5)[0] == similar.describe(rows[-2][1], 5)[0]  # equal sets
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in similar.keep_one_of_each(df, chunk=chunk).collect()) == [100 * k for k in range(30)]
+
+
+def test_every_pair_of_a_key_is_looked_at():
+    """Against all pairs, for groups small and large and fingerprints that say nothing."""
+    r = np.random.default_rng(2)
+    group = np.repeat([0, 1, 2], [40, 200, 3])
+    values, kind = r.integers(0, 1 << 63, len(group), dtype=np.uint64), r.integers(0, 30, len(group))
+    a, b = similar.whole_forest(values, group, lambda x, y: kind[x] == kind[y])
+    of = np.arange(len(group))
+    of[a] = b
+    same = lambda x: {tuple(np.flatnonzero((x == x[i]) & (group == group[i]))) for i in range(len(group))}
+    assert same(of) == same(kind)
+
+
 def test_similar_keeps_one_of_each(spark, edge, empty):
     base = prose(11, 200).split()
     near = [*base[:100], "new", *base[101:]]
