@@ -125,12 +125,16 @@ def _bend(x: np.ndarray, power: float) -> np.ndarray:
 
 #: Powers tried at a time, and how often the range around the best is tried again; each round is an eighth as wide.
 POWERS, ROUNDS = 17, 4
+#: How often a range is doubled at most.
+WIDENED = 24
 
 
 def best_powers(df: DataFrame, by: str = FEATURE, low: float = -4.0, high: float = 4.0) -> DataFrame:
     """(by, power): the power under which each feature's transformed values are likeliest normal.
 
-    The likelihood needs sums only, so batches are reduced to them and features never meet in one task.
+    A range whose best power lies at its edge is doubled for that feature until it lies inside, ``WIDENED``
+    times at most; powers under which values overflow or lose their spread are never the best. The
+    likelihood needs sums only, so batches are reduced to them and features never meet in one task.
     """
     kind = dict(df.dtypes)[by]
     known = df.where("value is not null").select(F.col(by).alias("__by"), F.col("value").cast("double").alias("__x"))
@@ -140,18 +144,34 @@ def best_powers(df: DataFrame, by: str = FEATURE, low: float = -4.0, high: float
         for pdf in batches:
             for name, part in pdf.groupby("__by", sort=False):
                 x, grid = part["__x"].to_numpy(), np.linspace(part["low"].iloc[0], part["high"].iloc[0], POWERS)
-                bent = [_bend(x, p) for p in grid]
+                with np.errstate(all="ignore"):  # what overflows is never the best
+                    bent = [_bend(x, p) for p in grid]
                 yield pd.DataFrame({"__by": name, "power": grid, "n": len(x), "s1": [y.sum() for y in bent], "s2": [(y * y).sum() for y in bent], "logs": (np.sign(x) * np.log1p(np.abs(x))).sum()})
 
-    for _ in range(ROUNDS):
+    def losses(known, ranges):
         parts = known.join(ranges, "__by").mapInPandas(sums, f"__by {kind}, power double, n long, s1 double, s2 double, logs double")
         whole = parts.groupBy("__by", "power").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("logs").alias("logs"))
         spread = F.col("s2") / F.col("n") - F.pow(F.col("s1") / F.col("n"), F.lit(2.0))
-        loss = F.when(spread > 1e-300, F.col("n") / 2 * F.log(spread) - (F.col("power") - 1) * F.col("logs"))
-        best = whole.withColumn("loss", loss).groupBy("__by").agg(F.min_by("power", "loss").alias("best"), F.min("power").alias("a"), F.max("power").alias("b"))
-        step = (F.col("b") - F.col("a")) / (POWERS - 1)
-        ranges = best.select("__by", F.coalesce(F.col("best") - step, F.lit(1.0)).alias("low"), F.coalesce(F.col("best") + step, F.lit(1.0)).alias("high"))
-    return ranges.select(F.col("__by").alias(by), ((F.col("low") + F.col("high")) / 2).alias("__power"))
+        loss = F.when(spread > F.greatest(F.lit(1e-300), 1e-13 * F.col("s2") / F.col("n")), F.col("n") / 2 * F.log(spread) - (F.col("power") - 1) * F.col("logs"))
+        best = whole.withColumn("loss", F.when(~F.isnan(loss), loss)).groupBy("__by").agg(F.min_by("power", "loss").alias("best"), F.min("power").alias("a"), F.max("power").alias("b"))
+        return best.withColumn("step", (F.col("b") - F.col("a")) / (POWERS - 1))
+
+    settled = None
+    for widened in range(WIDENED):  # ranges of features whose best power is at the edge
+        found = losses(known, ranges).persist()
+        edge = F.coalesce((F.col("best") == F.col("a")) | (F.col("best") == F.col("b")), F.lit(False))
+        inside = found.where(~edge)
+        settled = inside if settled is None else settled.unionByName(inside)
+        ranges = found.where(edge).select("__by", (F.col("a") * 2).alias("low"), (F.col("b") * 2).alias("high"))
+        if ranges.isEmpty():
+            break
+    else:
+        settled = settled.unionByName(found.where(edge))
+    for _ in range(ROUNDS - 1 + -(-widened // 3)):  # as fine in the end, whatever the range
+        near = settled.select("__by", F.coalesce(F.col("best") - F.col("step"), F.lit(1.0)).alias("low"), F.coalesce(F.col("best") + F.col("step"), F.lit(1.0)).alias("high"))
+        settled = losses(known, near)
+    ranges = settled.select("__by", F.coalesce("best", F.lit(1.0)).alias("__power"))
+    return ranges.withColumnRenamed("__by", by)
 
 
 def power_transform(df: DataFrame, by: str = FEATURE, standardize: bool = True) -> DataFrame:

@@ -295,6 +295,19 @@ def test_imputers_and_scalers(spark):
     assert all(abs(r["m"]) < 1e-9 and abs(r["s"] - 1) < 1e-9 for r in out[:3])
 
 
+def test_powers_beyond_the_first_range(spark):
+    random = np.random.default_rng(1)
+    columns = [np.exp(random.normal(0, 2.5, size=400)), random.normal(1e-3, 1e-4, size=400) ** 2 * 1e3]
+    columns[0] = (columns[0] - columns[0].mean()) / columns[0].std()
+    long = spark.createDataFrame([(k, j, float(v)) for j, c in enumerate(columns) for k, v in enumerate(c)], "k int, feature_idx int, value double").repartition(3)
+    powers = {r["feature_idx"]: r["__power"] for r in scale.best_powers(long).collect()}
+    for j, c in enumerate(columns):
+        loss = lambda p, c=c: len(c) / 2 * np.log(scale._bend(c, p).var()) - (p - 1) * (np.sign(c) * np.log1p(np.abs(c))).sum()
+        assert abs(powers[j]) > 5 and loss(powers[j]) < loss(-4.5 if powers[j] < 0 else 4.5)
+        around = np.linspace(powers[j] - abs(powers[j]) / 2, powers[j] + abs(powers[j]) / 2, 2001)
+        assert abs(powers[j] / around[np.argmin([loss(p) for p in around])] - 1) < 0.01
+
+
 def test_neighbours_of_all_rows(spark):
     random = np.random.default_rng(4)
     x = random.normal(size=(90, 3)).round(2)
