@@ -101,7 +101,7 @@ def interpolated_otherwise(spark, sf_dir):
 
 @query()
 def interpolated_cubic(spark, sf_dir):
-    return reshape.features_long(nodes(spark, sf_dir), ["value"], method="cubic").select(SUBJECT, TRACT, NODE, "value")
+    return reshape.features_long(nodes(spark, sf_dir), ["value", "k"], method="cubic").select(SUBJECT, "metric", TRACT, NODE, "value")
 
 
 @query(f"""WITH {NODES} SELECT s || CAST(n % 2 AS VARCHAR) AS "subjectID", t AS "tractID", n AS "nodeID", 'value' AS metric, round(avg(value), 6) + 0.0 AS value FROM nodes WHERE value IS NOT NULL GROUP BY ALL""")
@@ -305,7 +305,7 @@ def mean_profiles(spark, sf_dir):
 @query()
 def profile_intervals(spark, sf_dir):
     hues = profiles.hue(customers(spark, sf_dir), "c_acctbal", quantiles=2, name="balance")
-    return profiles.profiles_with_intervals(filled(spark, sf_dir, ["value"]), hues, 500)
+    return profiles.profiles_with_intervals(filled(spark, sf_dir), hues, 500)
 
 
 _GROUPS = """grps AS (SELECT CAST(c_custkey AS VARCHAR) AS s, c_mktsegment = 'BUILDING' AS h FROM customer)"""
@@ -556,7 +556,7 @@ def mapped_features(spark, sf_dir):
     from nodeloom.plans.mapper import FeatureMapper
 
     n = nodes(spark, sf_dir)
-    return FeatureMapper(metrics=["value"]).fit(n).transform(n)
+    return FeatureMapper(metrics=["value", "k"]).fit(n).transform(n)
 
 
 @query()

@@ -41,6 +41,11 @@ def test_gives_rows(spark, name):
     assert rows.count() > 0
 
 
+@pytest.mark.parametrize("name", ["interpolated_cubic", "profile_intervals", "mapped_features"])
+def test_both_metrics(spark, name):
+    assert {r[0] for r in queries.QUERIES[name](spark, SF).select("metric").distinct().collect()} == {"value", "k"}
+
+
 @pytest.mark.skipif(not os.path.isdir(LARGER), reason="the test tables are not here")
 def test_all_rows_are_used(spark):
     c = spark.read.parquet(f"{LARGER}/customer.parquet")
