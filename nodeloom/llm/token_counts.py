@@ -4,8 +4,9 @@ No piece of the model holds a word boundary anywhere but at its start, so no mer
 place between a character and a following space: a text falls apart into pre-tokens, each a run of
 spaces and the characters up to the next space, and its count is the sum of theirs. The first
 tier is a compact table of the lengths of frequent pre-tokens, built once and broadcast; what it
-lacks goes to the second tier, a cache that each Python worker fills by encoding the miss. No
-pre-token is ever shuffled, and the result does not depend on what the first tier holds.
+lacks goes to the second tier, a cache that each Python worker fills by encoding the miss.
+Frequencies are counted over all texts and added up in each task before they are shuffled; the
+result does not depend on what the first tier holds.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows each get a row;
 nothing else of the row is read.
@@ -22,10 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeloom.llm._common import append_columns, quoted
+from nodeloom.llm._common import append_columns, quoted, stored
 
-#: Documents whose pre-tokens decide what the broadcast tier holds. It only saves work, never changes a count.
-SAMPLE_DOCS = 2_000
 #: Entries of the broadcast tier, and of each worker's cache before it is emptied.
 FREQUENT, CACHED = 65_536, 400_000
 #: Longer pre-tokens are encoded but not kept in a cache.
@@ -90,24 +89,29 @@ def unpack(table: tuple[bytes, bytes]) -> dict[str, int]:
     return dict(zip(table[0].decode("utf-8", "surrogatepass").split("\0"), table[1], strict=True)) if table[1] else {}
 
 
-def frequent_words(df: DataFrame, text_col: str, docs: int, size: int = FREQUENT) -> list[str]:
-    """The commonest pre-tokens of at most ``docs`` documents, counted in one task."""
+def frequent_words(df: DataFrame, text_col: str, size: int = FREQUENT) -> list[str]:
+    """The commonest pre-tokens of all texts, the first in order of equals."""
 
     def count(batches):
         counts = Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 counts.update(w for w in pre_tokens(text or "") if 0 < len(w) <= LONGEST_KEPT)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts.most_common(size)], pa.string())], names=["word"])
+            if len(counts) > CACHED:
+                yield rows()
+                counts.clear()
+        yield rows()
 
-    sample = df.select(F.col(quoted(text_col)).cast("string").alias("t")).limit(docs)
-    return [r[0] for r in sample.mapInArrow(count, "word string").collect()]
+    counted = df.select(F.col(quoted(text_col)).cast("string").alias("t")).mapInArrow(count, "word string, n long")
+    commonest = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    return [r[0] for r in stored(commonest, "words").orderBy(F.desc("n"), "word").select("word").collect()]  # only these reach the driver
 
 
-def token_counts(df: DataFrame, model_path: str, text_col: str = "text", limit: int = 4096, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def token_counts(df: DataFrame, model_path: str, text_col: str = "text", limit: int = 4096) -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit (n_tokens > limit) to every row of ``df``."""
     spark = df.sparkSession
-    words = frequent_words(df, text_col, sample_docs)
+    words = frequent_words(df, text_col)
     lengths = map(len, load(model_path)[0].encode(words, num_threads=1)) if words else []
     table = spark.sparkContext.broadcast(pack(dict(zip(words, lengths, strict=True))))
 

@@ -220,6 +220,12 @@ def test_near_duplicates_edges(spark, edge, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_frequent_words_are_those_of_all_texts(spark):
+    rows = [f"front{i}" for i in range(3_000)] + ["a late word a late word"] * 2_000
+    df = spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1)
+    assert token_counts.frequent_words(df, "text", size=3) == ["a", "late", "word"]
+
+
 @pytest.mark.parametrize("chunk", [4, 4_096])
 def test_similar_is_decided_on_the_sets(spark, chunk):
     """Pairs from 0.70 to 0.90, each its own pair of texts: those from 0.8 on lose one, those below lose none."""
