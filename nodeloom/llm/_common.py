@@ -15,6 +15,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _own_dirs: list[tuple[SparkSession, str]] = []
+_scopes: list[list[Stored]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,14 +61,21 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
 
 
 class Stored:
-    """A table written to the shared folder: a cut of the lineage that survives lost executors."""
+    """A table written to the shared folder: a cut of the lineage that survives lost executors.
 
-    def __init__(self, df: DataFrame, tag: str):
+    Within ``scratch()`` it is deleted at the end of the block, unless it is to be kept; then the block
+    around that one decides. Without a block it stays until the program ends.
+    """
+
+    def __init__(self, df: DataFrame, tag: str, keep: bool = False):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/nodeloom/{tag}-{uuid.uuid4().hex}"
         self.schema = df.schema
         df.write.parquet(self.path)
-        atexit.register(_delete_at_exit, self.spark, self.path)
+        if len(_scopes) > keep:
+            _scopes[-1 - keep].append(self)
+        else:
+            atexit.register(_delete_at_exit, self.spark, self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
@@ -76,6 +85,17 @@ class Stored:
         _delete(self.spark, self.path)
 
 
+@contextmanager
+def scratch():
+    """Deletes at its end the tables that were stored in it: for steps whose result is written before that."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for table in _scopes.pop():
+            table.drop()
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     return Stored(df, tag).read()

@@ -4,19 +4,20 @@ Every byte covered by a string of ``length`` bytes that also starts anywhere els
 judged by its window of ``length`` bytes; equal windows have equal anchors (see ``anchors``), so
 suffixes are taken at anchors only, about one place in a hundred:
 
-1. Each task hashes, for every anchor, the *core* that all windows of the anchor share and the
-   *reach* that its own run of starts covers. Sorted by core, an anchor alone with its core has no
-   repeated window; one whose reach occurs again has only repeated ones. Occurrences within a batch
-   are counted before the shuffle, so a passage in a third of all rows sends one row per batch.
-2. What is left, near the ends of repeats, is decided on the bytes. Each task sorts the suffixes that
-   start at its cores and sends them as front-coded runs; a loser tree that never compares a known
-   prefix again merges them. With the common prefixes of neighbours to the right, and of the sorted
-   reversed contexts to the left, windows fall into classes, and a window is repeated if its class
-   has another member.
-3. Cores with over ``HOT`` undecided anchors would meet in one task; the windows of those are counted
-   by their 128-bit hashes instead, pre-aggregated, without any grouping of rows.
-
-Texts are identified by hash and length; copies have the same result, so ids play no part.
+1. All windows of an anchor share its *core*. Each task sends one row for each distinct core of a
+   batch; a core that occurs once in the corpus has no repeated window, whatever surrounds it, and
+   its suffix is not exchanged. Hashes of cores only rule suffixes out, they never decide a repeat.
+2. Each task sorts the suffixes at its other cores, with the reversed bytes to the left, and sends
+   them as front-coded runs; a suffix that stands several times in a batch with all its bytes goes
+   once. A loser tree that never compares a known prefix again merges the runs. With the common
+   prefixes of neighbours to the right, and of the sorted reversed contexts to the left, windows
+   fall into classes, and a window is repeated if its class has another member.
+3. A core with over ``HOT`` different contexts is too much for one task. Its starts are cut into
+   fewer to a core, so that the cores are longer, and these go through the same two steps; with
+   one start to a core the core is the window, and a batch sends equal windows once. So no merge
+   has a hot key, and none is decided in another way.
+
+Texts are identified by 128 bits of hash; copies have the same result, so ids play no part.
 
 Defined cases: null and empty texts have nothing to remove and the hash of no bytes; a text shorter
 than ``length`` stays; repeated rows are removed whole if long enough; an empty table stays empty.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,22 +35,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeloom.llm._common import quoted, stored, without
+from nodeloom.llm._common import Stored, quoted, scratch, without
 from nodeloom.llm.anchors import anchors
+from nodeloom.llm.simhash import whole_groups
 from nodeloom.llm.suffixes import common_prefix, front_code, front_decode, merge
 
 LENGTH, WIDTH = 400, 201
-#: Undecided anchors of one core up to which they are merged in one task.
+#: Different contexts of one core, about, up to which they are merged in one task; 16 bits of a digest tell them apart.
 HOT = 20_000
+#: Into how many parts the starts of a crowded core are cut.
+FANOUT = 15
 #: Undecided anchors that one task merges, about; there are as many tasks as that takes.
 PER_TASK = 100_000
+#: Merged suffixes whose windows are classed together, about.
+CLASSED = 1 << 15
+#: Bytes of text whose anchors are held at once.
+HELD = 1 << 24
 
-_ROWS = "decided boolean, core long, reach long, tid long, size int, place int, first int, last int, many boolean"
-_FOUND = "tid long, size int, core long, place int, first int, last int"
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+_OFFERED = "role byte, core long, t1 long, t2 long, spot long"
+_FOUND = "t1 long, t2 long, first int, last int"
+#: Roles of rows: the only one of its core in a batch, one of several, and the others of those, which need no answer.
+_SINGLE, _SEVERAL, _PASS = 0, 1, 2
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,111 +68,125 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[cut], ends[np.append(cut[1:], len(ends)) - 1]
 
 
+def spot(core_at: int, first: int, last: int, digest: int) -> int:
+    """Where a core stands, the first and last start of its windows, and 16 bits of its context, in one number."""
+    return core_at << 32 | (core_at - first) << 24 | (core_at - last) << 16 | digest & 0xFFFF
+
+
+def _offers(core: list[int], t1: list[int], t2: list[int], spots: list[int]) -> pa.RecordBatch:
+    """One row of each core, and the others, which stand beside it and so need no answer."""
+    core = np.array(core, np.uint64).view(np.int64)
+    _, first, which, count = np.unique(core, return_index=True, return_inverse=True, return_counts=True)
+    role = np.full(len(core), _PASS, np.int8)
+    role[first] = np.where(count > 1, _SEVERAL, _SINGLE)
+    columns = [pa.array(role), pa.array(core), *(pa.array(x, pa.int64()) for x in (t1, t2, spots))]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _OFFERED.split(", ")])
+
+
+def _octets(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()
+
+
 def _survey(length: int, width: int):
-    """Batches of (text, tid, size) to rows for the exchange by core."""
+    """Batches of (text, t1, t2) to rows for the exchange by core, for all anchors of each different text."""
     from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
     near = (length - width) // 2
-    far = near + width - 1
 
     def run(batches):
         for batch in batches:
-            seen: dict[tuple[int, int], int] = {}
-            texts = []
-            for text, tid, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if size >= length:
-                    if (tid, size) not in seen:
-                        texts.append(text.encode())
-                    seen[tid, size] = seen.get((tid, size), 0) + 1
-            rows, whole, counts = [], [], {}
-            for data, ((tid, size), copies) in zip(texts, seen.items(), strict=True):
-                for p, a, b in zip(*(x.tolist() for x in anchors(np.frombuffer(data, np.uint8), length, width)), strict=True):
-                    core = _signed(xxh64_intdigest(data[p - near : p - far + length]))
-                    reach = _signed(xxh3_64_intdigest(data[a : b + length], (p - a) << 16 | (p - b)))
-                    rows.append((core, reach, tid, size, p, a, b))
-                    counts[core, reach] = counts.get((core, reach), 0) + copies
-                if copies > 1:
-                    whole.append((True, tid, 0, tid, size, 0, 0, size - length, True))
-            out, sent, open_run = whole, set(), None
-            for core, reach, tid, size, p, a, b in rows:
-                many = counts[core, reach] > 1
-                if (core, reach) not in sent:
-                    sent.add((core, reach))
-                    out.append((False, core, reach, tid, size, p, a, b, many))
-                elif open_run and open_run[3] == tid and open_run[4] == size and open_run[7] == a - 1:
-                    out[-1] = open_run = (*open_run[:7], b, True)  # starts in a row become one run
-                else:
-                    out.append(open_run := (True, tid, 0, tid, size, 0, a, b, True))
-                if not out[-1][0]:
-                    open_run = None
-            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-            columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _ROWS.split(", ")])
+            texts = dict(zip(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), _octets(batch.column(0)), strict=True))
+            rows, held = ([], [], [], []), 0
+            for (a1, a2), data in texts.items():
+                for p, first, last in zip(*(x.tolist() for x in anchors(np.frombuffer(data, np.uint8), length, width)), strict=True):
+                    at = p - near
+                    rows[0].append(xxh64_intdigest(data[at : at - width + 1 + length]))
+                    rows[1].append(a1)
+                    rows[2].append(a2)
+                    rows[3].append(spot(at, first, last, xxh3_64_intdigest(data[first : last + length])))
+                held += len(data)
+                if held >= HELD:
+                    yield _offers(*rows)
+                    rows, held = ([], [], [], []), 0
+            yield _offers(*rows)
+
+    return run
+
+
+def _refine(length: int, width: int):
+    """Batches of (t1, t2, text, crowded cores) to rows for the exchange by core, at most ``width`` starts to a core."""
+    from xxhash import xxh3_64_intdigest, xxh64_intdigest
+
+    def run(batches):
+        for batch in batches:
+            rows = ([], [], [], [])
+            for a1, a2, data, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _octets(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                for x in found:
+                    at, first, last = _where(x["spot"])
+                    for block in range((at - last) // width, (at - first) // width + 1):
+                        core_at = at - block * width
+                        low, high = max(first, core_at - width + 1), min(last, core_at)
+                        rows[0].append(xxh64_intdigest(data[core_at : core_at - width + 1 + length]))
+                        rows[1].append(a1)
+                        rows[2].append(a2)
+                        rows[3].append(spot(core_at, low, high, xxh3_64_intdigest(data[low : high + length])))
+                if len(rows[0]) >= PER_TASK:
+                    yield _offers(*rows)
+                    rows = ([], [], [], [])
+            yield _offers(*rows)
 
     return run
 
 
+def _where(x: int) -> tuple[int, int, int]:
+    """(place of the core, first start, last start)"""
+    at = x >> 32
+    return at, at - (x >> 24 & 255), at - (x >> 16 & 255)
+
+
 def _judge(batches):
-    """Rows sorted by decided, core and reach to repeated runs of starts (no core) and what to compare (core).
+    """Rows sorted by (key, t1, t2, spot) to those whose core stands at another place too, each place once."""
+    for table, group in whole_groups(batches, 1):
+        role, core, t1, t2, spots = (table.column(i).to_numpy() for i in range(1, 6))
+        new = np.ones(len(group), bool)
+        new[1:] = (group[1:] != group[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]) | (spots[1:] != spots[:-1])
+        places = np.bincount(group, new.astype(int) + (role != _SINGLE))  # one of several in its batch counts for two
+        take = np.flatnonzero(new & ((role == _PASS) | (places[group] > 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (core, t1, t2, spots)], names=["core", "t1", "t2", "spot"])
 
-    To compare are all anchors whose core occurs with another reach; a reach that occurs many times
-    sends the two at its ends, for others may share some of its windows.
-    """
-    before: tuple | None = None  # keys of the row before the held one
-    held: pa.Table | None = None
-
-    def flush(table: pa.Table, before, last: bool):
-        decided, core, reach = (table.column(i).to_numpy() for i in range(3))
-        many = table.column("many").to_numpy()
-        same_core = (core[1:] == core[:-1]) & ~decided[1:] & ~decided[:-1]
-        same = same_core & (reach[1:] == reach[:-1])
-        first_core = before is not None and not before[0] and not decided[0] and before[1] == core[0]
-        first_same = first_core and before[2] == reach[0]
-        again = decided | many | np.concatenate(([first_same], same)) | np.concatenate((same, [False]))
-        edge = np.concatenate(([first_core and not first_same], same_core & ~same)) | np.concatenate((same_core & ~same, [False]))
-        upto = len(core) if last else len(core) - 1
-        for take, is_open in ((np.flatnonzero(again[:upto]), False), (np.flatnonzero(edge[:upto]), True)):
-            kept = table.take(pa.array(take))
-            cores = kept.column("core") if is_open else pa.nulls(len(take), pa.int64())
-            columns = [kept.column("tid"), kept.column("size"), cores, kept.column("place"), kept.column("first"), kept.column("last")]
-            yield from pa.Table.from_arrays(columns, names=[x.split()[0] for x in _FOUND.split(", ")]).combine_chunks().to_batches()
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        table = table.combine_chunks()
-        if table.num_rows > 1:
-            yield from flush(table, before, False)
-            before = tuple(table.column(i)[table.num_rows - 2].as_py() for i in range(3))
-        held = table.slice(table.num_rows - 1)
-    if held is not None:
-        yield from flush(held, before, True)
-
-
-def _runs(length: int, width: int, parts: int):
-    """Batches of (tid, size, text, undecided anchors) to sorted front-coded runs, one per target part."""
-    near = (length - width) // 2
+
+def _runs(length: int, parts: int):
+    """Batches of (t1, t2, text, cores) to sorted front-coded runs, one per target part, and starts already found repeated."""
 
     def run(batches):
         for batch in batches:
             to: dict[int, list] = {}
-            for tid, size, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                data = text.encode()
+            for a1, a2, data, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _octets(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 for x in found:
-                    p, a, b = x["place"], x["first"], x["last"]
-                    right, left = data[p - near : b + length], data[a : p - near][::-1]
-                    to.setdefault(x["core"] % parts, []).append((right, left, tid, size, p))
-            part, blobs = [], []
-            for k, entries in to.items():
+                    at, first, last = _where(x["spot"])
+                    to.setdefault(x["core"] % parts, []).append((data[at : last + length], data[first:at][::-1], a1, a2, at))
+            part, blobs, known = [], [], []
+            for k in list(to):
+                entries = to.pop(k)
                 entries.sort()
-                shared, lengths, rests = front_code([e[0] for e in entries])
-                lefts = np.array([len(e[1]) for e in entries], "<u2")
-                where = np.array([e[2:] for e in entries], "<i8")
+                sent, many = [], bytearray()
+                for e in entries:
+                    if sent and sent[-1][0] == e[0] and sent[-1][1] == e[1]:
+                        if not many[-1]:
+                            known.append(sent[-1])
+                            many[-1] = 1
+                        known.append(e)
+                    else:
+                        sent.append(e)
+                        many.append(0)
+                shared, lengths, rests = front_code([e[0] for e in sent])
+                lefts = np.array([len(e[1]) for e in sent], "<u2")
+                places = np.array([e[2:] for e in sent], "<i8")
                 part.append(k)
-                blobs.append(struct.pack("<iq", len(entries), len(rests)) + shared.tobytes() + lengths.tobytes() + lefts.tobytes() + where.tobytes() + rests + b"".join(e[1] for e in entries))
+                blobs.append(struct.pack("<iq", len(sent), len(rests)) + shared.tobytes() + lengths.tobytes() + lefts.tobytes() + places.tobytes() + bytes(many) + rests + b"".join(e[1] for e in sent))
+            if known:
+                part.append(known[0][2] % parts)
+                blobs.append(struct.pack("<iq", -1, 0) + np.array([(e[2], e[3], e[4] - len(e[1]), e[4] + len(e[0]) - length) for e in known], "<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "run"])
 
     return run
@@ -177,18 +198,22 @@ class _Run:
     def __init__(self, blob: bytes):
         n, m = struct.unpack_from("<iq", blob)
         at = struct.calcsize("<iq")
-        take = lambda kind, count: np.frombuffer(blob, kind, count, at)
-        self.shared = take("<u2", n)
-        at += 2 * n
-        self.lengths = take("<u2", n)
-        at += 2 * n
-        lefts = take("<u2", n)
-        at += 2 * n
-        self.where = take("<i8", 3 * n).reshape(n, 3)
-        at += 24 * n
-        self.rests = blob[at : at + m]
-        ends = np.cumsum(lefts, dtype=np.int64)
-        self.left = [blob[at + m + e - k : at + m + e] for e, k in zip(ends.tolist(), lefts.tolist(), strict=True)]
+
+        def take(kind: str, count: int) -> np.ndarray:
+            nonlocal at
+            found = np.frombuffer(blob, kind, count, at)
+            at += found.nbytes
+            return found
+
+        self.shared, self.lengths, lefts = take("<u2", n), take("<u2", n), take("<u2", n)
+        self.places, self.many = take("<i8", 3 * n).reshape(n, 3), take("u1", n)
+        self.blob, self.rests = blob, blob[at : at + m]
+        self.ends = np.cumsum(lefts, dtype=np.int64) + at + m
+        self.lefts = lefts
+
+    def left(self, i: int) -> bytes:
+        end = int(self.ends[i])
+        return self.blob[end - int(self.lefts[i]) : end]
 
     def __iter__(self):
         return front_decode(self.shared, self.lengths, self.rests)
@@ -200,100 +225,103 @@ def classes(shared: np.ndarray, depth: int) -> np.ndarray:
 
 
 def repeated_starts(runs: list[_Run], length: int, width: int):
-    """(tid, size, place, mask over distances from start to anchor) of all elements with a repeated window."""
-    near = (length - width) // 2
+    """Batches of (places, mask over distances from start to core) of all suffixes with a repeated window.
+
+    Only the suffixes of some cores at a time are held besides the runs.
+    """
     nexts = [0] * len(runs)
-    shared, rights, lefts, where = [], [], [], []
+    shared, rights, lefts, of, index = [], [], [], [], []
     for k, string, n in merge([iter(r) for r in runs]):
+        if n <= length - width and len(shared) >= CLASSED:  # another core begins
+            yield _classed(runs, shared, rights, lefts, of, index, length, width)
+            shared, rights, lefts, of, index = [], [], [], [], []
         i = nexts[k]
         nexts[k] = i + 1
         shared.append(n)
         rights.append(len(string))
-        lefts.append(runs[k].left[i])
-        where.append(runs[k].where[i])
-    if not where:
-        return None
+        lefts.append(runs[k].left(i))
+        of.append(k)
+        index.append(i)
+    if shared:
+        yield _classed(runs, shared, rights, lefts, of, index, length, width)
+
+
+def _classed(runs, shared, rights, lefts, of, index, length: int, width: int):
+    n = len(shared)
     shared = np.array(shared)
     shared[0] = -1
-    order = sorted(range(len(lefts)), key=lefts.__getitem__)
+    order = sorted(range(n), key=lefts.__getitem__)
     left_shared = np.array([-1, *(common_prefix(lefts[a], lefts[b]) for a, b in zip(order, order[1:], strict=False))])
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    left_length = np.array([len(x) for x in lefts])
-    right_length = np.array(rights)
-    mask = np.zeros((len(where), width), bool)
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    left_length, right_length = np.array([len(x) for x in lefts]), np.array(rights)
+    many = np.array([runs[k].many[i] for k, i in zip(of, index, strict=True)], np.int64)
+    mask = np.zeros((n, width), bool)
     for k in range(width):  # windows that start k bytes before the core
         active = np.flatnonzero((left_length >= k) & (right_length >= length - k))
-        if len(active) < 2:
+        if not len(active):
             continue
-        key = classes(shared, length - k)[active] * len(order) + classes(left_shared, k)[back][active]
-        _, of, counts = np.unique(key, return_inverse=True, return_counts=True)
-        mask[active[counts[of] > 1], k] = True
-    hit = np.flatnonzero(mask.any(1))
-    return np.array(where)[hit], mask[hit], near
+        key = classes(shared, length - k)[active] * n + classes(left_shared, k)[back][active]
+        _, which = np.unique(key, return_inverse=True)
+        mask[active[np.bincount(which, 1 + many[active])[which] > 1], k] = True
+    hit = np.flatnonzero(mask.any(1) & (many == 0))  # those that a batch had several of are known already
+    return np.array([runs[of[i]].places[index[i]] for i in hit], np.int64).reshape(-1, 3), mask[hit]
 
 
 def _merge_runs(length: int, width: int):
-    """Batches of runs to the repeated runs of starts; a task holds the undecided contexts of its parts only."""
-
-    def run(batches):
-        runs = [_Run(x) for batch in batches for x in batch.column(1).to_pylist()]
-        found = repeated_starts(runs, length, width) if runs else None
-        if found is None:
-            return
-        where, mask, near = found
-        edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        row, low = np.nonzero(edge == 1)
-        _, high = np.nonzero(edge == -1)
-        core_at = where[row, 2] - near
-        columns = [where[row, 0], where[row, 1].astype(np.int32), (core_at - high + 1).astype(np.int32), (core_at - low).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tid", "size", "first", "last"])
-
-    return run
-
+    """Batches of runs to the repeated runs of starts; a task holds the front-coded contexts of its parts only."""
+    names = [x.split()[0] for x in _FOUND.split(", ")]
 
-def _windows(length: int):
-    """Batches of (tid, size, text, undecided anchors) to one hashed row per window."""
-    from xxhash import xxh3_128_digest
+    def rows(t1, t2, first, last):
+        return pa.RecordBatch.from_arrays([pa.array(t1), pa.array(t2), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=names)
 
     def run(batches):
+        runs = []
         for batch in batches:
-            rows = []
-            for tid, size, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                data = text.encode()
-                rows += [(*struct.unpack("<qq", xxh3_128_digest(data[s : s + length])), tid, size, s) for x in found for s in range(x["first"], x["last"] + 1)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h1", "h2", "tid", "size", "first"])
+            for blob in batch.column(1).to_pylist():
+                if struct.unpack_from("<i", blob)[0] >= 0:
+                    runs.append(_Run(blob))
+                else:
+                    known = np.frombuffer(blob, "<i8", offset=struct.calcsize("<iq")).reshape(-1, 4)
+                    yield rows(*known.T)
+        for places, mask in repeated_starts(runs, length, width):
+            edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            row, low = np.nonzero(edge == 1)
+            _, high = np.nonzero(edge == -1)
+            at = places[row, 2]
+            yield rows(places[row, 0], places[row, 1], at - high + 1, at - low)
 
     return run
 
 
-def repeated_runs(docs: DataFrame, text: str = "__text", length: int = LENGTH, width: int = WIDTH, hot: int = HOT) -> DataFrame:
-    """(tid, size, first, last): runs of starts of repeated windows; texts are named by hash and size in bytes."""
+def repeated_runs(docs: DataFrame, text: str = "__text", length: int = LENGTH, width: int = WIDTH, hot: int = HOT) -> list[DataFrame]:
+    """Tables of (t1, t2, first, last): runs of starts of repeated windows; texts are named by their hashes."""
     spark = docs.sparkSession
-    surveyed = docs.where(F.col("size") >= length).select(text, "tid", "size").mapInArrow(_survey(length, width), _ROWS)
-    judged = stored(surveyed.repartition("core").sortWithinPartitions("decided", "core", "reach").mapInArrow(_judge, _FOUND), "anchors")
-    open_ones = judged.where("core is not null")
-    crowded = open_ones.groupBy("core").agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select("core")
-    any_crowded = not crowded.isEmpty()
-    sparse = open_ones.join(crowded, "core", "left_anti") if any_crowded else open_ones
 
     def with_text(rows: DataFrame) -> DataFrame:
         """One copy of each text that has such rows, with the rows."""
-        lists = rows.groupBy("tid", "size").agg(F.collect_list(F.struct("core", "place", "first", "last")).alias("found"))
-        texts = docs.where(F.col("size") >= length).groupBy("tid", "size").agg(F.first(text).alias(text))
-        return texts.join(lists, ["tid", "size"]).select("tid", "size", text, "found")
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-open_ones.count() // PER_TASK))
-    runs = with_text(sparse).mapInArrow(_runs(length, width, parts), "part int, run binary")
-    found = judged.where("core is null").select("tid", "size", "first", "last")
-    found = found.unionByName(runs.repartition(parts, "part").mapInArrow(_merge_runs(length, width), "tid long, size int, first int, last int"))
-    if any_crowded:
-        windows = stored(with_text(open_ones.join(crowded, "core", "left_semi")).mapInArrow(_windows(length), "h1 long, h2 long, tid long, size int, first int"), "windows")
-        again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-        found = found.unionByName(windows.join(again, ["h1", "h2"]).select("tid", "size", "first", F.col("first").alias("last")))
-    return found
+        lists = rows.groupBy("t1", "t2").agg(F.collect_list(F.struct("core", "spot")).alias("found"))
+        return docs.groupBy("t1", "t2").agg(F.first(text).alias(text)).join(lists, ["t1", "t2"]).select("t1", "t2", text, "found")
+
+    copies = docs.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n > 1")
+    found = [copies.select("t1", "t2", F.lit(0).alias("first"), (F.col("size") - length).cast("int").alias("last"))]
+    offered = docs.select(text, "t1", "t2").mapInArrow(_survey(length, width), _OFFERED)
+    while True:
+        key = F.when(F.col("role") == _PASS, F.col("t1")).otherwise(F.col("core"))
+        ordered = offered.repartition(key).sortWithinPartitions(key, "t1", "t2", "spot").select(key.alias("key"), "role", "core", "t1", "t2", "spot")
+        judged = Stored(ordered.mapInArrow(_judge, "core long, t1 long, t2 long, spot long"), "anchors").read()
+        crowded = None
+        if width > 1:
+            crowded = judged.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("core")
+            crowded = None if crowded.isEmpty() else judged.join(crowded, "core", "left_semi").groupBy("core").agg(F.count_distinct(F.col("spot").bitwiseAND(F.lit(0xFFFF))).alias("n")).where(F.col("n") > hot).select("core")
+        sparse = judged if crowded is None else judged.join(crowded, "core", "left_anti")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sparse.count() // PER_TASK))
+        runs = with_text(sparse).mapInArrow(_runs(length, parts), "part int, run binary")
+        found.append(runs.repartition(parts, "part").mapInArrow(_merge_runs(length, width), _FOUND))
+        if crowded is None or crowded.isEmpty():
+            return found
+        width = -(-width // FANOUT)
+        offered = with_text(judged.join(crowded, "core", "left_semi")).mapInArrow(_refine(length, width), _OFFERED)
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, width: int = WIDTH, hot: int = HOT, with_kept: bool = False) -> DataFrame:
@@ -305,18 +333,20 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     keep = [c for c in without(df, new) if c != text_col]
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     docs = df.select(F.struct(F.lit(0).alias("__one"), *(F.col(quoted(c)) for c in keep)).alias("__row"), text.alias("__text"))
-    docs = docs.withColumns({"tid": F.xxhash64("__text"), "size": F.octet_length("__text")})
-    runs = repeated_runs(docs, "__text", length, width, hot)
-    lists = runs.groupBy("tid", "size").agg(F.collect_set(F.struct("first", "last")).alias("found"))
-    joined = docs.join(lists, ["tid", "size"], "left").select("__row", "__text", F.col("found.first").alias("first"), F.col("found.last").alias("last"))
+    docs = docs.withColumns({"t1": F.xxhash64("__text"), "t2": F.xxhash64(F.lit(1), "__text"), "size": F.octet_length("__text")})
+    long, none = docs.where(F.col("size") >= length), F.lit(None).cast("array<int>")
+    with scratch():
+        runs = reduce(DataFrame.unionByName, repeated_runs(long, "__text", length, width, hot))
+        lists = Stored(runs.groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "last")).alias("found")), "repeats", keep=True).read()
+    joined = long.join(lists, ["t1", "t2"], "left").select("__row", "__text", F.col("found.first").alias("first"), F.col("found.last").alias("last"))
+    joined = joined.unionByName(docs.where(F.col("size") < length).select("__row", "__text", none.alias("first"), none.alias("last")))
     numbers = [T.StructField(n, T.LongType()) for n in new[:3]]
     schema = T.StructType([docs.schema["__row"], *numbers, T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.StringType())] * with_kept])
 
     def cut(batches):
         for batch in batches:
             rows = []
-            for text, first, last in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                data = text.encode()
+            for data, first, last in zip(_octets(batch.column(1)), batch.column(2), batch.column(3), strict=True):
                 removed = spans = 0
                 kept = data
                 if first.is_valid and len(first.values):
