@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,12 +118,14 @@ def append_columns(
     fields: Sequence[tuple[str, T.DataType]],
     make: Callable[[], Callable[[list], Sequence]],
     keep: Sequence[str] | None = None,
+    held: int | None = None,
 ) -> DataFrame:
     """``df`` with columns computed from one text column, batch by batch, without a shuffle.
 
     ``make()`` runs once per task and returns ``f(texts) -> list of columns`` in the order of
     ``fields``. Null texts reach ``f`` as empty strings. ``keep`` names the input columns that
-    stay (default: all); a kept column whose name clashes with a new one is replaced by it.
+    stay (default: all); a kept column whose name clashes with a new one is replaced by it. Of a batch
+    only about ``held`` characters are computed on at a time, or one text.
     """
     names = [n for n, _ in fields]
     keep = [c for c in without(df, names) if keep is None or c in keep]
@@ -130,9 +133,14 @@ def append_columns(
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, t) for n, t in fields)])
     kinds = [_arrow(t) for _, t in fields]
 
+    def parts(batch, column):
+        ends = np.cumsum([0, *(len(x or "") + 1 for x in batch.column(column).to_pylist())])
+        cuts = [0, *(np.flatnonzero(np.diff(ends[1:] // held)) + 1).tolist(), batch.num_rows]
+        return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a or not batch.num_rows]
+
     def run(batches):
         f = make()
-        for batch in batches:
+        for batch in batches if held is None else (part for whole in batches for part in parts(whole, len(keep))):
             columns = f(["" if x is None else x for x in batch.column(source).to_pylist()])
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *arrays], names=[*keep, *names])

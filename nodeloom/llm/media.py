@@ -20,6 +20,7 @@ import wave
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -55,7 +56,7 @@ def read_wav(media: bytes) -> bytes:
 
 
 def peaks(data: bytes) -> np.ndarray:
-    """The strongest bin of every frame (rows) and band (columns)."""
+    """The bin of the peak of every frame (rows) and band (columns); -1 where there is none."""
     samples = np.zeros(len(data) + FRAME + 2 * HOP, np.float32)  # silence after the end: four frames at least
     samples[: len(data)] = np.frombuffer(data, np.uint8)
     samples[: len(data)] -= 128
@@ -64,8 +65,16 @@ def peaks(data: bytes) -> np.ndarray:
     for i in range(0, len(frames), BLOCK):
         spectrum = np.fft.rfft(frames[i : i + BLOCK] * _WINDOW, axis=1)
         power = np.round(spectrum.real**2 + spectrum.imag**2, 2)
-        ends = (*BANDS[1:], power.shape[1])
-        found.append(np.stack([power[:, a:b].argmax(1) + a for a, b in zip(BANDS, ends, strict=True)], 1))
+        inner, columns = power[:, 1:-1], []
+        peak = np.zeros(power.shape, bool)
+        peak[:, 1:-1] = (inner > power[:, :-2]) & (inner >= power[:, 2:])
+        for a, b in zip(BANDS, (*BANDS[1:], power.shape[1]), strict=True):
+            band = power[:, a:b]
+            shown = np.where(peak[:, a:b] & (band > band.mean(1, keepdims=True)), band, -1)
+            best = shown.argmax(1)
+            columns.append((band.argmax(1) + a, np.where(shown[np.arange(len(best)), best] < 0, -1, best + a)))
+        strongest, top = (np.stack(x, 1) for x in zip(*columns, strict=True))
+        found.append(np.where((top < 0).all(1, keepdims=True), strongest, top))
     return np.concatenate(found)
 
 
@@ -76,13 +85,18 @@ def pairs(top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for band in range(bands):
         for ahead in range(1, REACH + 1):
             first, second = top[:-ahead, band], top[ahead:, (band + ahead) % bands]
-            times.append(np.arange(len(first)))
-            codes.append(first << 12 | second << 2 | ahead - 1)
+            both = np.flatnonzero((first >= 0) & (second >= 0))
+            times.append(both)
+            codes.append(first[both] << 12 | second[both] << 2 | ahead - 1)
     times, codes = np.concatenate(times), np.concatenate(codes)
     order = np.argsort(times, kind="stable")
     return times[order].astype("<u4"), codes[order].astype("<u4")
 
 
+#: Bytes of text whose files and arrays are held at once.
+HELD = 1 << 23
+
+
 def media_columns(df: DataFrame, text_col: str = "text", with_media: bool = False) -> DataFrame:
     """Adds the digests of payload and file and a digest of the fingerprint; ``with_media`` adds file and arrays too."""
 
@@ -93,13 +107,21 @@ def media_columns(df: DataFrame, text_col: str = "text", with_media: bool = Fals
         times, codes = pairs(peaks(back))
         digest = hashlib.sha256(times.tobytes() + codes.tobytes()).hexdigest()
         row = [n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(codes)}:{digest}"]
-        return [*row, media, times.tolist(), codes.tolist()] if with_media else row
+        return [*row, media, times, codes] if with_media else row
+
+    def arrays(column) -> pa.Array:
+        ends = np.cumsum([0, *map(len, column)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*column, np.empty(0, "<u4")]).astype(np.int32)))
 
     def make():
-        return lambda texts: list(zip(*map(one, texts), strict=True)) or [[] for _ in fields]
+        def columns(texts):
+            found = list(zip(*map(one, texts), strict=True)) or [[] for _ in fields]
+            return [*found[:-2], arrays(found[-2]), arrays(found[-1])] if with_media else found
+
+        return columns
 
     fields = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType())]
     fields += [("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
     if with_media:
-        fields += [("media", T.BinaryType()), ("peak_times", T.ArrayType(T.LongType())), ("peak_codes", T.ArrayType(T.LongType()))]
-    return append_columns(df, text_col, fields, make)
+        fields += [("media", T.BinaryType()), ("peak_times", T.ArrayType(T.IntegerType())), ("peak_codes", T.ArrayType(T.IntegerType()))]
+    return append_columns(df, text_col, fields, make, held=HELD)

@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass finds the anchors: at-signs, plus signs, ``://`` after a scheme, and words
-that announce an identifier. A parser of its own for each anchor expands it to both sides and
+One Aho-Corasick pass over the text in ASCII lower case finds the anchors: at-signs, plus signs,
+``://`` after a scheme, and words that announce an identifier or a secret. A parser of its own for each anchor expands it to both sides and
 validates what it found; digit runs, the anchors of network addresses and card numbers, are found
 by one scan for digits. Every parser is linear in the characters it looks at.
 
@@ -17,6 +17,9 @@ Matches that fail a check are dropped and not tried again at a later start. The
 * url      an address with a known scheme, up to white space, quotes or brackets, less closing marks
 * account  what follows an identifier cue and holds 6 to 34 letters and digits, 6 digits at least;
   after the cue ``iban`` the checksum must hold
+* secret   the value given to a name that ends in a secret's cue (``api_key = "..."``, ``token: ...``,
+  ``Bearer ...``): in quotes 8 characters at least without white space, bare 12 at least that have a
+  digit and a letter; and keys that are known by how they begin, with 16 characters after that
 
 Defined cases: null and empty texts have no spans; repeated rows each get a row.
 """
@@ -33,8 +36,11 @@ from pyspark.sql import types as T
 from nodeloom.llm._common import append_columns
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("url", "account")
+ADDED = ("url", "account", "secret")
 SCHEMES = ("http", "https", "ftp", "ftps", "sftp", "ssh", "ws", "wss")
+SECRETS = ("token", "secret", "password", "passwd", "passphrase", "pwd", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "access-key", "accesskey", "private key", "private_key", "private-key", "privatekey", "secret key", "auth_key", "authkey", "credential", "credentials", "bearer")
+#: How keys of well-known issuers begin, in lower case.
+PREFIXES = ("akia", "asia", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "sk_live_", "rk_live_", "sk-")
 CUES = ("iban", "account no", "account number", "acct", "konto", "kontonummer", "ssn", "passport", "compte", "cuenta")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -44,6 +50,11 @@ _ADDRESS = re.compile(r"[0-9]++(?:\.[0-9]++)*+").finditer
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++").finditer
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").match
 _URL = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+").match
+_GIVEN = re.compile(r"[\"'`]?[ \t]{0,4}(?:=>|:=|[:=])[ \t]{0,4}").match
+_QUOTED = re.compile(r"([\"'`])([^\s\"'`]{8,512})\1").match
+_BARE = re.compile(r"[\"'`]?([A-Za-z0-9+/_.~=-]{12,512})").match
+_KEY = re.compile(r"[A-Za-z0-9_-]{16,255}").match
+_UPPER = {c: c + 32 for c in range(65, 91)}
 _ACCOUNT = re.compile(r"[ :#.=-]{0,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9])*+)").match
 
 
@@ -64,18 +75,23 @@ def iban(code: str) -> bool:
 
 @lru_cache(maxsize=1)
 def automaton():
+    """Finds (kind, anchor, its length) in texts in lower case."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for sign in ("@", "+", "://"):
-        found.add_word(sign, (sign, len(sign)))
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            found.add_word(form, (cue, len(form)))
+    for kind, words in (("sign", ("@", "+", "://")), ("account", CUES), ("secret", SECRETS), ("prefix", PREFIXES)):
+        for word in words:
+            found.add_word(word, (kind, word, len(word)))
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """The text with A-Z in lower case, each character at its place."""
+    low = text.lower()
+    return low if text.isascii() else text.translate(_UPPER)
+
+
 def _email(text: str, at: int, since: int) -> tuple[int, int] | None:
     start = at
     while start > since and text[start - 1] in _LOCAL:
@@ -105,13 +121,39 @@ def _account(text: str, start: int, end: int, cue: str) -> tuple[int, int] | Non
         if not any(c.isdigit() for c in word[0]):
             break
         kept.append(word)
-    if not kept:
+    for word in reversed(kept):  # what follows may be another identifier
+        stop = found.start(1) + word.end()
+        code = re.sub(r"[ -]", "", text[found.start(1) : stop])
+        if 6 <= len(code) <= 34 and sum(c.isdigit() for c in code) >= 6 and (cue != "iban" or iban(code)):
+            return found.start(1), stop
+    return None
+
+
+def _mixed(value: str) -> bool:
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def _secret(text: str, end: int, cue: str) -> tuple[int, int] | None:
+    given = _GIVEN(text, end)
+    if given is None and cue == "bearer" and text[end : end + 1] == " ":
+        at = end + 1
+    elif given is None:
         return None
-    stop = found.start(1) + kept[-1].end()
-    code = re.sub(r"[ -]", "", text[found.start(1) : stop])
-    if not 6 <= len(code) <= 34 or sum(c.isdigit() for c in code) < 6 or (cue == "iban" and not iban(code)):
+    else:
+        at = given.end()
+    if found := _QUOTED(text, at):
+        return found.span(2)
+    found = _BARE(text, at)
+    if not found:
         return None
-    return found.start(1), stop
+    value = found[1].rstrip(".")  # the end of a sentence
+    return (found.start(1), found.start(1) + len(value)) if len(value) >= 12 and _mixed(value) else None
+
+
+def _key(text: str, start: int, end: int) -> tuple[int, int] | None:
+    if start and (text[start - 1].isalnum() or text[start - 1] in "_-") or not (found := _KEY(text, end)) or not _mixed(found[0]):
+        return None
+    return start, found.end()
 
 
 def spans(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -125,7 +167,7 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
             if valid:
                 out[kind].append(found)
 
-    for last, (sign, n) in automaton().iter(text):
+    for last, (kind, sign, n) in automaton().iter(lowered(text)):
         at = last + 1 - n
         if sign == "@":
             add("email", _email(text, at, free["email"]))
@@ -134,8 +176,12 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 add("phone", m.span(), 8 <= sum(c.isdigit() for c in m[0]) <= 15)
         elif sign == "://":
             add("url", _url(text, at))
-        else:
+        elif kind == "account":
             add("account", _account(text, at, last + 1, sign))
+        elif kind == "secret":
+            add("secret", _secret(text, last + 1, sign))
+        else:
+            add("secret", _key(text, at, last + 1))
     for run in _DIGITS(text):
         if run.end() - run.start() < 7:
             continue
@@ -172,17 +218,18 @@ def masked(text: str, found: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def find_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the counts of the base kinds, a digest of the base spans, and all spans, to every row."""
+    """Adds the counts of all kinds and of all spans, a digest of the base spans, and all spans, to every row."""
 
     def make():
         def columns(texts):
             found = [spans(t) for t in texts]
             digests = [hashlib.sha256(joined(f, BASE).encode()).hexdigest() for f in found]
-            return [*([len(f[k]) for f in found] for k in BASE), digests, [joined(f, BASE + ADDED) for f in found]]
+            counts = [[len(f[k]) for f in found] for k in BASE + ADDED]
+            return [*counts, [sum(map(len, f.values())) for f in found], digests, [joined(f, BASE + ADDED) for f in found]]
 
         return columns
 
-    counts = [(f"n_{k}", T.LongType()) for k in BASE]
+    counts = [(f"n_{k}", T.LongType()) for k in (*BASE, *ADDED, "spans")]
     return append_columns(df, text_col, [*counts, ("base_sha256", T.StringType()), ("spans", T.StringType())], make)
 
 

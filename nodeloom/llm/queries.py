@@ -54,7 +54,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return media.media_columns(read_table(spark, sf_dir, "documents").select("doc_id", "text"), with_media=True).drop("text")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
