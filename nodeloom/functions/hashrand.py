@@ -6,8 +6,10 @@ with md5. Uniform draws lie strictly between 0 and 1.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,27 @@ def below(n, *keys) -> Column:
     return F.floor(uniform(*keys) * n).cast("int")
 
 
+class Draws:
+    """The same draws in Python, of keys that begin alike."""
+
+    def __init__(self, *keys):
+        self.start = "|".join(map(str, keys))
+
+    def uniform(self, *keys) -> float:
+        text = "|".join([self.start, *map(str, keys)])
+        return (int(hashlib.md5(text.encode()).hexdigest()[:DIGITS], 16) + 0.5) / float(16**DIGITS)
+
+    def normal(self, *keys) -> float:
+        return math.sqrt(-2.0 * math.log(self.uniform(*keys, "r"))) * math.cos(2.0 * math.pi * self.uniform(*keys, "a"))
+
+    def normals(self, *shape: int) -> np.ndarray:
+        """A draw for each place of an array, named by its indices."""
+        return np.array([self.normal(*at) for at in np.ndindex(*shape)]).reshape(shape)
+
+    def below(self, n: int, *keys) -> int:
+        return int(math.floor(self.uniform(*keys) * n))
+
+
 def uniform_sql(*keys: str) -> str:
     """The same draw as DuckDB SQL; keys are SQL expressions."""
     text = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)

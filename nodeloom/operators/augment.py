@@ -7,7 +7,6 @@ batches; partners are found by rank within their label, so finding one is an equ
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -92,10 +91,6 @@ def unpack(packed: DataFrame) -> DataFrame:
     return packed.select("sample_id", "label", "n_channels", F.posexplode("x").alias("i", "value")).select("sample_id", "label", (F.col("i") % n).cast("int").alias("channel"), F.expr("i div n_channels").cast("int").alias("step"), "value")
 
 
-def _random(name: str, seed: int, sample) -> np.random.Generator:
-    return np.random.default_rng(int(hashlib.md5(f"{name}|{seed}|{sample}".encode()).hexdigest()[:16], 16))
-
-
 def _each(packed: DataFrame, name: str, seed: int, change, extra: tuple[str, ...] = ()) -> DataFrame:
     """``change(steps by channels, random, row)`` for every sample; what it returns takes the place of its values."""
     columns = ["sample_id", "label", "n_channels", "x"]
@@ -106,16 +101,16 @@ def _each(packed: DataFrame, name: str, seed: int, change, extra: tuple[str, ...
             found = []
             for row in pdf.itertuples(index=False):
                 own = np.asarray(row.x, float).reshape(-1, row.n_channels)
-                found.append(np.asarray(change(own, _random(name, seed, row.sample_id), row), float).reshape(-1))
+                found.append(np.asarray(change(own, hashrand.Draws(name, seed, row.sample_id), row), float).reshape(-1))
             yield pdf[columns[:3]].assign(x=found)
 
     return packed.select(*columns, *extra).mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
-def _curve(own: np.ndarray, random: np.random.Generator, sigma: float, knots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _curve(own: np.ndarray, random: hashrand.Draws, sigma: float, knots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(own)
     at = np.linspace(0, n - 1, knots + 2)
-    return at, random.normal(1, sigma, (knots + 2, own.shape[1])), spline_basis(at, np.arange(n))
+    return at, 1 + sigma * random.normals(knots + 2, own.shape[1]), spline_basis(at, np.arange(n))
 
 
 def magnitude_warp(packed: DataFrame, sigma: float = 0.2, knots: int = 4, seed: int = 0) -> DataFrame:
@@ -144,17 +139,17 @@ def time_warp(packed: DataFrame, sigma: float = 0.2, knots: int = 4, seed: int =
 def window_warp(packed: DataFrame, ratio: float = 0.1, scales: tuple[float, ...] = (0.5, 2.0), by_channel: bool = False, seed: int = 0) -> DataFrame:
     """A random window stretched or shrunk in place, and the whole brought back to its length."""
 
-    def one(own, random):
+    def one(own, random, *channel):
         n = len(own)
         size = math.ceil(ratio * n)
-        start = int(random.integers(1, max(2, n - size - 1)))
-        part = resample(own[start : start + size], max(1, int(size * random.choice(scales))))
+        start = 1 + random.below(max(1, n - size - 2), "start", *channel)
+        part = resample(own[start : start + size], max(1, int(size * scales[random.below(len(scales), "scale", *channel)])))
         return resample(np.concatenate((own[:start], part, own[start + size :])), n)
 
     def change(own, random, row):
         if not by_channel:
             return one(own, random)
-        return np.concatenate([one(own[:, c : c + 1], random) for c in range(own.shape[1])], 1)
+        return np.concatenate([one(own[:, c : c + 1], random, c) for c in range(own.shape[1])], 1)
 
     return _each(packed, "window", seed, change)
 
@@ -212,8 +207,8 @@ def spawner(packed: DataFrame, sigma: float = 0.05, seed: int = 0) -> DataFrame:
     """The mean of a sample and a partner aligned in two parts around a random step, with noise."""
 
     def change(own, random, row):
-        split = random.random()
-        noise = random.normal(0, sigma, own.shape)
+        split = random.uniform("split")
+        noise = sigma * random.normals(*own.shape)
         if row.partner is None:
             return own + noise
         other = np.asarray(row.partner, float).reshape(-1, row.n_channels)
@@ -310,7 +305,7 @@ def discriminative_warp(packed: DataFrame, batch: int = 6, slope: str = "symmetr
         size = math.ceil(row.ratio * n)
         if size >= n:
             return own
-        start = int(random.integers(0, n - size))
+        start = random.below(n - size, "slice")
         at = np.linspace(0, size, n)
         return np.stack([np.interp(at, np.arange(size), own[start : start + size, c]) for c in range(own.shape[1])], 1)
 

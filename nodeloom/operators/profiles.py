@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import zlib
 from collections.abc import Sequence
 
@@ -74,12 +76,25 @@ def mean_profiles(features: DataFrame, hues: DataFrame) -> DataFrame:
     return features.join(hues, SUBJECT).where("value is not null and hue is not null").groupBy(*keys).agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
 
 
+#: The chances of at most 0, 1, 2, ... under a Poisson distribution with mean one.
+POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+#: Parts whose sums are added by themselves before the parts are.
+SALTS = 32
+
+
+def replicate_weights(subject, n_boot: int, seed: int = 0) -> np.ndarray:
+    """A subject's weight in every replicate, from the 32-bit words of hashes that name it."""
+    words = b"".join(hashlib.md5(f"boot|{seed}|{subject}|{q}".encode()).digest() for q in range(-(-n_boot // 4)))
+    return np.searchsorted(POISSON, (np.frombuffer(words, ">u4")[:n_boot] + 0.5) / 2**32).astype(float)
+
+
 def profiles_with_intervals(features: DataFrame, hues: DataFrame, n_boot: int = 500, level: float = 95, seed: int = 0) -> DataFrame:
     """Mean profiles with bootstrap percentile intervals ``low`` and ``high``.
 
     Each value has a Poisson(1) weight per replicate, drawn from the hash of its subject, so replicates
     are sums that add up over any parts of the rows: each Arrow batch is reduced to ``n_boot`` pairs of
-    sums per profile node, which are then added natively. No group has to meet in one task.
+    sums per profile node, and these are added as arrays, in ``SALTS`` parts of a node and then over
+    the parts. No group has to meet in one task, and no replicate is a row of its own.
     """
     keys = ["metric", TRACT, "hue", NODE]
     rows = features.join(hues, SUBJECT).where("value is not null and hue is not null").select(*keys, SUBJECT, "value")
@@ -89,24 +104,53 @@ def profiles_with_intervals(features: DataFrame, hues: DataFrame, n_boot: int =
             if pdf.empty:
                 continue
             subject, names = pd.factorize(pdf[SUBJECT])
-            weights = np.stack([np.random.default_rng([seed, zlib.crc32(str(s).encode())]).poisson(1, n_boot) for s in names]).astype(float)
+            weights = np.stack([replicate_weights(s, n_boot, seed) for s in names])
             grouped = pdf.groupby(keys, sort=True)
             group, value = grouped.ngroup().to_numpy(), pdf["value"].to_numpy()
             order = np.argsort(group, kind="stable")
             first = np.flatnonzero(np.diff(group[order], prepend=-1))
             w = weights[subject[order]]
             out = grouped["value"].agg(["count", "sum"]).reset_index().rename(columns={"count": "n", "sum": "total"})
+            out["salt"] = zlib.crc32(str(names[0]).encode()) % SALTS
             out["w"] = list(np.add.reduceat(w, first, axis=0))
             out["wv"] = list(np.add.reduceat(w * value[order, None], first, axis=0))
             yield out
 
-    kinds = {k: rows.schema[k].dataType.simpleString() for k in keys}
-    parts = rows.mapInPandas(sums, ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", n long, total double, w array<double>, wv array<double>")
-    each = parts.select(*keys, "n", "total", F.posexplode(F.arrays_zip("w", "wv")).alias("replicate", "s"))
-    replicates = each.groupBy(*keys, "replicate").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("s.w").alias("w"), F.sum("s.wv").alias("wv"))
-    tail = (100 - level) / 200
-    mean = F.try_divide(F.col("wv"), F.col("w"))
-    return replicates.groupBy(*keys).agg(F.any_value("n").alias("n"), (F.any_value("total") / F.any_value("n")).alias("mean"), F.percentile(mean, tail).alias("low"), F.percentile(mean, 1 - tail).alias("high"))
+    def added(names: list[str], finish):
+        """Sums of consecutive rows that agree in ``names``; of each only the running sums are held."""
+
+        def run(batches):
+            key, held = None, None
+            for pdf in batches:
+                out = []
+                for row in pdf.itertuples(index=False):
+                    mine = tuple(getattr(row, k) for k in names)
+                    if mine != key and held is not None:
+                        out.append(finish(key, held))
+                    if mine != key:
+                        key, held = mine, [0, 0.0, np.zeros(n_boot), np.zeros(n_boot)]
+                    for i, x in enumerate((row.n, row.total, row.w, row.wv)):
+                        held[i] = held[i] + x
+                if out:
+                    yield pd.concat(out)
+            if held is not None:
+                yield finish(key, held)
+
+        return run
+
+    def whole(key, held) -> pd.DataFrame:
+        return pd.DataFrame({**dict(zip([*keys, "salt"], ([k] for k in key), strict=True)), "n": [held[0]], "total": [held[1]], "w": [held[2]], "wv": [held[3]]})
+
+    def interval(key, held) -> pd.DataFrame:
+        n, total, w, wv = held
+        means = wv[w > 0] / w[w > 0]
+        low, high = np.percentile(means, [(100 - level) / 2, (100 + level) / 2]) if len(means) else (None, None)
+        return pd.DataFrame({**dict(zip(keys, ([k] for k in key), strict=True)), "n": [n], "mean": [total / n], "low": [low], "high": [high]})
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    parts = rows.mapInPandas(sums, f"{kinds}, salt int, n long, total double, w array<double>, wv array<double>")
+    salted = parts.repartition(*keys, "salt").sortWithinPartitions(*keys, "salt").mapInPandas(added([*keys, "salt"], whole), parts.schema)
+    return salted.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(added(keys, interval), f"{kinds}, n long, mean double, low double, high double")
 
 
 def group_tests(features: DataFrame, groups: DataFrame, reference: str, level: float = 0.95) -> DataFrame:

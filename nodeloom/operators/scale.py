@@ -12,6 +12,22 @@ from pyspark.sql import functions as F
 FEATURE = "feature_idx"
 
 
+def fills(df: DataFrame, strategy: str = "mean", by: str = FEATURE) -> DataFrame:
+    """(by, __fill): the mean, exact median or commonest value (smallest of equals) of each feature that has any."""
+    if strategy == "most_frequent":
+        counts = df.where("value is not null").groupBy(by, "value").agg(F.count("*").alias("n"))
+        return counts.groupBy(by).agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("__fill"))
+    if strategy not in ("mean", "median"):
+        raise ValueError(f"unknown strategy {strategy}")
+    how = F.avg("value") if strategy == "mean" else F.median("value")
+    return df.groupBy(by).agg(how.alias("__fill")).where("__fill is not null")
+
+
+def filled(df: DataFrame, found: DataFrame, by: str = FEATURE) -> DataFrame:
+    """Nulls replaced by what ``fills`` found; features it has nothing for are dropped."""
+    return df.join(found, by).withColumn("value", F.coalesce("value", "__fill")).drop("__fill")
+
+
 def impute(df: DataFrame, strategy: str = "mean", fill: float = 0.0, by: str = FEATURE) -> DataFrame:
     """Nulls replaced by the mean, exact median, commonest (smallest of equals) or a constant of their feature.
 
@@ -19,40 +35,34 @@ def impute(df: DataFrame, strategy: str = "mean", fill: float = 0.0, by: str = F
     """
     if strategy == "constant":
         return df.withColumn("value", F.coalesce("value", F.lit(float(fill))))
-    if strategy == "most_frequent":
-        counts = df.where("value is not null").groupBy(by, "value").agg(F.count("*").alias("n"))
-        stats = counts.groupBy(by).agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("__fill"))
-    elif strategy in ("mean", "median"):
-        how = F.avg("value") if strategy == "mean" else F.median("value")
-        stats = df.groupBy(by).agg(how.alias("__fill")).where("__fill is not null")
-    else:
-        raise ValueError(f"unknown strategy {strategy}")
-    return df.join(stats, by).withColumn("value", F.coalesce("value", "__fill")).drop("__fill")
+    return filled(df, fills(df, strategy, by), by)
 
 
 #: Rows that look for neighbours, and rows that are looked at, in one task.
 NEAREST_ROWS = 2_048
 
 
-def impute_nearest(df: DataFrame, key: str, k: int = 5, by: str = FEATURE, rows: int = NEAREST_ROWS) -> DataFrame:
-    """Nulls replaced by the mean over the ``k`` nearest rows that have the feature.
+def impute_nearest(df: DataFrame, key: str, k: int = 5, by: str = FEATURE, rows: int = NEAREST_ROWS, among: DataFrame | None = None) -> DataFrame:
+    """Nulls replaced by the mean over the ``k`` nearest rows that have the feature, of ``among`` or of all rows.
 
     Distances are Euclidean over shared features, scaled up for those not shared; rows that share none
     are no neighbours, and a feature without neighbours gets its mean. Only rows with a null look for
     neighbours. They look at all rows, in blocks of about ``rows`` that meet two by two; a pair of blocks
     gives its ``k`` nearest, never its pairs.
     """
-    df = df.join(df.groupBy(by).agg(F.avg("value").alias("__mean")).where("__mean is not null"), by)
-    names = sorted(r[0] for r in df.select(by).distinct().collect())
+    means = (df if among is None else among).groupBy(by).agg(F.avg("value").alias("__mean")).where("__mean is not null")
+    df = df.join(means, by)
+    names = sorted(r[0] for r in means.select(by).collect())
     kinds = dict(df.dtypes)
     cells = F.collect_list(F.struct(F.col(by).alias("f"), F.col("value").cast("double").alias("v")))
     packed = df.groupBy(key).agg(cells.alias("x"), F.max(F.col("value").isNull()).alias("seeks"))
-    n, m = packed.agg(F.count("*"), F.count_if("seeks")).first()
+    offered = packed if among is None else among.join(means.select(by), by, "left_semi").groupBy(key).agg(cells.alias("x"))
+    n, m = offered.count(), packed.where("seeks").count()
     pieces = lambda count: max(1, -(-count // rows))
     of = lambda count: F.pmod(F.xxhash64(key), F.lit(pieces(count))).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(pieces(count) - 1)))
     seekers = packed.where("seeks").select(F.col(key).alias("__a"), F.col("x").alias("x"), of(m).alias("i"), every(n).alias("j"))
-    looked_at = packed.select(F.col(key).alias("__b"), F.col("x").alias("x"), of(n).alias("j"), every(m).alias("i"))
+    looked_at = offered.select(F.col(key).alias("__b"), F.col("x").alias("x"), of(n).alias("j"), every(m).alias("i"))
     place = {name: c for c, name in enumerate(names)}
 
     def dense(cells: pd.Series) -> np.ndarray:
@@ -87,13 +97,8 @@ def impute_nearest(df: DataFrame, key: str, k: int = 5, by: str = FEATURE, rows:
     return filled.withColumn("value", F.coalesce("value", "__fill", "__mean")).drop("__fill", "__mean")
 
 
-def scale(df: DataFrame, how: str | None = "standard", by: str = FEATURE) -> DataFrame:
-    """Values scaled within their feature: standard (population spread), minmax, maxabs, robust, or as they are.
-
-    A feature without spread is only shifted.
-    """
-    if how is None:
-        return df
+def spreads(df: DataFrame, how: str = "standard", by: str = FEATURE) -> DataFrame:
+    """(by, __shift, __spread): what scaling takes off each feature's values and divides them by."""
     stats = {
         "standard": (F.avg("value"), F.stddev_pop("value")),
         "minmax": (F.min("value"), F.max("value") - F.min("value")),
@@ -104,8 +109,20 @@ def scale(df: DataFrame, how: str | None = "standard", by: str = FEATURE) -> Dat
         raise ValueError(f"unknown scaler {how}")
     shift, spread = stats[how.lower()]
     found = df.groupBy(by).agg(shift.alias("__shift"), spread.alias("__spread"))
-    divisor = F.when(F.col("__spread") == 0, 1.0).otherwise(F.col("__spread"))
-    return df.join(found, by).withColumn("value", (F.col("value") - F.col("__shift")) / divisor).drop("__shift", "__spread")
+    return found.withColumn("__spread", F.when(F.col("__spread") == 0, 1.0).otherwise(F.col("__spread")))
+
+
+def rescale(df: DataFrame, found: DataFrame, by: str = FEATURE) -> DataFrame:
+    """Values shifted and divided by what ``spreads`` found."""
+    return df.join(found, by).withColumn("value", (F.col("value") - F.col("__shift")) / F.col("__spread")).drop("__shift", "__spread")
+
+
+def scale(df: DataFrame, how: str | None = "standard", by: str = FEATURE) -> DataFrame:
+    """Values scaled within their feature: standard (population spread), minmax, maxabs, robust, or as they are.
+
+    A feature without spread is only shifted.
+    """
+    return df if how is None else rescale(df, spreads(df, how, by), by)
 
 
 def yeo_johnson(value: Column, power: Column) -> Column:
@@ -176,10 +193,75 @@ def best_powers(df: DataFrame, by: str = FEATURE, low: float = -4.0, high: float
 
 def power_transform(df: DataFrame, by: str = FEATURE, standardize: bool = True) -> DataFrame:
     """Yeo-Johnson with each feature's best power, then standard scaling; a feature without spread stays as it is."""
-    bent = df.join(best_powers(df, by), by).withColumn("value", yeo_johnson(F.col("value"), F.col("__power"))).drop("__power")
+    bent = bend(df, best_powers(df, by), by)
     return scale(bent, "standard", by) if standardize else bent
 
 
+def bend(df: DataFrame, powers: DataFrame, by: str = FEATURE) -> DataFrame:
+    """Yeo-Johnson with each feature's given power."""
+    return df.join(powers, by).withColumn("value", yeo_johnson(F.col("value"), F.col("__power"))).drop("__power")
+
+
+class Imputer:
+    """Fills nulls with the statistics of the table it was fitted on: mean, median, most_frequent or constant."""
+
+    def __init__(self, strategy: str = "mean", fill: float = 0.0):
+        if strategy not in ("mean", "median", "most_frequent", "constant"):
+            raise ValueError(f"unknown strategy {strategy}")
+        self.strategy, self.fill = strategy, fill
+
+    def fit(self, features: DataFrame) -> Imputer:
+        self.found_ = None if self.strategy == "constant" else fills(features, self.strategy).persist()
+        return self
+
+    def transform(self, features: DataFrame) -> DataFrame:
+        return impute(features, "constant", self.fill) if self.found_ is None else filled(features, self.found_)
+
+
+class NearestImputer:
+    """Fills nulls with the mean over the nearest rows of the table it was fitted on."""
+
+    def __init__(self, k: int = 5, key: str = "subjectID"):
+        self.k, self.key = k, key
+
+    def fit(self, features: DataFrame) -> NearestImputer:
+        self.among_ = features
+        return self
+
+    def transform(self, features: DataFrame) -> DataFrame:
+        return impute_nearest(features, self.key, self.k, among=self.among_)
+
+
+class Scaler:
+    """Scales with the statistics of the table it was fitted on: standard, minmax, maxabs or robust."""
+
+    def __init__(self, how: str = "standard"):
+        self.how = how
+
+    def fit(self, features: DataFrame) -> Scaler:
+        self.found_ = spreads(features, self.how).persist()
+        return self
+
+    def transform(self, features: DataFrame) -> DataFrame:
+        return rescale(features, self.found_)
+
+
+class PowerTransformer:
+    """Yeo-Johnson with the powers, and then standard scaling with the statistics, of the table it was fitted on."""
+
+    def __init__(self, standardize: bool = True):
+        self.standardize = standardize
+
+    def fit(self, features: DataFrame) -> PowerTransformer:
+        self.powers_ = best_powers(features).persist()
+        self.scaler_ = Scaler().fit(bend(features, self.powers_)) if self.standardize else None
+        return self
+
+    def transform(self, features: DataFrame) -> DataFrame:
+        bent = bend(features, self.powers_)
+        return self.scaler_.transform(bent) if self.scaler_ else bent
+
+
 def group_components(df: DataFrame, key: str, n: int, group: str = "group_idx", by: str = FEATURE) -> DataFrame:
     """(key, group, component, value): the first ``n`` principal components of each group's features.
 
@@ -222,47 +304,75 @@ def group_components(df: DataFrame, key: str, n: int, group: str = "group_idx",
     return scored.select(key, group, F.posexplode("s").alias("component", "value"))
 
 
-def combat(df: DataFrame, site: str, covariates: Sequence[str] = (), by: str = FEATURE, key: str = "subjectID", rounds: int = 100) -> DataFrame:
+class Harmoniser:
     """Site effects of place and scale removed with empirical-Bayes shrinkage (Johnson et al., 2007).
 
-    Features are standardised within the pooled fit; each site's effects shrink towards their mean over
-    features. The design is one row per subject, held with one block of features at a time.
+    Features are standardised by the pooled fit of sites and covariates; each site's effects shrink towards
+    their mean over features. ``fit`` needs sums per feature and site only, which are added natively, and
+    then one row per site and feature; ``transform`` applies what was fitted to any rows of the same sites.
+    Nulls are left out and stay null, as do the values of sites that were not fitted.
     """
-    kinds = dict(df.dtypes)
-    columns = [key, site, *covariates]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.set_index([*columns, by])["value"].unstack(by)
-        y = wide.to_numpy(float)
-        info = wide.index.to_frame(index=False)
-        levels = sorted(info[site].unique())
-        sites = np.stack([(info[site] == s).to_numpy(float) for s in levels], 1)
-        extra = info[list(covariates)].to_numpy(float) if covariates else np.empty((len(info), 0))
-        design = np.hstack([sites, extra])
-        beta = np.linalg.lstsq(design, y, rcond=None)[0]
-        share = sites.sum(0) / len(info)
-        base = share @ beta[: len(levels)]
-        spread = np.sqrt(np.maximum(((y - design @ beta) ** 2).mean(0), 1e-12))
-        plain = base + extra @ beta[len(levels) :]
-        z = (y - plain) / spread
-        for k in range(len(levels)):
-            rows = sites[:, k] == 1
-            part, n = z[rows], int(rows.sum())
-            place, width = part.mean(0), part.var(0, ddof=1) if n > 1 else np.ones(z.shape[1])
-            mean, tau = place.mean(), place.var(ddof=1) if len(place) > 1 else 0.0
-            m, v = width.mean(), width.var(ddof=1) if len(width) > 1 else 0.0
-            a, b = ((2 * v + m**2) / v, (m * v + m**3) / v) if v > 0 else (np.inf, np.inf)
+
+    def __init__(self, site: str, covariates: Sequence[str] = (), by: str = FEATURE, key: str = "subjectID", rounds: int = 500):
+        self.site, self.covariates, self.by, self.key, self.rounds = site, list(covariates), by, key, rounds
+
+    def fit(self, df: DataFrame) -> Harmoniser:
+        by, site, q = self.by, self.site, len(self.covariates)
+        known = df.where(F.col("value").isNotNull()).select(F.col(by).alias("__f"), F.col(site).alias("__s"), F.col("value").cast("double").alias("y"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(self.covariates)))
+        c = [f"c{i}" for i in range(q)]
+        within = lambda a, b: F.covar_pop(a, b) * F.count("y")
+        sums = known.groupBy("__f", "__s").agg(
+            F.count("y").alias("n"), F.avg("y").alias("my"), within("y", "y").alias("wyy"), *(F.avg(x).alias(f"m{x}") for x in c), *(within(x, "y").alias(f"w{x}y") for x in c), *(within(a, b).alias(f"w{a}{b}") for a in c for b in c)
+        )
+        pooled = sums.groupBy("__f").agg(F.sum("n").alias("total"), F.sum("wyy").alias("pyy"), *(F.sum(f"w{x}y").alias(f"p{x}y") for x in c), *(F.sum(f"w{a}{b}").alias(f"p{a}{b}") for a in c for b in c))
+
+        @F.pandas_udf("array<double>")
+        def slopes(cc: pd.Series, cy: pd.Series) -> pd.Series:
+            return pd.Series([np.linalg.lstsq(np.reshape(a, (q, q)), np.asarray(b, float), rcond=None)[0] for a, b in zip(cc, cy, strict=True)])
+
+        empty = F.array().cast("array<double>")
+        pooled = pooled.withColumn("beta", slopes(F.array(*(f"p{a}{b}" for a in c for b in c)), F.array(*(f"p{x}y" for x in c))) if c else empty)
+        b = [F.col("beta")[i] for i in range(q)]
+        left = F.col("pyy") - sum((b[i] * F.col(f"p{x}y") for i, x in enumerate(c)), F.lit(0.0))
+        pooled = pooled.select("__f", "total", "beta", F.sqrt(F.greatest(left / F.col("total"), F.lit(1e-12))).alias("spread"))
+        each = sums.join(pooled, "__f")
+        each = each.withColumn("alpha", F.col("my") - sum((b[i] * F.col(f"m{x}") for i, x in enumerate(c)), F.lit(0.0)))
+        base = each.groupBy("__f").agg((F.sum(F.col("alpha") * F.col("n")) / F.max("total")).alias("base"))
+        own = F.col("wyy") - 2 * sum((b[i] * F.col(f"w{x}y") for i, x in enumerate(c)), F.lit(0.0)) + sum((b[i] * b[j] * F.col(f"w{x}{z}") for i, x in enumerate(c) for j, z in enumerate(c)), F.lit(0.0))
+        each = each.join(base, "__f").withColumn("place", (F.col("alpha") - F.col("base")) / F.col("spread"))
+        each = each.withColumn("width", F.when(F.col("n") > 1, F.greatest(own, F.lit(0.0)) / (F.col("n") - 1) / F.pow("spread", F.lit(2.0))).otherwise(1.0))
+        spare = lambda x: F.when(F.count(x) > 1, F.var_samp(x)).otherwise(0.0)
+        prior = each.groupBy("__s").agg(F.avg("place").alias("mean"), spare("place").alias("tau"), F.avg("width").alias("m"), spare("width").alias("v"))
+        rounds = self.rounds
+
+        @F.pandas_udf("gamma double, delta double")
+        def shrunk(n: pd.Series, place: pd.Series, width: pd.Series, mean: pd.Series, tau: pd.Series, m: pd.Series, v: pd.Series) -> pd.DataFrame:
+            n, place, width, mean, tau, m, v = (x.to_numpy(float) for x in (n, place, width, mean, tau, m, v))
             gamma, delta = place.copy(), width.copy()
-            for _ in range(rounds):
-                new = (tau * n * place + delta * mean) / (tau * n + delta) if tau > 0 else np.full_like(place, mean)
-                left = 0.5 * ((part - new) ** 2).sum(0)
-                var = (left + b) / (n / 2 + a - 1) if np.isfinite(a) else np.full_like(width, m)
-                done = max(np.abs(new - gamma).max(), np.abs(var - delta).max()) < 1e-6
-                gamma, delta = new, var
-                if done:
-                    break
-            z[rows] = (part - gamma) / np.sqrt(np.maximum(delta, 1e-12))
-        out = pd.DataFrame(z * spread + plain, index=wide.index, columns=wide.columns).stack().rename("value").reset_index()
-        return out[[key, site, by, "value"]]
-
-    return df.select(*columns, by, "value").groupBy(F.lit(0).alias("all")).applyInPandas(fit, f"`{key}` {kinds[key]}, `{site}` {kinds[site]}, `{by}` {kinds[by]}, value double")
+            with np.errstate(divide="ignore", invalid="ignore"):
+                a, b = (2 * v + m**2) / v, (m * v + m**3) / v
+                for _ in range(rounds):
+                    new = np.where(tau > 0, (tau * n * place + delta * mean) / (tau * n + delta), mean)
+                    rest = 0.5 * ((n - 1) * width * (n > 1) + n * (place - new) ** 2)
+                    var = np.where(v > 0, (rest + b) / (n / 2 + a - 1), m)
+                    done = max(np.abs(new - gamma).max(initial=0), np.abs(var - delta).max(initial=0)) < 1e-12
+                    gamma, delta = new, var
+                    if done:
+                        break
+            return pd.DataFrame({"gamma": gamma, "delta": np.maximum(delta, 1e-12)})
+
+        effects = each.join(prior, "__s").withColumn("e", shrunk("n", "place", "width", "mean", "tau", "m", "v"))
+        self.effects_ = effects.select(F.col("__f").alias(by), F.col("__s").alias(site), "beta", "base", "spread", "e.gamma", "e.delta").persist()
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """(key, site, by, value)"""
+        joined = df.join(self.effects_, [self.by, self.site], "left")
+        plain = F.col("base") + sum((F.col("beta")[i] * F.col(f"`{c}`").cast("double") for i, c in enumerate(self.covariates)), F.lit(0.0))
+        value = ((F.col("value") - plain) / F.col("spread") - F.col("gamma")) / F.sqrt("delta") * F.col("spread") + plain
+        return joined.select(self.key, self.site, self.by, value.alias("value"))
+
+
+def combat(df: DataFrame, site: str, covariates: Sequence[str] = (), by: str = FEATURE, key: str = "subjectID", rounds: int = 500) -> DataFrame:
+    """``Harmoniser`` fitted on the rows that it is applied to: (key, site, by, value)."""
+    return Harmoniser(site, covariates, by, key, rounds).fit(df).transform(df)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions import hashrand
-from nodeloom.plans.estimators import make, r2
+from nodeloom.plans.estimators import make
 
 
 def draws(rows: DataFrame, n_estimators: int, share: float = 1.0, stratify: str | None = None, replace: bool = True, seed: int = 0, key: str = "subjectID", first: int = 0) -> DataFrame:
@@ -101,8 +101,8 @@ class Bagging:
         if self.kind == "classifier":
             best = mean_of(out, "value", ("sample", "class", "y")).groupBy("sample", "y").agg(F.max_by("class", "value").alias("class"))
             return float(best.agg(F.avg((F.col("class") == F.col("y").cast("string")).cast("double"))).first()[0])
-        rows = mean_of(out, "value", ("sample", "y")).toPandas()
-        return r2(rows["y"].to_numpy(float), rows["value"].to_numpy(float))
+        row = mean_of(out, "value", ("sample", "y")).agg(F.sum(F.pow(F.col("y") - F.col("value"), 2)), F.var_pop("y") * F.count("y")).first()
+        return float(1 - row[0] / row[1]) if row[1] else 0.0
 
     def _each(self, matrix: DataFrame, x: str, key: str, y: str | None = None, what: str = "predict") -> DataFrame:
         """(sample, estimator, class, value[, y]) for every row and member."""

@@ -96,6 +96,10 @@ class ProfileDataset:
         only = lambda df: None if df is None else df.join(ids, SUBJECT, "left_semi")
         return replace(self, features=only(self.features), subjects=subjects, targets=only(self.targets), sessions=only(self.sessions))
 
+    def only(self, kept: DataFrame) -> ProfileDataset:
+        """With the subjects of ``kept`` (subjectID, row_idx); positions stay as they were."""
+        return self._only(kept, False)
+
     def __getitem__(self, rows) -> ProfileDataset:
         """Subjects by position: a slice, an index, a list of them, or a list of booleans. Positions stay as they were."""
         i = F.col("row_idx")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import copy
 import inspect
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -20,20 +22,36 @@ SCALERS = ("standard", "minmax", "maxabs", "robust")
 ENSEMBLES = ("bagging", "serial-bagging", "adaboost")
 
 
-def _step(what: str, value, known: dict[str, Callable], optional: bool, params: dict) -> Callable[[DataFrame], DataFrame]:
-    """A function of features from a name, a function, or a class with ``transform(features)``."""
+class Stateless:
+    """A step that learns nothing: a function of features."""
+
+    def __init__(self, change: Callable[[DataFrame], DataFrame], params: dict | None = None):
+        self.change, self.params = change, params or {}
+
+    def fit(self, features: DataFrame) -> Stateless:
+        return self
+
+    def transform(self, features: DataFrame) -> DataFrame:
+        return self.change(features, **self.params)
+
+
+def _step(what: str, value, known: dict[str, Callable], optional: bool, params: dict):
+    """An object with ``fit(features)`` and ``transform(features)`` from a name, a function, a class or such an object."""
     if value is None and optional:
-        return lambda features: features
+        return Stateless(lambda features: features)
     if isinstance(value, str):
         if value.lower() not in known:
             raise ValueError(f"{what} must be one of {sorted(known)}, a function or a class; got {value!r}")
-        return lambda features: known[value.lower()](features, **params)
+        return known[value.lower()](**params)
     if inspect.isclass(value):
         if not hasattr(value, "transform"):
             raise ValueError(f"{what} class {value.__name__} has no transform")
-        return lambda features: value(**params).transform(features)
+        made = value(**params)
+        return made if hasattr(made, "fit") else Stateless(made.transform)
+    if hasattr(value, "fit") and hasattr(value, "transform"):
+        return value
     if callable(value):
-        return lambda features: value(features, **params)
+        return Stateless(value, params)
     raise ValueError(f"{what} must be one of {sorted(known)}, a function or a class; got {value!r}")
 
 
@@ -41,25 +59,47 @@ def _step(what: str, value, known: dict[str, Callable], optional: bool, params:
 class ProfilePipeline:
     """Steps by name, run in order on a dataset's features; the last estimates.
 
-    Statistics of the steps are those of the dataset at hand. ``persist`` keeps the features that the
-    estimator sees, for models that read them more than once.
+    ``fit`` fits each step on the features as the steps before leave them, and the estimator on what the
+    last leaves. ``predict`` and ``score`` apply what was fitted, so a row's prediction does not depend on
+    the rows beside it. ``persist`` keeps the features that the estimator sees, for models that read them
+    more than once.
     """
 
-    impute: Callable[[DataFrame], DataFrame]
-    scale: Callable[[DataFrame], DataFrame]
-    transform: Callable[[DataFrame], DataFrame]
+    impute: object
+    scale: object
+    transform: object
     estimate: object | None
     persist: bool = False
     named_steps: dict = field(default_factory=dict)
+    fitted: bool = False
+
+    @property
+    def steps(self) -> list:
+        return [self.impute, self.scale, self.transform]
+
+    def fit_steps(self, data: ProfileDataset) -> ProfileDataset:
+        """The dataset as the fitted steps leave it."""
+        for step in self.steps:
+            step.fit(data.features)
+            data = data.transform(step.transform)
+        self.fitted = True
+        return self._kept(data)
 
     def prepare(self, data: ProfileDataset) -> ProfileDataset:
-        out = data.transform(self.impute).transform(self.scale).transform(self.transform)
-        return ProfileDataset(out.features.persist(), *(getattr(out, f) for f in ("subjects", "targets", "classes", "target_cols", "sessions"))) if self.persist else out
+        """Another dataset as the steps leave it, fitted before on theirs."""
+        if not self.fitted:
+            raise ValueError("the pipeline is not fitted")
+        for step in self.steps:
+            data = data.transform(step.transform)
+        return self._kept(data)
+
+    def _kept(self, data: ProfileDataset) -> ProfileDataset:
+        return replace(data, features=data.features.persist()) if self.persist else data
 
     def fit(self, data: ProfileDataset) -> ProfilePipeline:
         if self.estimate is None:
             raise ValueError("the pipeline has no estimator")
-        self.prepare(data).fit(self.estimate)
+        self.fit_steps(data).fit(self.estimate)
         return self
 
     def predict(self, data: ProfileDataset) -> DataFrame:
@@ -68,9 +108,11 @@ class ProfilePipeline:
     def score(self, data: ProfileDataset) -> float:
         return self.prepare(data).score(self.estimate)
 
-
-def _nearest(features: DataFrame, **params) -> DataFrame:
-    return scaling.impute_nearest(features, "subjectID", **params)
+    def unfitted(self) -> ProfilePipeline:
+        """A copy whose steps and estimator share nothing with this one's; of one that was not fitted yet."""
+        if self.fitted:
+            raise ValueError("the pipeline is fitted already")
+        return copy.deepcopy(self)
 
 
 def make_pipeline(
@@ -94,11 +136,11 @@ def make_pipeline(
     for the power transform. ensemble: bagging, serial-bagging, adaboost, or a class that takes the
     estimator. target_func and target_inverse wrap a regressor.
     """
-    impute = _step("imputer", imputer, {"simple": scaling.impute, "knn": _nearest}, False, imputer_kwargs or {})
-    scale = _step("scaler", scaler, {s: (lambda f, how=s: scaling.scale(f, how)) for s in SCALERS}, True, scaler_kwargs or {})
+    impute = _step("imputer", imputer, {"simple": scaling.Imputer, "knn": scaling.NearestImputer}, False, imputer_kwargs or {})
+    scale = _step("scaler", scaler, {s: partial(scaling.Scaler, s) for s in SCALERS}, True, scaler_kwargs or {})
     if feature_transformer is True:
         feature_transformer = "power"
-    transform = _step("feature_transformer", feature_transformer or None, {"power": scaling.power_transform}, True, transformer_kwargs or {})
+    transform = _step("feature_transformer", feature_transformer or None, {"power": scaling.PowerTransformer}, True, transformer_kwargs or {})
     model = _estimate(estimator, ensemble, estimator_kwargs or {}, ensemble_kwargs or {}, target_func, target_inverse)
     steps = {"impute": imputer, "scale": scaler, "feature_transform": feature_transformer, "estimate": model}
     return ProfilePipeline(impute, scale, transform, model, persist, steps)

@@ -102,6 +102,40 @@ def cross_validate(matrix: DataFrame, x: str, y: str, key: str, estimator="ridge
     return spark.read.parquet(path)
 
 
+def _measures(kind: str):
+    """Scores of (truth, prediction) rows as aggregates, by name."""
+    error, truth = F.col("prediction") - F.col("truth"), F.col("truth")
+    squares = F.sum(error * error)
+    found = {
+        "r2": F.when(F.var_pop(truth) > 0, 1 - squares / (F.var_pop(truth) * F.count(truth))).otherwise(0.0),
+        "neg_mean_squared_error": -F.avg(error * error),
+        "neg_mean_absolute_error": -F.avg(F.abs(error)),
+        "accuracy": F.avg((F.col("prediction") == truth).cast("double")),
+    }
+    return found | {"score": found["accuracy" if kind == "classifier" else "r2"]}
+
+
+def cross_validate_pipeline(pipeline, data, folds: int = 5, scoring=None, return_train_score: bool = False) -> DataFrame:
+    """(fold, metric, split, value) of a pipeline on a dataset with one target.
+
+    Its steps and its estimator are fitted on each fold's training subjects alone; the subjects left out
+    are transformed by what was learned there. Folds are consecutive parts of the subjects in their order.
+    """
+    names = [scoring] if isinstance(scoring, str) else list(scoring or ["score"])
+    placed, target, out = with_folds(data.subjects, "row_idx", folds), data._target(), None
+    for k in range(folds):
+        train, test = data.only(placed.where(F.col("fold") != k)), data.only(placed.where(F.col("fold") == k))
+        fitted = pipeline.unfitted().fit(train)
+        measures = _measures(getattr(fitted.estimate, "kind", "regressor"))
+        for split, part in (("test", test), ("train", train))[: 1 + return_train_score]:
+            truth = part.targets.select(F.col("subjectID").alias("sample"), F.col(target).cast("double").alias("truth"))
+            both = fitted.predict(part).withColumn("prediction", F.col("prediction").cast("double")).join(truth, "sample")
+            row = both.agg(*(measures[n].alias(n) for n in names))
+            long = row.select(F.lit(k).alias("fold"), F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.lit(split).alias("split"), F.col(n).alias("value")) for n in names))).alias("s")).select("fold", "s.*")
+            out = long if out is None else out.unionByName(long)
+    return out
+
+
 def summary(scores: DataFrame) -> DataFrame:
     """(metric, split, mean, std) over folds."""
     return scores.groupBy("metric", "split").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))

@@ -7,28 +7,17 @@ sequences of 8 channels by 8 steps.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.functions import hashrand
+from nodeloom.functions.series import spline_basis
 from nodeloom.operators import augment, features, match, profiles, reshape, scale, targets
 from nodeloom.plans import bagging, sgl, validation
+from nodeloom.registry import ORACLE_SQL, QUERIES, query
 from nodeloom.sources.tables import NODE, SESSION, SUBJECT, TRACT
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -302,10 +291,18 @@ def mean_profiles(spark, sf_dir):
     return profiles.mean_profiles(filled(spark, sf_dir), hues).withColumn("mean", r("mean", 9))
 
 
-@query()
+_WEIGHT = " + ".join(f"CAST(u > {x!r} AS INTEGER)" for x in profiles.POISSON)
+
+
+@query(f"""WITH {FILLED}, q AS (SELECT quantile_cont(c_acctbal, [0.0, 0.5, 1.0]) AS e FROM customer), hues AS (SELECT CAST(c_custkey AS VARCHAR) AS s, CASE WHEN c_acctbal <= e[2] THEN 'balance ' || printf('%.2f', e[1]) || '-' || printf('%.2f', e[2]) ELSE 'balance ' || printf('%.2f', e[2]) || '-' || printf('%.2f', e[3]) END AS hue FROM customer, q),
+ rw AS (SELECT s, m, t, n, hue, v FROM filled JOIN hues USING (s) WHERE v IS NOT NULL), words AS (SELECT s, q, md5('boot|0|' || s || '|' || q) AS h FROM (SELECT DISTINCT s FROM rw), (SELECT unnest(range(0, 125)) AS q)),
+ draws AS (SELECT s, q * 4 + j AS b, (('0x' || substr(h, CAST(j * 8 + 1 AS BIGINT), 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0 AS u FROM words, (SELECT unnest(range(0, 4)) AS j)), wt AS (SELECT s, b, {_WEIGHT} AS w FROM draws),
+ rep AS (SELECT m, t, hue, n, b, sum(w * v) / nullif(sum(w), 0) AS x FROM rw JOIN wt USING (s) GROUP BY m, t, hue, n, b), ci AS (SELECT m, t, hue, n, quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.975) AS high FROM rep GROUP BY m, t, hue, n)
+ SELECT m AS metric, t AS "tractID", hue, n AS "nodeID", count(*) AS n, round(avg(v), 10) + 0.0 AS mean, round(any_value(low), 10) + 0.0 AS low, round(any_value(high), 10) + 0.0 AS high FROM rw JOIN ci USING (m, t, hue, n) GROUP BY m, t, hue, rw.n""")
 def profile_intervals(spark, sf_dir):
     hues = profiles.hue(customers(spark, sf_dir), "c_acctbal", quantiles=2, name="balance")
-    return profiles.profiles_with_intervals(filled(spark, sf_dir), hues, 500)
+    out = profiles.profiles_with_intervals(filled(spark, sf_dir), hues, 500)
+    return out.withColumns({c: r(c, 10) for c in ("mean", "low", "high")})
 
 
 _GROUPS = """grps AS (SELECT CAST(c_custkey AS VARCHAR) AS s, c_mktsegment = 'BUILDING' AS h FROM customer)"""
@@ -321,9 +318,22 @@ def _tests(spark, sf_dir):
     return profiles.group_tests(filled(spark, sf_dir), groups, "a")
 
 
-@query()
+def _between(t: str, df: str) -> str:
+    """The chance that a t variable lies between -t and t, by its finite sums for whole degrees of freedom."""
+    cos2, angle = f"({df} / ({df} + ({t}) * ({t})))", f"atan(({t}) / sqrt({df}))"
+    even = f"list_sum(list_transform(range(0, CAST({df} AS BIGINT) // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0)) / sqrt(pi()) * pow({cos2}, j)))"
+    odd = f"coalesce(list_sum(list_transform(range(0, (CAST({df} AS BIGINT) - 1) // 2), lambda j: exp(lgamma(j + 1.0) - lgamma(j + 1.5)) * sqrt(pi()) / 2 * pow({cos2}, j))), 0)"
+    return f"CASE WHEN CAST({df} AS BIGINT) % 2 = 0 THEN sin({angle}) * {even} ELSE 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * {odd}) END"
+
+
+@query(f"""WITH RECURSIVE {_GROUPS}, {FILLED}, su AS (SELECT m, t, n, count(v) FILTER (h) AS n1, avg(v) FILTER (h) AS m1, var_pop(v) FILTER (h) AS v1, count(v) FILTER (NOT h) AS n0, avg(v) FILTER (NOT h) AS m0, var_pop(v) FILTER (NOT h) AS v0 FROM filled JOIN grps USING (s) WHERE v IS NOT NULL GROUP BY m, t, n),
+ te AS (SELECT m, t, n, m1 - m0 AS coef, sqrt((n0 * v0 + n1 * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) AS se, CAST(n0 + n1 - 2 AS DOUBLE) AS df FROM su WHERE n0 > 0 AND n1 > 0 AND n0 + n1 > 2),
+ bi AS (SELECT DISTINCT df, 0.0::DOUBLE AS lo, 1000.0::DOUBLE AS hi, 0 AS k FROM te UNION ALL SELECT df, CASE WHEN below THEN (lo + hi) / 2 ELSE lo END, CASE WHEN below THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM (SELECT *, ({_between('(lo + hi) / 2', 'df')}) < 0.95 AS below FROM bi) WHERE k < 60),
+ pv AS (SELECT te.*, 1 - ({_between('abs(coef) / se', 'te.df')}) AS p, (lo + hi) / 2 AS tq FROM te JOIN bi ON bi.df = te.df AND bi.k = 60), rk AS (SELECT *, p * count(*) OVER (PARTITION BY m) / count(*) OVER (PARTITION BY m ORDER BY p) AS raw FROM pv)
+ SELECT m AS metric, t AS "tractID", n AS "nodeID", round(coef, 7) + 0.0 AS coef, round(coef - tq * se, 7) + 0.0 AS low, round(coef + tq * se, 7) + 0.0 AS high, round(p, 8) + 0.0 AS p, round(least(1.0, min(raw) OVER (PARTITION BY m ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) + 0.0 AS q FROM rk""")
 def group_tests_corrected(spark, sf_dir):
-    return profiles.false_discovery(_tests(spark, sf_dir), by=["metric"])
+    out = profiles.false_discovery(_tests(spark, sf_dir), by=["metric"])
+    return out.withColumns({c: r(c, 7) for c in ("coef", "low", "high")} | {c: r(c, 8) for c in ("p", "q")})
 
 
 _P = hashrand.uniform_sql("'p'", "c_custkey")
@@ -373,9 +383,10 @@ def _distances(u):
     return match.pair_distances(test, control, names, match.precision(u, names), "c_custkey")
 
 
-@query()
+@query(f"""WITH {_UNITS.replace(" WHERE c_custkey < 400", "")}, d AS (SELECT x.c_custkey AS test_id, y.c_custkey AS ctrl_id, sqrt(((x.a - y.a) * (x.a - y.a) * bb - 2 * (x.a - y.a) * (x.b - y.b) * ab + (x.b - y.b) * (x.b - y.b) * aa) / (aa * bb - ab * ab)) AS dist
+ FROM u x JOIN u y ON x.status AND NOT y.status, cv) SELECT test_id, ctrl_id, round(dist, 6) + 0.0 AS dist FROM d""")
 def all_pair_distances(spark, sf_dir):
-    return _distances(_units(table(spark, sf_dir, "customer")))
+    return _distances(_units(table(spark, sf_dir, "customer"))).withColumn("dist", r("dist"))
 
 
 @query()
@@ -412,7 +423,7 @@ def imputed_by_neighbours(spark, sf_dir):
     return _by_neighbours(table(spark, sf_dir, "customer").where("c_custkey < 60"))
 
 
-@query()
+@query(_KNN.replace(" WHERE c_custkey < 60", ""))
 def all_imputed_by_neighbours(spark, sf_dir):
     return _by_neighbours(table(spark, sf_dir, "customer"))
 
@@ -440,21 +451,65 @@ def yeo_johnson(spark, sf_dir):
     return c.select("c_custkey", r(scale.yeo_johnson(F.col("c_acctbal") / 1000, F.lit(0.5))).alias("bent"))
 
 
-@query()
+def _bent(v: str, p: str) -> str:
+    return f"""CASE WHEN {v} >= 0 THEN CASE WHEN abs({p}) < 1e-12 THEN ln({v} + 1) ELSE (pow({v} + 1, {p}) - 1) / {p} END ELSE CASE WHEN abs({p} - 2) < 1e-12 THEN -ln(1 - {v}) ELSE -(pow(1 - {v}, 2 - ({p})) - 1) / (2 - ({p})) END END"""
+
+
+def _powers() -> str:
+    """Rounds of a search for each feature's likeliest power: the last CTE is best (f, power)."""
+    out, ranges = "", "SELECT DISTINCT f, -4.0::DOUBLE AS lo, 4.0::DOUBLE AS hi FROM vec"
+    for k in range(scale.ROUNDS):
+        out += f""", g{k} AS (SELECT f, lo + i * ((hi - lo) / 16) AS p, (hi - lo) / 16 AS step FROM ({ranges}), (SELECT unnest(range(0, 17)) AS i)),
+ l{k} AS (SELECT f, p, any_value(step) AS step, count(*) / 2.0 * ln(var_pop({_bent('v', 'p')})) - (p - 1) * sum(sign(v) * ln(1 + abs(v))) AS loss FROM g{k} JOIN vec USING (f) GROUP BY f, p), b{k} AS (SELECT f, arg_min(p, loss) AS best, any_value(step) AS step FROM l{k} GROUP BY f)"""
+        ranges = f"SELECT f, best - step AS lo, best + step AS hi FROM b{k}"
+    return f"{out}, best AS (SELECT f, best AS power FROM b{scale.ROUNDS - 1})"
+
+
+@query(f"""WITH {VECTORS}{_powers()}, bt AS (SELECT s, f, {_bent('v', 'power')} AS w FROM vec JOIN best USING (f)), st AS (SELECT f, avg(w) AS a, stddev_pop(w) AS d FROM bt GROUP BY f)
+ SELECT s AS "subjectID", f AS feature_idx, round((w - a) / d, 4) + 0.0 AS value FROM bt JOIN st USING (f)""")
 def power_transformed(spark, sf_dir):
-    return scale.power_transform(vectors(spark, sf_dir).select(SUBJECT, "feature_idx", "value"))
+    return scale.power_transform(vectors(spark, sf_dir).select(SUBJECT, "feature_idx", "value")).withColumn("value", r("value", 4))
 
 
-@query()
+def _axis(k: int, source: str) -> str:
+    """CTEs that square the matrices (g, a) of ``source``, 8 by 8, until one axis is left, and take it off: x{k} (g, v), c{k} (g, a)."""
+    product = "list_transform(range(0, 64), lambda t: list_sum(list_transform(range(1, 9), lambda j: a[(t // 8) * 8 + j] * a[(j - 1) * 8 + t % 8 + 1])))"
+    return f""", s{k} AS (SELECT g, list_transform(a, lambda x: x / list_max(list_transform(a, lambda y: abs(y)))) AS a, 0 AS k FROM {source} UNION ALL SELECT g, list_transform(p, lambda x: x / list_max(list_transform(p, lambda y: abs(y)))), k + 1 FROM (SELECT g, k, {product} AS p FROM s{k} WHERE k < 42)),
+ d{k} AS (SELECT g, a, list_position(list_transform(range(0, 8), lambda i: a[i * 9 + 1]), list_max(list_transform(range(0, 8), lambda i: a[i * 9 + 1]))) AS j FROM s{k} WHERE k = 42), u{k} AS (SELECT g, list_transform(range(0, 8), lambda i: a[i * 8 + j]) AS u FROM d{k}),
+ w{k} AS (SELECT g, list_transform(u, lambda x: x / sqrt(list_sum(list_transform(u, lambda y: y * y)))) AS u FROM u{k}), x{k} AS (SELECT g, list_transform(u, lambda x: x * sign(u[list_position(list_transform(u, lambda y: abs(y)), list_max(list_transform(u, lambda y: abs(y))))])) AS v FROM w{k}),
+ e{k} AS (SELECT q.g, q.a, v, list_sum(list_transform(range(0, 64), lambda t: v[t // 8 + 1] * q.a[t + 1] * v[t % 8 + 1])) AS z FROM {source} q JOIN x{k} ON x{k}.g = q.g), c{k} AS (SELECT g, list_transform(range(0, 64), lambda t: a[t + 1] - z * v[t // 8 + 1] * v[t % 8 + 1]) AS a FROM e{k})"""
+
+
+@query(f"""WITH RECURSIVE {VECTORS}, mv AS (SELECT f, avg(v) AS mean FROM vec GROUP BY f), ce AS (SELECT s, f // 8 AS g, f % 8 AS i, v - mean AS d FROM vec JOIN mv USING (f)), cc AS (SELECT x.g, x.i, y.i AS j, avg(x.d * y.d) AS c FROM ce x JOIN ce y ON x.s = y.s AND x.g = y.g GROUP BY x.g, x.i, y.i),
+ c0 AS (SELECT g, list(c ORDER BY i, j) AS a FROM cc GROUP BY g){_axis(1, 'c0')}{_axis(2, 'c1')}{_axis(3, 'c2')}, axes AS (SELECT g, 0 AS k, v FROM x1 UNION ALL SELECT g, 1, v FROM x2 UNION ALL SELECT g, 2, v FROM x3)
+ SELECT s AS "subjectID", CAST(ce.g AS INTEGER) AS group_idx, k AS component, round(sum(d * v[i + 1]), 6) + 0.0 AS value FROM ce JOIN axes ON axes.g = ce.g GROUP BY s, ce.g, k""")
 def group_components(spark, sf_dir):
     v = vectors(spark, sf_dir).withColumn("group_idx", F.expr("feature_idx div 8").cast("int"))
-    return scale.group_components(v, SUBJECT, 3)
+    return scale.group_components(v, SUBJECT, 3).withColumn("value", r("value"))
 
 
-@query()
+_SITES = f"""{VECTORS}, sv AS (SELECT s, 's' || (s % 3) AS site, f, v FROM vec), fs AS (SELECT f, site, count(*) AS n, avg(v) AS my, var_pop(v) * count(*) AS w FROM sv WHERE learnt GROUP BY f, site), po AS (SELECT f, sum(n) AS total, sum(w) AS w FROM fs GROUP BY f),
+ ba AS (SELECT f, sum(n * my) / max(total) AS base, sqrt(greatest(max(po.w) / max(total), 1e-12)) AS spread FROM fs JOIN po USING (f) GROUP BY f), pl AS (SELECT f, site, n, base, spread, (my - base) / spread AS place, w / (n - 1) / (spread * spread) AS width FROM fs JOIN ba USING (f)),
+ pr AS (SELECT site, avg(place) AS mean, var_samp(place) AS tau, avg(width) AS m, var_samp(width) AS v FROM pl GROUP BY site), it AS (SELECT f, site, n, base, spread, place, width, mean, tau, m, v, place AS gamma, width AS delta, 0 AS k FROM pl JOIN pr USING (site)
+ UNION ALL SELECT f, site, n, base, spread, place, width, mean, tau, m, v, g, (0.5 * ((n - 1) * width + n * (place - g) * (place - g)) + (m * v + m * m * m) / v) / (n / 2.0 + (2 * v + m * m) / v - 1), k + 1 FROM (SELECT *, (tau * n * place + delta * mean) / (tau * n + delta) AS g FROM it WHERE k < 60))
+ SELECT s AS "subjectID", sv.site, sv.f AS feature_idx, round((((sv.v - base) / spread) - gamma) / sqrt(delta) * spread + base, 6) + 0.0 AS value FROM sv JOIN it ON it.f = sv.f AND it.site = sv.site AND it.k = 60"""
+
+
+def _sited(spark, sf_dir):
+    return vectors(spark, sf_dir).withColumn("site", F.concat(F.lit("s"), (F.col(SUBJECT) % 3).cast("string")))
+
+
+@query(f"WITH RECURSIVE {_SITES.replace(' WHERE learnt', '')}")
 def site_harmonised(spark, sf_dir):
-    v = vectors(spark, sf_dir).withColumn("site", F.concat(F.lit("s"), (F.col(SUBJECT) % 3).cast("string")))
-    return scale.combat(v, "site")
+    return scale.combat(_sited(spark, sf_dir), "site").withColumn("value", r("value"))
+
+
+@query(f"WITH RECURSIVE {_SITES.replace('WHERE learnt', 'WHERE s % 4 <> 0')} WHERE s % 4 = 0")
+def site_harmonised_held_out(spark, sf_dir):
+    """Site effects learnt on three quarters of the subjects, taken off the others."""
+    v = _sited(spark, sf_dir)
+    learnt = scale.Harmoniser("site").fit(v.where(F.col(SUBJECT) % 4 != 0))
+    return learnt.transform(v.where(F.col(SUBJECT) % 4 == 0)).withColumn("value", r("value"))
 
 
 # Augmentation.
@@ -484,24 +539,63 @@ def window_sliced(spark, sf_dir):
     return augment.window_slice(sequences(spark, sf_dir), 0.75, seed=7).select(*augment.KEYS, r("value").alias("value"))
 
 
-def _augmented(name, **options):
+def _augmented(name, sql=None, **options):
     def run(spark, sf_dir):
-        return augment.unpack(getattr(augment, name)(augment.pack(sequences(spark, sf_dir)), seed=7, **options))
+        return augment.unpack(getattr(augment, name)(augment.pack(sequences(spark, sf_dir)), seed=7, **options)).withColumn("value", r("value"))
 
     run.__name__ = f"augmented_{name}" + ("_shape" if options.get("shape") else "")
-    query()(run)
-
-
-for _name in ("magnitude_warp", "time_warp", "window_warp", "spawner", "barycenter", "guided_warp", "discriminative_warp"):
-    _augmented(_name)
+    query(sql)(run)
+
+
+#: Fixed by 8 steps and 6 knots: what each knot's value counts for at each step.
+_BASIS = ", ".join(f"({i}, {k}, {float(x)!r}::DOUBLE)" for i, row in enumerate(spline_basis(np.linspace(0, 7, 6), np.arange(8))) for k, x in enumerate(row))
+_augmented("magnitude_warp", f"""WITH {SEQS}, basis(step, k, b) AS (VALUES {_BASIS}), ids AS (SELECT DISTINCT sample_id FROM seq), kn AS (SELECT sample_id, k, channel, 1 + 0.2 * {hashrand.normal_sql("'magnitude'", '7', 'sample_id', 'k', 'channel')} AS x FROM ids, (SELECT unnest(range(0, 6)) AS k), (SELECT unnest(range(0, 8)) AS channel)),
+ cu AS (SELECT sample_id, channel, step, sum(b * x) AS c FROM kn JOIN basis USING (k) GROUP BY sample_id, channel, step) SELECT sample_id, label, CAST(channel AS INTEGER) AS channel, CAST(step AS INTEGER) AS step, round(value * c, 6) + 0.0 AS value FROM seq JOIN cu USING (sample_id, channel, step)""")
+_augmented("time_warp")
+_augmented("window_warp", f"""WITH {SEQS}, ids AS (SELECT DISTINCT sample_id FROM seq), w AS (SELECT sample_id, 1 + CAST(floor({hashrand.uniform_sql("'window'", '7', 'sample_id', "'start'")} * 5) AS INTEGER) AS st, 1 + CAST(floor({hashrand.uniform_sql("'window'", '7', 'sample_id', "'scale'")} * 2) AS INTEGER) AS len FROM ids),
+ lo AS (SELECT sample_id, st, len, p, CASE WHEN p < st THEN p WHEN p < st + len THEN st ELSE p - len + 1 END AS step FROM w, (SELECT unnest(range(0, 9)) AS p) WHERE p < 7 + len), nv AS (SELECT sample_id, label, channel, p, value FROM lo JOIN seq USING (sample_id, step)),
+ po AS (SELECT sample_id, t, t * (6 + len) / 7.0 AS x, least(CAST(floor(t * (6 + len) / 7.0) AS INTEGER), 6 + len) AS i, least(CAST(floor(t * (6 + len) / 7.0) AS INTEGER) + 1, 6 + len) AS j FROM w, (SELECT unnest(range(0, 8)) AS t))
+ SELECT po.sample_id, a.label, CAST(a.channel AS INTEGER) AS channel, CAST(t AS INTEGER) AS step, round(a.value + (b.value - a.value) * (x - i), 6) + 0.0 AS value FROM po JOIN nv a ON a.sample_id = po.sample_id AND a.p = i JOIN nv b ON b.sample_id = po.sample_id AND b.p = j AND b.channel = a.channel""")
+
+
+def _warped(name: str, band: int | None) -> str:
+    """CTEs that align each sample with a drawn partner of its label: mate (sample_id, other), path (sample_id, distance, path of (i, j))."""
+    apart = f"CASE WHEN j - i BETWEEN {-band} AND {band} THEN d ELSE 'inf'::DOUBLE END" if band is not None else "d"
+    inf = "'inf'::DOUBLE"
+    return f"""{SEQS}, rk AS (SELECT sample_id, label, row_number() OVER (PARTITION BY label ORDER BY sample_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM (SELECT DISTINCT sample_id, label FROM seq)),
+ mate AS (SELECT a.sample_id, b.sample_id AS other FROM (SELECT *, (r + 1 + CAST(floor({hashrand.uniform_sql(f"'{name}'", '7', 'sample_id')} * greatest(n - 1, 1)) AS BIGINT)) % n AS o FROM rk WHERE n > 1) a JOIN rk b ON b.label = a.label AND b.r = a.o),
+ ds AS (SELECT k, i, j, {apart} AS d FROM (SELECT mate.sample_id AS k, p.step AS i, q.step AS j, sqrt(sum((p.value - q.value) * (p.value - q.value))) AS d FROM mate JOIN seq p ON p.sample_id = PROTO JOIN seq q ON q.sample_id = SAMPLE AND q.channel = p.channel GROUP BY mate.sample_id, p.step, q.step)),
+ dl AS (SELECT k, list(d ORDER BY i, j) AS c FROM ds GROUP BY k), dp AS (SELECT k, c, [c[1]] AS t, 1 AS z FROM dl UNION ALL SELECT k, c, list_append(t, c[z + 1] + least(CASE WHEN z >= 8 AND z % 8 > 0 THEN t[z - 8] ELSE {inf} END, CASE WHEN z >= 8 THEN t[z - 7] ELSE {inf} END, CASE WHEN z % 8 > 0 THEN t[z] ELSE {inf} END)), z + 1 FROM dp WHERE z < 64),
+ tr AS (SELECT k, t, 7 AS i, 7 AS j, [{{'i': 7, 'j': 7}}] AS path FROM dp WHERE z = 64 UNION ALL SELECT k, t, ni, nj, list_prepend({{'i': ni, 'j': nj}}, path) FROM (SELECT k, t, path, i - CAST(w <> 2 AS INTEGER) AS ni, j - CAST(w <> 1 AS INTEGER) AS nj FROM (SELECT *, CASE WHEN dg <= up AND dg <= lf THEN 0 WHEN up <= lf THEN 1 ELSE 2 END AS w FROM (
+ SELECT *, CASE WHEN i > 0 AND j > 0 THEN t[(i - 1) * 8 + j] ELSE {inf} END AS dg, CASE WHEN i > 0 THEN t[(i - 1) * 8 + j + 1] ELSE {inf} END AS up, CASE WHEN j > 0 THEN t[i * 8 + j] ELSE {inf} END AS lf FROM tr WHERE i > 0 OR j > 0)))),
+ path AS (SELECT k AS sample_id, t[64] AS distance, path FROM tr WHERE i = 0 AND j = 0)"""
+
+
+_augmented("spawner")
+_augmented("barycenter")
+_augmented("guided_warp", f"""WITH RECURSIVE {_warped('guided', 1).replace('PROTO', 'mate.other').replace('SAMPLE', 'mate.sample_id')}, po AS (SELECT sample_id, path, t, t * (len(path) - 1) / 7.0 AS x FROM path, (SELECT unnest(range(0, 8)) AS t)), st AS (SELECT sample_id, t, x - floor(x) AS share, path[CAST(floor(x) AS BIGINT) + 1].j AS a, path[least(CAST(floor(x) AS BIGINT) + 2, len(path))].j AS b FROM po)
+ SELECT st.sample_id, p.label, CAST(p.channel AS INTEGER) AS channel, CAST(t AS INTEGER) AS step, round(p.value + (q.value - p.value) * share, 6) + 0.0 AS value FROM st JOIN seq p ON p.sample_id = st.sample_id AND p.step = a JOIN seq q ON q.sample_id = st.sample_id AND q.step = b AND q.channel = p.channel
+ UNION ALL SELECT sample_id, label, CAST(channel AS INTEGER), CAST(step AS INTEGER), round(value, 6) + 0.0 FROM seq WHERE sample_id NOT IN (SELECT sample_id FROM path)""")
+_augmented("discriminative_warp")
 _augmented("guided_warp", shape=True)
 _augmented("discriminative_warp", shape=True)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_warped('pairs', None).replace('PROTO', 'mate.sample_id').replace('SAMPLE', 'mate.other')} SELECT sample_id, round(distance, 6) + 0.0 AS distance, array_to_string(list_transform(path, lambda p: p.i || ':' || p.j), ' ') AS path FROM path""")
 def warp_distances(spark, sf_dir):
-    p = augment.with_partner(augment.pack(sequences(spark, sf_dir)), "pairs", 7).where("partner is not null")
-    return augment.warp_distances(p.select("sample_id", "n_channels", F.col("x").alias("prototype"), F.col("partner").alias("sample")), "symmetric")
+    x = augment.pack(sequences(spark, sf_dir))
+    p = augment.with_partner(x, "pairs", 7).where("partner is not null")
+    found = augment.warp_distances(p.select("sample_id", "n_channels", F.col("x").alias("prototype"), F.col("partner").alias("sample")), "symmetric")
+    path = F.concat_ws(" ", F.transform("path", lambda s: F.concat_ws(":", s["i"].cast("string"), s["j"].cast("string"))))
+    return found.select("sample_id", r("distance").alias("distance"), path.alias("path"))
+
+
+@query(f"""WITH {SEQS}, rk AS (SELECT sample_id, label, row_number() OVER (PARTITION BY label ORDER BY sample_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM (SELECT DISTINCT sample_id, label FROM seq)),
+ a AS (SELECT *, CASE WHEN n > 1 THEN (r + 1 + CAST(floor({hashrand.uniform_sql("'mates'", '7', 'sample_id')} * (n - 1)) AS BIGINT)) % n END AS o FROM rk) SELECT a.sample_id, a.label, round(q.total, 5) + 0.0 AS partner_total FROM a LEFT JOIN rk b ON b.label = a.label AND b.r = a.o LEFT JOIN (SELECT sample_id, sum(value) AS total FROM seq GROUP BY sample_id) q ON q.sample_id = b.sample_id""")
+def partners(spark, sf_dir):
+    """Another sample of the same label for each, drawn at random."""
+    p = augment.with_partner(augment.pack(sequences(spark, sf_dir)), "mates", 7)
+    return p.select("sample_id", "label", r(F.aggregate("partner", F.lit(0.0), lambda a, v: a + v), 5).alias("partner_total"))
 
 
 # Ensembles and validation.
@@ -564,3 +658,6 @@ def sparse_group_path(spark, sf_dir):
     m = reshape.matrix(vectors(spark, sf_dir)).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(SUBJECT), (F.col("label") % 2).cast("double").alias("y")), SUBJECT)
     groups = [list(range(8 * g, 8 * g + 8)) for g in range(8)]
     return sgl.path(m, "x", "y", SUBJECT, groups, alphas=[0.2, 0.05], l1_ratios=[0.5, 1.0], folds=3)
+
+
+from nodeloom import queries_files, queries_models  # noqa: E402, F401  they register more queries, and use what stands above

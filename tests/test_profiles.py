@@ -499,3 +499,97 @@ def test_sites_are_harmonised(spark):
     assert apart(df) > 2 and apart(out) < 0.5
     before, after = spread(df), spread(out)
     assert after[1] / after[0] < before[1] / before[0]
+
+
+def _people(spark, n=40):
+    """Subjects whose target is a line through their first feature; some values are missing."""
+    random = np.random.default_rng(8)
+    x = random.normal(size=(n, 3)) * [1, 10, 0.1] + [0, 50, 1]
+    nodes = [(f"s{i:02d}", t, 0, None if (i + j) % 7 == 0 else float(x[i, j])) for i in range(n) for j, t in enumerate("ABC")]
+    people = [(f"s{i:02d}", float(2 * x[i, 0] + i)) for i in range(n)]
+    return ProfileDataset.build(spark.createDataFrame(nodes, "subjectID string, tractID string, nodeID int, m double"), spark.createDataFrame(people, "subjectID string, y double"), ["y"])
+
+
+@pytest.mark.parametrize("steps", [{}, {"imputer": "knn", "scaler": "minmax"}, {"scaler": "robust", "feature_transformer": True}])
+def test_prediction_does_not_depend_on_the_rows_beside(spark, steps):
+    d = _people(spark)
+    p = make_pipeline(estimator="ridge", **steps).fit(d[:30])
+    whole = {r["sample"]: r["prediction"] for r in p.predict(d).collect()}
+    for part in (d[30:40], d[35]):
+        got = {r["sample"]: r["prediction"] for r in p.predict(part).collect()}
+        assert len(got) == len(part) and all(math.isclose(got[k], whole[k], rel_tol=1e-9) for k in got)
+    with pytest.raises(ValueError):
+        make_pipeline(estimator="ridge").predict(d)
+    with pytest.raises(ValueError):
+        p.unfitted()
+
+
+def test_steps_are_fitted_where_they_are_told(spark):
+    class Shift:
+        def fit(self, features):
+            self.by = features.agg(F.max("value")).first()[0]
+            return self
+
+        def transform(self, features):
+            return features.withColumn("value", F.col("value") - self.by)
+
+    d = _people(spark)
+    p = make_pipeline(scaler=Shift, estimator="ridge")
+    p.fit_steps(d[:30])
+    top = d[:30].features.agg(F.max("value")).first()[0]
+    assert p.scale.by == top
+    moved = p.prepare(d[30:]).features.join(d[30:].features.select("subjectID", "feature_idx", F.col("value").alias("old")), ["subjectID", "feature_idx"]).where("old is not null")
+    assert moved.where(F.abs(F.col("old") - top - F.col("value")) > 1e-12).count() == 0
+
+
+def test_draws_agree(spark):
+    from nodeloom.functions import hashrand
+
+    df = spark.createDataFrame([(i, j) for i in range(5) for j in range(4)], "a int, b int")
+    rows = df.select("a", "b", hashrand.uniform("x", 3, F.col("a"), F.col("b")).alias("u"), hashrand.normal("x", 3, F.col("a"), F.col("b")).alias("n"), hashrand.below(7, "x", 3, F.col("a"), F.col("b")).alias("k")).collect()
+    for r in rows:
+        d = hashrand.Draws("x", 3, r["a"])
+        assert d.uniform(r["b"]) == r["u"] and math.isclose(d.normal(r["b"]), r["n"], abs_tol=1e-12) and d.below(7, r["b"]) == r["k"]
+    grid = hashrand.Draws("x", 3).normals(5, 4)
+    assert all(math.isclose(grid[r["a"], r["b"]], r["n"], abs_tol=1e-12) for r in rows)
+
+
+def test_splines_give_cubics_back():
+    from nodeloom.functions.series import spline_basis
+
+    knots, at = np.array([0, 1.5, 2, 4, 7.5, 9]), np.linspace(0, 9, 40)
+    f = lambda t: 1 - t + 0.3 * t**2 - 0.05 * t**3
+    np.testing.assert_allclose(spline_basis(knots, at) @ f(knots), f(at), atol=1e-10)
+
+
+def test_harmoniser_against_a_plain_fit(spark):
+    """Pooled least squares and shrinkage feature by feature, with covariates, on dense arrays."""
+    random = np.random.default_rng(9)
+    n, p = 60, 5
+    site, age = np.arange(n) % 3, random.normal(size=n)
+    y = random.normal(size=(n, p)) * (1 + 0.5 * site[:, None]) + site[:, None] + age[:, None] * np.arange(p)
+    df = spark.createDataFrame([(f"s{i}", f"c{site[i]}", float(age[i]), j, float(y[i, j])) for i in range(n) for j in range(p)], "subjectID string, site string, age double, feature_idx int, value double").repartition(3)
+    got = {(r["subjectID"], r["feature_idx"]): r["value"] for r in scale.combat(df, "site", ["age"]).collect()}
+    hot = np.eye(3)[site]
+    design = np.hstack([hot, age[:, None]])
+    beta = np.linalg.lstsq(design, y, rcond=None)[0]
+    plain = hot.mean(0) @ beta[:3] + age[:, None] * beta[3]
+    spread = np.sqrt(((y - design @ beta) ** 2).mean(0))
+    z = (y - plain) / spread
+    for k in range(3):
+        part, m = z[site == k], int((site == k).sum())
+        place, width = part.mean(0), part.var(0, ddof=1)
+        mean, tau, mw, vw = place.mean(), place.var(ddof=1), width.mean(), width.var(ddof=1)
+        gamma, delta = place, width
+        for _ in range(300):
+            gamma = (tau * m * place + delta * mean) / (tau * m + delta)
+            delta = (0.5 * ((part - gamma) ** 2).sum(0) + (mw * vw + mw**3) / vw) / (m / 2 + (2 * vw + mw**2) / vw - 1)
+        z[site == k] = (part - gamma) / np.sqrt(delta)
+    want = z * spread + plain
+    assert all(math.isclose(got[f"s{i}", j], want[i, j], abs_tol=1e-7) for i in range(n) for j in range(p))
+
+
+def test_bootstrap_weights_are_poisson():
+    w = np.stack([profiles.replicate_weights(f"s{i}", 501, 3) for i in range(200)])
+    assert w.shape == (200, 501) and abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
+    np.testing.assert_array_equal(w[4], profiles.replicate_weights("s4", 501, 3))
