@@ -45,6 +45,8 @@ LENGTH, WIDTH = 400, 201
 HOT = 20_000
 #: Into how many parts the starts of a crowded core are cut.
 FANOUT = 15
+#: Parts that the rows of a crowded core are dealt to.
+SALTS = 64
 #: Undecided anchors that one task merges, about; there are as many tasks as that takes.
 PER_TASK = 100_000
 #: Merged suffixes whose windows are classed together, about.
@@ -155,6 +157,17 @@ def _judge(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (core, t1, t2, spots)], names=["core", "t1", "t2", "spot"])
 
 
+def _joined(starts) -> list[list[int]]:
+    """Sorted (t1, t2, first, last), with those of a text that touch as one."""
+    out: list[list[int]] = []
+    for a1, a2, first, last in sorted(starts):
+        if out and out[-1][0] == a1 and out[-1][1] == a2 and first <= out[-1][3] + 1:
+            out[-1][3] = max(out[-1][3], last)
+        else:
+            out.append([a1, a2, first, last])
+    return out
+
+
 def _runs(length: int, parts: int):
     """Batches of (t1, t2, text, cores) to sorted front-coded runs, one per target part, and starts already found repeated."""
 
@@ -186,7 +199,7 @@ def _runs(length: int, parts: int):
                 blobs.append(struct.pack("<iq", len(sent), len(rests)) + shared.tobytes() + lengths.tobytes() + lefts.tobytes() + places.tobytes() + bytes(many) + rests + b"".join(e[1] for e in sent))
             if known:
                 part.append(known[0][2] % parts)
-                blobs.append(struct.pack("<iq", -1, 0) + np.array([(e[2], e[3], e[4] - len(e[1]), e[4] + len(e[0]) - length) for e in known], "<i8").tobytes())
+                blobs.append(struct.pack("<iq", -1, 0) + np.array(_joined((e[2], e[3], e[4] - len(e[1]), e[4] + len(e[0]) - length) for e in known), "<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "run"])
 
     return run
@@ -312,16 +325,18 @@ def repeated_runs(docs: DataFrame, text: str = "__text", length: int = LENGTH, w
         judged = Stored(ordered.mapInArrow(_judge, "core long, t1 long, t2 long, spot long"), "anchors").read()
         crowded = None
         if width > 1:
-            crowded = judged.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("core")
-            crowded = None if crowded.isEmpty() else judged.join(crowded, "core", "left_semi").groupBy("core").agg(F.count_distinct(F.col("spot").bitwiseAND(F.lit(0xFFFF))).alias("n")).where(F.col("n") > hot).select("core")
-        sparse = judged if crowded is None else judged.join(crowded, "core", "left_anti")
+            contexts = judged.select("core", F.col("spot").bitwiseAND(F.lit(0xFFFF)).alias("context")).distinct().groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+            crowded = Stored(contexts.select("core", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "crowded").read()
+            crowded = None if crowded.isEmpty() else crowded
+        salted = judged.withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int"))  # a crowded core is no hot key
+        sparse = judged if crowded is None else salted.join(crowded, ["core", "salt"], "left_anti")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sparse.count() // PER_TASK))
         runs = with_text(sparse).mapInArrow(_runs(length, parts), "part int, run binary")
         found.append(runs.repartition(parts, "part").mapInArrow(_merge_runs(length, width), _FOUND))
-        if crowded is None or crowded.isEmpty():
+        if crowded is None:
             return found
         width = -(-width // FANOUT)
-        offered = with_text(judged.join(crowded, "core", "left_semi")).mapInArrow(_refine(length, width), _OFFERED)
+        offered = with_text(salted.join(crowded, ["core", "salt"], "left_semi")).mapInArrow(_refine(length, width), _OFFERED)
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, width: int = WIDTH, hot: int = HOT, with_kept: bool = False) -> DataFrame:
