@@ -5,8 +5,9 @@ place between a character and a following space: a text falls apart into pre-tok
 spaces and the characters up to the next space, and its count is the sum of theirs. The first
 tier is a compact table of the lengths of frequent pre-tokens, built once and broadcast; what it
 lacks goes to the second tier, a cache that each Python worker fills by encoding the miss.
-Frequencies are counted over all texts and added up in each task before they are shuffled; the
-result does not depend on what the first tier holds.
+Frequencies are counted over all texts without any shuffle of pre-tokens: each task keeps a summary of
+a fixed number of heavy hitters, and summaries, one row each, are merged as a tree. A pre-token that
+makes up more than one in ``FREQUENT`` of all is in the table; no count of tokens depends on what is.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows each get a row;
 nothing else of the row is read.
@@ -18,15 +19,18 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeloom.llm._common import append_columns, quoted, stored
+from nodeloom.llm._common import Stored, append_columns, quoted, scratch
 
 #: Entries of the broadcast tier, and of each worker's cache before it is emptied.
 FREQUENT, CACHED = 65_536, 400_000
+#: Summaries that one task merges.
+FAN = 32
 #: Longer pre-tokens are encoded but not kept in a cache.
 LONGEST_KEPT = 64
 
@@ -89,29 +93,69 @@ def unpack(table: tuple[bytes, bytes]) -> dict[str, int]:
     return dict(zip(table[0].decode("utf-8", "surrogatepass").split("\0"), table[1], strict=True)) if table[1] else {}
 
 
-def frequent_words(df: DataFrame, text_col: str, size: int = FREQUENT) -> list[str]:
-    """The commonest pre-tokens of all texts, the first in order of equals."""
+def thinned(counts: Counter, size: int) -> Counter:
+    """At most ``size`` entries, all less the largest count that is left out, as Misra and Gries do."""
+    if len(counts) <= size:
+        return counts
+    ordered = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    cut = ordered[size][1]
+    return Counter({w: n - cut for w, n in ordered[:size] if n > cut})
+
+
+def _summary(counts: Counter) -> pa.RecordBatch:
+    words, numbers = "\0".join(counts).encode("utf-8", "surrogatepass"), np.fromiter(counts.values(), "<i8", len(counts)).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([words], pa.binary()), pa.array([numbers], pa.binary())], names=["words", "counts"])
+
+
+def _merged(batches, size: int) -> Counter:
+    counts = Counter()
+    for batch in batches:
+        for words, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if numbers:
+                for w, n in zip(words.decode("utf-8", "surrogatepass").split("\0"), np.frombuffer(numbers, "<i8").tolist(), strict=True):
+                    counts[w] += n
+                counts = thinned(counts, size)
+    return counts
+
+
+def frequent_words(df: DataFrame, text_col: str, size: int = FREQUENT, room: int = FREQUENT) -> list[str]:
+    """The commonest pre-tokens of all texts, the first in order of equals, from summaries of ``room`` entries."""
 
     def count(batches):
         counts = Counter()
-        rows = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(w for w in pre_tokens(text or "") if 0 < len(w) <= LONGEST_KEPT)
-            if len(counts) > CACHED:
-                yield rows()
-                counts.clear()
-        yield rows()
+                counts.update(w for w in pre_tokens(text or "") if 0 < len(w) <= LONGEST_KEPT and "\0" not in w)
+                if len(counts) > 4 * room:
+                    counts = thinned(counts, room)
+        yield _summary(thinned(counts, room))
+
+    def merge(batches):
+        yield _summary(_merged(batches, room))
+
+    kinds = "words binary, counts binary"
+    level = df.select(F.col(quoted(text_col)).cast("string").alias("t")).mapInArrow(count, kinds)
+    held = Stored(level, "words")
+    n = held.read().count()
+    while n > 1:  # FAN summaries to a task, until one is left
+        n = -(-n // FAN)
+        following = Stored(held.read().repartition(n).mapInArrow(merge, kinds), "words")
+        held.drop()
+        held = following
+    found = _merged([_as_batch(held.read().collect())], room)  # one row of a fixed size
+    held.drop()
+    return [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:size]]
+
 
-    counted = df.select(F.col(quoted(text_col)).cast("string").alias("t")).mapInArrow(count, "word string, n long")
-    commonest = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r[0] for r in stored(commonest, "words").orderBy(F.desc("n"), "word").select("word").collect()]  # only these reach the driver
+def _as_batch(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bytes(r[i]) for r in rows], pa.binary()) for i in range(2)], names=["words", "counts"])
 
 
 def token_counts(df: DataFrame, model_path: str, text_col: str = "text", limit: int = 4096) -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit (n_tokens > limit) to every row of ``df``."""
     spark = df.sparkSession
-    words = frequent_words(df, text_col)
+    with scratch():
+        words = frequent_words(df, text_col)
     lengths = map(len, load(model_path)[0].encode(words, num_threads=1)) if words else []
     table = spark.sparkContext.broadcast(pack(dict(zip(words, lengths, strict=True))))
 
