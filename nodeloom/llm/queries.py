@@ -88,4 +88,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
         FROM embeddings e JOIN component c ON c.x = e.vec_id LEFT JOIN counted k ON k.x = e.vec_id
     """,
+    "op7_suffix_dedup": """
+        WITH d AS (
+            SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), windows AS (
+            SELECT k, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 800)) AS m
+            FROM (SELECT k, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)
+        ), repeated AS (
+            SELECT k, i FROM windows JOIN (SELECT m FROM windows GROUP BY m HAVING count(*) > 1) USING (m)
+        ), marked AS (
+            SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM repeated
+        ), runs AS (
+            SELECT k, min(i) AS a, max(i) + 400 AS b FROM (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS run FROM marked) GROUP BY k, run
+        ), gaps AS (
+            SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS z FROM runs
+        ), cut AS (
+            SELECT d.k, sum(b - a) AS removed, count(*) AS spans, max(b) AS last,
+                string_agg(substr(h, CAST(2 * z + 1 AS BIGINT), CAST(2 * (a - z) AS BIGINT)), '' ORDER BY a) AS head
+            FROM gaps JOIN d ON d.k = gaps.k GROUP BY d.k
+        )
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+            sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE head || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+        FROM d LEFT JOIN cut ON cut.k = d.k
+    """,
 }
