@@ -90,10 +90,10 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op7_suffix_dedup": """
         WITH d AS (
-            SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
-        ), windows AS (
-            SELECT k, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 800)) AS m
-            FROM (SELECT k, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)
+            SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS h FROM documents
+        ), windows AS MATERIALIZED (
+            SELECT k, i, md5(array_slice(h, i + 1, i + 400)) AS m
+            FROM (SELECT k, h, unnest(range(0, octet_length(h) - 399)) AS i FROM d WHERE octet_length(h) >= 400)
         ), repeated AS (
             SELECT k, i FROM windows JOIN (SELECT m FROM windows GROUP BY m HAVING count(*) > 1) USING (m)
         ), marked AS (
@@ -104,11 +104,11 @@ ORACLE_SQL: dict[str, str] = {
             SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS z FROM runs
         ), cut AS (
             SELECT d.k, sum(b - a) AS removed, count(*) AS spans, max(b) AS last,
-                string_agg(substr(h, CAST(2 * z + 1 AS BIGINT), CAST(2 * (a - z) AS BIGINT)), '' ORDER BY a) AS head
+                string_agg(CASE WHEN a > z THEN hex(array_slice(h, z + 1, a)) ELSE '' END, '' ORDER BY a) AS head
             FROM gaps JOIN d ON d.k = gaps.k GROUP BY d.k
         )
-        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
-            sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE head || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+        SELECT doc_id, octet_length(h)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+            sha256(CASE WHEN removed IS NULL THEN h ELSE unhex(head || CASE WHEN octet_length(h) > last THEN hex(array_slice(h, last + 1, octet_length(h))) ELSE '' END) END) AS kept_sha256
         FROM d LEFT JOIN cut ON cut.k = d.k
     """,
 }

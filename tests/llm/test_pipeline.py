@@ -9,6 +9,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nodeloom.llm import pii
@@ -116,6 +117,24 @@ def test_run_is_the_stages(stages, spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, stages[-1][2].select("doc_id", "piece", "length").collect()))
 
 
+def test_columns_that_clash_go_through(spark, stages):
+    """Columns named like those of the operators, null and repeated, keep their values through every stage."""
+    extra = ["score", "predicted", "held_out", "fingerprint", "t1", "kept", "n_bytes", "row", "rank", "length", "piece"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for i, c in enumerate(extra):
+        docs = docs.withColumn(c, F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string"))))
+    for (name, stage), (_, _, plain) in zip(corpus_pipeline.STAGES, stages, strict=True):
+        out = stage(spark, docs, SF).persist()
+        if name == "packing":
+            assert sorted(map(tuple, out.select("doc_id", "piece", "length").collect())) == sorted(map(tuple, plain.select("doc_id", "piece", "length").collect()))
+            break
+        assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+        assert sorted(out.select("doc_id", "text", "n_chars").collect()) == sorted(plain.select("doc_id", "text", "n_chars").collect())
+        for r in out.collect():
+            assert all(r[c] == (f"{c}-{r['doc_id']}" if r["doc_id"] % 3 else None) for c in extra), (name, r["doc_id"])
+        docs = out
+
+
 def test_no_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
