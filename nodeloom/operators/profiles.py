@@ -6,6 +6,7 @@ import hashlib
 import math
 import zlib
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -76,6 +77,17 @@ def mean_profiles(features: DataFrame, hues: DataFrame) -> DataFrame:
     return features.join(hues, SUBJECT).where("value is not null and hue is not null").groupBy(*keys).agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
 
 
+#: Bundles that displays leave out, and metrics that they show in other units.
+HIDDEN, UNITS = ("HCC_", "Cingulum Hippocampus"), {"dki_md": 1000.0}
+
+
+def displayed(table: DataFrame, columns: Sequence[str] = ("value",)) -> DataFrame:
+    """A table of (metric, tractID, ...) without the bundles that displays leave out, ``columns`` in display units."""
+    shown = table.where(~reduce(lambda a, b: a | b, (F.col(TRACT).contains(h) for h in HIDDEN)))
+    unit = reduce(lambda c, m: F.when(F.col("metric") == m, F.lit(UNITS[m])).otherwise(c), UNITS, F.lit(1.0))
+    return shown.withColumns({c: F.col(c) * unit for c in columns})
+
+
 #: The chances of at most 0, 1, 2, ... under a Poisson distribution with mean one.
 POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 #: Parts whose sums are added by themselves before the parts are.

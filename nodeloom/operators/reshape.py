@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodeloom.functions.series import fill_cubic
+from nodeloom.functions.series import fill_smooth
 from nodeloom.sources.tables import KEYS, NODE, SESSION, SUBJECT, TRACT
 
 SERIES = (SUBJECT, TRACT, "metric")
@@ -105,37 +105,57 @@ def grid(cells: DataFrame, long: DataFrame | None = None) -> DataFrame:
     )
 
 
-def interpolate(full: DataFrame, method: str = "linear", by: Sequence[str] = SERIES) -> DataFrame:
+#: Curves that are computed in Python, a series at a time.
+SMOOTH = ("cubic", "quadratic", "polynomial", "pchip", "akima")
+
+
+def interpolate(full: DataFrame, method: str = "linear", by: Sequence[str] = SERIES, order: int = 3, limit: int | None = None) -> DataFrame:
     """``value`` with the gaps inside each series filled along ``pos``; gaps at its ends stay.
 
-    linear, nearest (the earlier of two equally near), ffill, bfill, or cubic, which needs four values
-    or takes a line.
+    linear (slinear), nearest (the earlier of two equally near), ffill (pad, zero), bfill (backfill),
+    index (values): a line by the node's number in place of its position; and the curves cubic,
+    quadratic, polynomial of an ``order``, pchip and akima, which take a line where a series has too few
+    values. ``limit`` leaves what is further than that many places from the value before unfilled.
     """
-    if method == "cubic":
-        return _cubic(full, by)
+    if method in SMOOTH:
+        found = _smooth(full, by, method, order)
+    else:
+        found = _along(full, by, method)
+    if limit is None:
+        return found
+    before = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    keys = [*by, "pos"]
+    near = full.select(*keys, (F.col("pos") - F.last(F.when(F.col("value").isNotNull(), F.col("pos")), True).over(before)).alias("__far"))
+    return found.join(near, keys).withColumn("value", F.when(F.col("__far") <= limit, F.col("value"))).select(*full.columns)
+
+
+def _along(full: DataFrame, by: Sequence[str], method: str) -> DataFrame:
     order = Window.partitionBy(*by).orderBy("pos")
     left, right = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col("value").isNotNull(), F.col("pos"))
     p0, v0 = F.last(known, True).over(left), F.last("value", True).over(left)
     p1, v1 = F.first(known, True).over(right), F.first("value", True).over(right)
     inside = p0.isNotNull() & p1.isNotNull()
+    n0, n1 = F.last(F.when(F.col("value").isNotNull(), F.col(NODE)), True).over(left), F.first(F.when(F.col("value").isNotNull(), F.col(NODE)), True).over(right)
     filled = {
+        "index": v0 + (v1 - v0) * F.try_divide(F.col(NODE) - n0, n1 - n0),
         "linear": v0 + (v1 - v0) * F.try_divide(F.col("pos") - p0, p1 - p0),
         "nearest": F.when(F.col("pos") - p0 <= p1 - F.col("pos"), v0).otherwise(v1),
         "ffill": v0,
         "bfill": v1,
     }
+    method = {"slinear": "linear", "pad": "ffill", "zero": "ffill", "backfill": "bfill", "values": "index"}.get(method, method)
     if method not in filled:
         raise ValueError(f"unknown method {method}")
     return full.withColumn("value", F.coalesce("value", F.when(inside, filled[method])))
 
 
-def _cubic(full: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Cubic filling: a series is one row while Python has it, so that a batch holds many series."""
+def _smooth(full: DataFrame, by: Sequence[str], method: str, order: int) -> DataFrame:
+    """Filling by a curve: a series is one row while Python has it, so that a batch holds many series."""
 
     @F.pandas_udf("array<double>")
     def fill(pos: pd.Series, value: pd.Series) -> pd.Series:
-        return pd.Series([[None if np.isnan(x) else x for x in fill_cubic(np.asarray(p, float), np.array(v, float))] for p, v in zip(pos, value, strict=True)])
+        return pd.Series([[None if np.isnan(x) else x for x in fill_smooth(np.asarray(p, float), np.array(v, float), method, order)] for p, v in zip(pos, value, strict=True)])
 
     rest = [c for c in full.columns if c not in (*by, "pos")]
     packed = full.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", *rest))).alias("__rows"))
@@ -144,10 +164,10 @@ def _cubic(full: DataFrame, by: Sequence[str]) -> DataFrame:
     return each.select(*(F.col("__x.__filled").alias("value") if c == "value" else F.col(c) if c in by else F.col(f"__x.__rows.{c}") for c in full.columns))
 
 
-def features_long(nodes: DataFrame, metrics: Sequence[str] | None = None, concat_sessions: bool = False, method: str = "linear") -> DataFrame:
+def features_long(nodes: DataFrame, metrics: Sequence[str] | None = None, concat_sessions: bool = False, method: str = "linear", **options) -> DataFrame:
     """The gap-filled grid of a node table: one row per subject and feature."""
     long = melt(with_sessions(nodes, concat_sessions), metrics)
-    return interpolate(grid(collapse(long), long), method)
+    return interpolate(grid(collapse(long), long), method, **options)
 
 
 #: Aggregates that bundle_aggregate takes by name; medians are exact.
@@ -180,6 +200,12 @@ def bundle_aggregate(nodes: DataFrame, how="mean", metrics: Sequence[str] | None
     return long.groupBy(*SERIES).agg(AGGREGATES[how]("value").cast("double").alias("value"))
 
 
+def bundle_table(nodes: DataFrame, hows: Sequence[str], metrics: Sequence[str] | None = None, concat_sessions: bool = False) -> DataFrame:
+    """(subject, tract, metric) with a column for each named aggregate, in one pass over the raw nodes."""
+    long = melt(with_sessions(nodes, concat_sessions), metrics)
+    return long.groupBy(*SERIES).agg(*(AGGREGATES[h]("value").cast("double").alias(h) for h in hows))
+
+
 def bundle_dim(aggregated: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """(metric, tractID, feature_idx) of aggregated bundles: metrics in the order given, tracts sorted."""
     order = F.array_position(F.array(*map(F.lit, metrics)), F.col("metric"))

@@ -47,7 +47,11 @@ class Ridge(Regressor):
         mx, my = np.average(x, 0, w), np.average(y, 0, w)
         z = (x - mx) * np.sqrt(w)[:, None]
         t = (y - my) * (np.sqrt(w) if y.ndim == 1 else np.sqrt(w)[:, None])
-        self.coef_ = np.linalg.solve(z.T @ z + self.alpha * np.eye(x.shape[1]), z.T @ t)
+        return self.fit_sums(len(x), mx, my, z.T @ z, z.T @ t)
+
+    def fit_sums(self, n: int, mx, my, xx, xy):
+        """From the means of x and y, and the sums of products of what is left without them."""
+        self.coef_ = np.linalg.solve(xx + self.alpha * np.eye(len(xx)), xy)
         self.intercept_ = my - mx @ self.coef_
         return self
 
@@ -70,7 +74,7 @@ class SparseGroup:
         return b
 
     def descend(self, x: np.ndarray, y: np.ndarray, slope, curvature: float, w: np.ndarray) -> None:
-        """Fits coef_ and intercept_; ``slope(z, y)`` is the loss's derivative by the linear output."""
+        """Fits coef_ and intercept_ on rows; ``slope(z, y)`` is the loss's derivative by the linear output."""
         z = np.hstack([x, np.ones((len(x), 1))])
         share = w / w.sum()
         step = 1 / max(curvature * np.linalg.norm(z * np.sqrt(share)[:, None], 2) ** 2, 1e-12)
@@ -94,8 +98,23 @@ class SparseGroupRegressor(SparseGroup, Regressor):
         w = np.ones(len(x)) if weights is None else np.asarray(weights, float)
         y = np.asarray(y, float)
         mx, my = np.average(x, 0, w), np.average(y, weights=w)
-        self.descend(x - mx, y - my, lambda z, t: z - t, 1.0, w)
-        self.intercept_ += my - mx @ self.coef_
+        z, share = x - mx, w / w.sum()
+        return self.fit_sums(1, mx, my, z.T @ (share[:, None] * z), z.T @ (share * (y - my)))
+
+    def fit_sums(self, n: int, mx, my, xx, xy):
+        """From the means of x and y, and the sums of products of what is left without them: all that the loss depends on."""
+        xx, xy = xx / n, xy / n
+        step = 1 / max(np.linalg.norm(xx, 2), 1e-12)
+        b, ahead, t = np.zeros(len(xx)), np.zeros(len(xx)), 1.0
+        for _ in range(self.max_iter):
+            new = self.shrink(ahead - step * (xx @ ahead - xy), step)
+            turn = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            ahead = new + (t - 1) / turn * (new - b)
+            moved = np.abs(new - b).max(initial=0)
+            b, t = new, turn
+            if moved < self.tol:
+                break
+        self.coef_, self.intercept_ = b, float(my - mx @ b)
         return self
 
     def predict(self, x) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""One estimator fitted on a matrix table by one worker, and applied to any by all."""
+"""One estimator fitted on a matrix table, from sums where it can be, and applied to any by all workers."""
 
 from __future__ import annotations
 
@@ -12,8 +12,18 @@ from pyspark.sql import functions as F
 from nodeloom.plans.estimators import make
 
 
+#: Features up to which an estimator that needs only sums of products is fitted from them.
+SUMMED = 512
+
+
 class Fitted:
-    """fit, predict and score of an estimator of ``estimators`` on (key, x, y) tables. The rows must fit one task."""
+    """fit, predict and score of an estimator of ``estimators`` on (key, x, y) tables.
+
+    An estimator with ``fit_sums`` (ridge, lasso, sparse group) is fitted from sums of products that batches
+    are reduced to, so any number of rows will do; the sums are a matrix of features by features, and for
+    more than ``SUMMED`` of these the rows are the smaller thing. Then, and for other estimators, the rows
+    must fit one task.
+    """
 
     def __init__(self, estimator="ridge", **params):
         self.estimator, self.params = estimator, params
@@ -21,6 +31,11 @@ class Fitted:
 
     def fit(self, matrix: DataFrame, x: str, y: str, key: str) -> Fitted:
         rows = matrix.select(F.col(key).alias("__key"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+        width = rows.agg(F.max(F.size("__x"))).first()[0] or 0
+        model = make(self.estimator, **self.params)
+        if hasattr(model, "fit_sums") and 0 < width <= SUMMED:
+            self.model_ = model.fit_sums(*self._sums(rows, width))
+            return self
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("__key")
@@ -30,6 +45,34 @@ class Fitted:
         self.model_ = pickle.loads(rows.groupBy(F.lit(0).alias("all")).applyInPandas(one, "model binary").first()[0])
         return self
 
+    @staticmethod
+    def _sums(rows: DataFrame, width: int) -> tuple:
+        """(rows, means of x, mean of y, products of x, products of x and y, both about the means)."""
+
+        def added(reduce, parts: int):
+            """The sum of one array per batch, as tasks and then the driver add them up."""
+
+            def run(batches):
+                total = None
+                for pdf in batches:
+                    if len(pdf):
+                        part = reduce(np.stack(pdf["__x"].to_numpy()).astype(float), pdf["__y"].to_numpy(float))
+                        total = part if total is None else total + part
+                if total is not None:
+                    yield pd.DataFrame({"sums": [total]})
+
+            each = rows.select("__x", F.col("__y").cast("double").alias("__y")).mapInPandas(run, "sums array<double>")
+            whole = each.select(F.posexplode("sums").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s"))
+            found = np.zeros(parts)
+            got = whole.toPandas()  # as many numbers as the model is made from
+            found[got["i"].to_numpy(int)] = got["s"].to_numpy(float)
+            return found
+
+        first = added(lambda x, y: np.concatenate(([len(x)], x.sum(0), [y.sum()])), width + 2)
+        n, mx, my = first[0], first[1:-1] / first[0], first[-1] / first[0]
+        second = added(lambda x, y: ((x - mx).T @ np.column_stack((x - mx, y - my))).reshape(-1), width * (width + 1)).reshape(width, width + 1)
+        return int(n), mx, my, second[:, :-1], second[:, -1]
+
     def predict(self, matrix: DataFrame, x: str, key: str) -> DataFrame:
         """(sample, prediction)"""
         model, kinds = matrix.sparkSession.sparkContext.broadcast(self.model_), dict(matrix.dtypes)

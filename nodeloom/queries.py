@@ -88,6 +88,19 @@ def interpolated_otherwise(spark, sf_dir):
     return out
 
 
+@query(f"""WITH {GRID}, around AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER l AS n0, last_value(CASE WHEN v IS NOT NULL THEN pos END IGNORE NULLS) OVER l AS p0, last_value(v IGNORE NULLS) OVER l AS v0,
+ first_value(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER u AS n1, first_value(v IGNORE NULLS) OVER u AS v1 FROM full_grid
+ WINDOW l AS (PARTITION BY s, t, m ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), u AS (PARTITION BY s, t, m ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ li AS (SELECT *, coalesce(v, CASE WHEN n1 > n0 THEN v0 + (v1 - v0) * (n - n0) / (n1 - n0) END) AS w FROM around)
+ SELECT s AS "subjectID", m AS metric, t AS "tractID", n AS "nodeID", round(w, 6) + 0.0 AS by_number, round(CASE WHEN pos - p0 <= 1 THEN w END, 6) + 0.0 AS near FROM li""")
+def interpolated_by_number(spark, sf_dir):
+    """Lines by the nodes' numbers, whole and at most one place from the value before."""
+    full = reshape.grid(reshape.collapse(reshape.melt(nodes(spark, sf_dir))))
+    keys = [SUBJECT, "metric", TRACT, NODE]
+    a, b = reshape.interpolate(full, "index"), reshape.interpolate(full, "index", limit=1)
+    return a.select(*keys, r("value").alias("by_number")).join(b.select(*keys, r("value").alias("near")), keys)
+
+
 @query()
 def interpolated_cubic(spark, sf_dir):
     return reshape.features_long(nodes(spark, sf_dir), ["value", "k"], method="cubic").select(SUBJECT, "metric", TRACT, NODE, "value")
@@ -103,13 +116,8 @@ def session_cells(spark, sf_dir):
 @query(f"""WITH {NODES}, long AS (SELECT s, t, 'value' AS m, value AS v FROM nodes UNION ALL SELECT s, t, 'k', k FROM nodes)
  SELECT s AS "subjectID", t AS "tractID", m AS metric, round(avg(v), 6) + 0.0 AS mean, round(median(v), 6) + 0.0 AS median, max(v) AS max, count(v)::DOUBLE AS count FROM long GROUP BY ALL""")
 def bundle_aggregates(spark, sf_dir):
-    keys = [SUBJECT, TRACT, "metric"]
-    n, out = nodes(spark, sf_dir), None
-    for how in ("mean", "median", "max", "count"):
-        value = F.col("value") if how in ("max", "count") else r("value")
-        one = reshape.bundle_aggregate(n, how).select(*keys, value.alias(how))
-        out = one if out is None else out.join(one, keys)
-    return out
+    found = reshape.bundle_table(nodes(spark, sf_dir), ["mean", "median", "max", "count"])
+    return found.select(SUBJECT, TRACT, "metric", r("mean").alias("mean"), r("median").alias("median"), "max", "count")
 
 
 @query(f"""WITH {FILLED} SELECT s AS "subjectID", CAST(g AS INTEGER) AS group_idx, m AS metric, t AS "tractID", round(avg(v), 9) + 0.0 AS value FROM filled GROUP BY ALL""")
@@ -291,6 +299,16 @@ def mean_profiles(spark, sf_dir):
     return profiles.mean_profiles(filled(spark, sf_dir), hues).withColumn("mean", r("mean", 9))
 
 
+@query(f"""WITH {CELLS}, named AS (SELECT CASE WHEN m = 'k' THEN 'dki_md' ELSE m END AS m, CASE WHEN t = 'click' THEN 'Left Cingulum Hippocampus' ELSE t END AS t, n, v FROM cells)
+ SELECT m AS metric, t AS "tractID", n AS "nodeID", round(avg(v) * CASE WHEN m = 'dki_md' THEN 1000 ELSE 1 END, 6) + 0.0 AS mean FROM named WHERE t NOT LIKE '%Cingulum Hippocampus%' GROUP BY m, t, n""")
+def displayed_profiles(spark, sf_dir):
+    """Mean profiles as displays show them, with one event type in the place of a bundle that they leave out."""
+    cells = reshape.collapse(reshape.melt(nodes(spark, sf_dir)))
+    named = cells.withColumn("metric", F.when(F.col("metric") == "k", "dki_md").otherwise(F.col("metric"))).withColumn(TRACT, F.when(F.col(TRACT) == "click", "Left Cingulum Hippocampus").otherwise(F.col(TRACT)))
+    means = named.groupBy("metric", TRACT, NODE).agg(F.avg("value").alias("mean"))
+    return profiles.displayed(means, ["mean"]).withColumn("mean", r("mean"))
+
+
 _WEIGHT = " + ".join(f"CAST(u > {x!r} AS INTEGER)" for x in profiles.POISSON)
 
 

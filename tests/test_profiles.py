@@ -2,6 +2,9 @@
 
 import itertools
 import math
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
@@ -593,3 +596,100 @@ def test_bootstrap_weights_are_poisson():
     w = np.stack([profiles.replicate_weights(f"s{i}", 501, 3) for i in range(200)])
     assert w.shape == (200, 501) and abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
     np.testing.assert_array_equal(w[4], profiles.replicate_weights("s4", 501, 3))
+
+
+def test_curves_through_gaps():
+    from nodeloom.functions import series
+
+    x = np.array([0.0, 1, 3, 4, 6, 7, 9])
+    at = np.linspace(0, 9, 31)
+    for order in (1, 2, 3, 4, 5):
+        f = np.polynomial.Polynomial(np.arange(1, order + 2) / 10)
+        np.testing.assert_allclose(series.polynomial_pieces(x, f(x), at, order), f(at), atol=1e-8)
+    y = np.array([0.0, 1, 1, 5, 5.5, 9, 9])
+    steep = series.hermite(x, y, series.monotone_slopes(x, y), at)
+    assert (np.diff(steep) >= -1e-12).all() and steep.max() <= 9
+    for slopes in (series.monotone_slopes, series.akima_slopes):
+        np.testing.assert_allclose(series.hermite(x, 3 - 2 * x, slopes(x, 3 - 2 * x), at), 3 - 2 * at, atol=1e-9)
+        np.testing.assert_allclose(series.hermite(x, y, slopes(x, y), x), y, atol=1e-9)
+    gaps = np.array([np.nan, 1, np.nan, 4, np.nan, np.nan, 49, np.nan])
+    np.testing.assert_allclose(series.fill_smooth(np.arange(8.0), gaps, "polynomial", 2)[1:7], np.polynomial.polynomial.polyval(np.arange(1, 7), np.polynomial.polynomial.polyfit([1, 3, 6], [1, 4, 49], 2)))
+    for method in ("cubic", "quadratic", "pchip", "akima"):
+        found = series.fill_smooth(np.arange(8.0), gaps, method)
+        assert np.isnan(found[[0, 7]]).all() and not np.isnan(found[1:7]).any() and found[3] == 4
+
+
+def test_filling_by_name(spark):
+    nodes = _nodes(spark)
+    full = reshape.grid(reshape.collapse(reshape.melt(nodes)))
+    value = lambda how, **o: {(r["subjectID"], r["tractID"], r["nodeID"]): r["value"] for r in reshape.interpolate(full, how, **o).collect()}
+    assert value("pad") == value("ffill") == value("zero") and value("backfill") == value("bfill") and value("slinear") == value("linear") and value("index") == value("values")
+    number, place = value("index"), value("linear")
+    assert (number["s1", "A", 1], place["s1", "A", 1]) == (2.0, 2.5)  # nodes 0 and 3 are one place from node 1
+    near = value("linear", limit=1)
+    assert near["s2", "A", 3] == 3.0 and near["s2", "A", 4] is None
+    for how in ("pchip", "akima", "quadratic", "polynomial"):
+        assert {k for k, v in value(how).items() if v is None} == {k for k, v in place.items() if v is None}
+    with pytest.raises(ValueError):
+        reshape.interpolate(full, "guess")
+
+
+def test_aggregates_in_one_pass(spark):
+    nodes = _nodes(spark)
+    table = {(r["subjectID"], r["tractID"]): r for r in reshape.bundle_table(nodes, ["mean", "max", "count"]).collect()}
+    for how in ("mean", "max", "count"):
+        for r in reshape.bundle_aggregate(nodes, how).collect():
+            assert table[r["subjectID"], r["tractID"]][how] == r["value"]
+
+
+def test_display(spark):
+    df = spark.createDataFrame([("dki_md", "Left Arcuate", 0.5), ("fa", "Left Arcuate", 0.5), ("fa", "HCC_L", 1.0), ("fa", "Right Cingulum Hippocampus", 1.0)], "metric string, tractID string, value double")
+    assert sorted((r["metric"], r["value"]) for r in profiles.displayed(df).collect()) == [("dki_md", 500.0), ("fa", 0.5)]
+
+
+def test_warping_against_all_paths():
+    """The cheapest of all monotone paths, written out, for both slope constraints."""
+    from nodeloom.functions import series
+
+    random = np.random.default_rng(5)
+    for slope, (p, s) in itertools.product(("symmetric", "asymmetric"), ((4, 5), (5, 4), (3, 3), (1, 4), (4, 1))):
+        a, b = random.normal(size=(p, 2)), random.normal(size=(s, 2))
+        cost = np.linalg.norm(a[:, None] - b[None], axis=2)
+
+        def ways(i, j):
+            for up, back in series.MOVES[slope]:
+                if (i - up, j - back) == (-1, -1):  # a path begins with any move from before both
+                    yield [(i, j)]
+                elif i >= up and j >= back:
+                    for w in ways(i - up, j - back):
+                        yield [*w, (i, j)]
+
+        sums = [sum(cost[c] for c in w) for w in ways(p - 1, s - 1)]
+        distance, ps, ss = series.warp(a, b, slope)
+        if not sums:
+            assert distance == np.inf and len(ps) == 0
+            continue
+        assert math.isclose(distance, min(sums)) and math.isclose(sum(cost[i, j] for i, j in zip(ps, ss, strict=True)), distance)
+        assert (ps[0], ps[-1], ss[-1]) == (0, p - 1, s - 1) and (ss[0] == 0 or slope == "asymmetric")
+
+
+def test_fitting_from_sums(spark, monkeypatch):
+    from nodeloom.plans import fitted
+
+    df, x, y = _regression(spark)
+    for name, options in (("ridge", {"alpha": 0.7}), ("lasso", {"alpha": 0.2}), ("sgl", {"alpha": 0.3, "l1_ratio": 0.5, "groups": [[0, 1], [2, 3], [4, 5]]})):
+        sums = Fitted(name, **options).fit(df.repartition(5), "x", "y", "k").model_
+        with monkeypatch.context() as m:
+            m.setattr(fitted, "SUMMED", 2)
+            rows = Fitted(name, **options).fit(df, "x", "y", "k").model_
+        np.testing.assert_allclose(sums.coef_, rows.coef_, atol=1e-6)
+        assert math.isclose(sums.intercept_, rows.intercept_, abs_tol=1e-6)
+
+
+def test_the_package_as_an_archive(tmp_path):
+    """Importable without the repository, as on the workers of a cluster."""
+    from nodeloom import shipping
+
+    (tmp_path / "nodeloom.zip").write_bytes(shipping.archive())
+    code = "import nodeloom.operators.reshape, nodeloom.plans.pipeline, sys; assert 'nodeloom.zip' in nodeloom.__file__"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path / "nodeloom.zip")}, check=True, timeout=120)
