@@ -385,14 +385,14 @@ def _units(c):
     return c.select("c_custkey", (F.col("c_mktsegment") == "BUILDING").alias("status"), "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
 
 
-_UNITS = """u AS (SELECT c_custkey, c_mktsegment = 'BUILDING' AS status, c_acctbal AS a, c_nationkey::DOUBLE AS b FROM customer WHERE c_custkey < 400),
+_UNITS = """u AS (SELECT c_custkey, c_mktsegment = 'BUILDING' AS status, c_acctbal AS a, c_nationkey::DOUBLE AS b FROM customer),
  cv AS (SELECT var_pop(a) AS aa, covar_pop(a, b) AS ab, var_pop(b) AS bb FROM u)"""
 
 
 @query(f"""WITH {_UNITS}, d AS (SELECT x.c_custkey AS test_id, y.c_custkey AS ctrl_id, sqrt(((x.a - y.a) * (x.a - y.a) * bb - 2 * (x.a - y.a) * (x.b - y.b) * ab + (x.b - y.b) * (x.b - y.b) * aa) / (aa * bb - ab * ab)) AS dist
  FROM u x JOIN u y ON x.status AND NOT y.status, cv) SELECT test_id, ctrl_id, round(dist, 6) + 0.0 AS dist FROM d WHERE dist <= 0.05""")
 def pair_distances(spark, sf_dir):
-    return _distances(_units(table(spark, sf_dir, "customer").where("c_custkey < 400"))).where("dist <= 0.05").withColumn("dist", r("dist"))
+    return _distances(_units(table(spark, sf_dir, "customer"))).where("dist <= 0.05").withColumn("dist", r("dist"))
 
 
 def _distances(u):
@@ -401,7 +401,7 @@ def _distances(u):
     return match.pair_distances(test, control, names, match.precision(u, names), "c_custkey")
 
 
-@query(f"""WITH {_UNITS.replace(" WHERE c_custkey < 400", "")}, d AS (SELECT x.c_custkey AS test_id, y.c_custkey AS ctrl_id, sqrt(((x.a - y.a) * (x.a - y.a) * bb - 2 * (x.a - y.a) * (x.b - y.b) * ab + (x.b - y.b) * (x.b - y.b) * aa) / (aa * bb - ab * ab)) AS dist
+@query(f"""WITH {_UNITS}, d AS (SELECT x.c_custkey AS test_id, y.c_custkey AS ctrl_id, sqrt(((x.a - y.a) * (x.a - y.a) * bb - 2 * (x.a - y.a) * (x.b - y.b) * ab + (x.b - y.b) * (x.b - y.b) * aa) / (aa * bb - ab * ab)) AS dist
  FROM u x JOIN u y ON x.status AND NOT y.status, cv) SELECT test_id, ctrl_id, round(dist, 6) + 0.0 AS dist FROM d""")
 def all_pair_distances(spark, sf_dir):
     return _distances(_units(table(spark, sf_dir, "customer"))).withColumn("dist", r("dist"))
@@ -429,8 +429,8 @@ def imputed(spark, sf_dir):
     return a.join(scale.impute(_gappy(spark, sf_dir), "median").select(*keys, r("value").alias("median")), keys)
 
 
-_KNN = """WITH g AS (SELECT c_custkey AS s, f, v FROM (SELECT c_custkey, 0 AS f, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal / 1000 END AS v FROM customer WHERE c_custkey < 60
- UNION ALL SELECT c_custkey, 1, CASE WHEN c_custkey % 7 = 1 THEN NULL ELSE c_nationkey::DOUBLE END FROM customer WHERE c_custkey < 60 UNION ALL SELECT c_custkey, 2, (c_custkey * 37 % 101)::DOUBLE FROM customer WHERE c_custkey < 60)),
+_KNN = """WITH g AS (SELECT c_custkey AS s, f, v FROM (SELECT c_custkey, 0 AS f, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal / 1000 END AS v FROM customer
+ UNION ALL SELECT c_custkey, 1, CASE WHEN c_custkey % 7 = 1 THEN NULL ELSE c_nationkey::DOUBLE END FROM customer UNION ALL SELECT c_custkey, 2, (c_custkey * 37 % 101)::DOUBLE FROM customer)),
  near AS (SELECT a.s AS a, b.s AS b, sum(pow(a.v - b.v, 2)) * 3 / count(*) AS d FROM g a JOIN g b ON a.f = b.f AND a.s <> b.s WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY a.s, b.s),
  o AS (SELECT q.s, q.f, b.v, row_number() OVER (PARTITION BY q.s, q.f ORDER BY d, near.b) AS k FROM g q JOIN near ON q.s = near.a JOIN g b ON b.s = near.b AND b.f = q.f WHERE q.v IS NULL AND b.v IS NOT NULL),
  fl AS (SELECT s, f, avg(v) AS w FROM o WHERE k <= 5 GROUP BY s, f) SELECT s AS c_custkey, f AS feature_idx, round(coalesce(v, w), 6) + 0.0 AS value FROM g LEFT JOIN fl USING (s, f)"""
@@ -438,10 +438,10 @@ _KNN = """WITH g AS (SELECT c_custkey AS s, f, v FROM (SELECT c_custkey, 0 AS f,
 
 @query(_KNN)
 def imputed_by_neighbours(spark, sf_dir):
-    return _by_neighbours(table(spark, sf_dir, "customer").where("c_custkey < 60"))
+    return _by_neighbours(table(spark, sf_dir, "customer"))
 
 
-@query(_KNN.replace(" WHERE c_custkey < 60", ""))
+@query(_KNN)
 def all_imputed_by_neighbours(spark, sf_dir):
     return _by_neighbours(table(spark, sf_dir, "customer"))
 
@@ -663,12 +663,12 @@ def lasso_predictions(spark, sf_dir):
     return Fitted("lasso", alpha=0.05).fit(m, "x", "y", SUBJECT).predict(m, "x", SUBJECT)
 
 
-@query()
+@query(f"""WITH {FILLED} SELECT s AS "subjectID", m AS metric, t AS "tractID", n AS "nodeID", CAST(f AS INTEGER) AS feature_idx, round(v, 6) + 0.0 AS value FROM filled""")
 def mapped_features(spark, sf_dir):
     from nodeloom.plans.mapper import FeatureMapper
 
     n = nodes(spark, sf_dir)
-    return FeatureMapper(metrics=["value", "k"]).fit(n).transform(n)
+    return FeatureMapper(metrics=["value", "k"]).fit(n).transform(n).select(SUBJECT, "metric", TRACT, NODE, F.col("feature_idx").cast("int").alias("feature_idx"), r("value").alias("value"))
 
 
 @query()
