@@ -130,6 +130,13 @@ def feature_dimension(spark, sf_dir):
     return reshape.feature_dim(reshape.collapse(reshape.melt(nodes(spark, sf_dir))))
 
 
+@query(f"""WITH {NODES}, bd AS (SELECT DISTINCT m, t FROM (SELECT t, unnest(['value', 'k']) AS m FROM nodes)) SELECT m AS metric, t AS "tractID", CAST(row_number() OVER (ORDER BY m <> 'value', t) - 1 AS INTEGER) AS feature_idx FROM bd""")
+def bundle_order(spark, sf_dir):
+    """The features of aggregated bundles: metrics in the order asked for, tracts sorted."""
+    metrics = ["value", "k"]
+    return reshape.bundle_dim(reshape.bundle_aggregate(nodes(spark, sf_dir), "mean", metrics), metrics)
+
+
 @query(f"""WITH {VECTORS} SELECT s AS "subjectID", f // 8 AS channel, f % 8 AS step, round(v, 6) + 0.0 AS value FROM vec""")
 def channels(spark, sf_dir):
     return reshape.channels(vectors(spark, sf_dir), 8, 8).withColumn("value", r("value"))
@@ -550,6 +557,14 @@ def permuted(spark, sf_dir):
     return augment.permutation(sequences(spark, sf_dir), seed=7).select(*augment.KEYS, r("value").alias("value"))
 
 
+@query(f"""WITH {SEQS}, c AS (SELECT DISTINCT sample_id, 1 + CAST(floor({hashrand.uniform_sql("'permutation'", '7', 'sample_id')} * 4) AS INTEGER) AS k FROM seq), u AS (SELECT sample_id, k, cut, row_number() OVER (PARTITION BY sample_id ORDER BY {hashrand.uniform_sql("'cut'", '7', 'sample_id', 'cut')}, cut) AS o FROM c, (SELECT unnest(range(1, 7)) AS cut)),
+ g AS (SELECT s.sample_id, s.channel, s.step, s.value, (SELECT count(*) FROM u WHERE u.sample_id = s.sample_id AND u.o <= u.k - 1 AND u.cut <= s.step) AS seg FROM seq s)
+ SELECT sample_id, channel, CAST(row_number() OVER (PARTITION BY sample_id, channel ORDER BY {hashrand.uniform_sql("'segment'", '7', 'sample_id', 'seg')}, seg, step) - 1 AS INTEGER) AS step, round(value, 6) + 0.0 AS value FROM g""")
+def permuted_at_random(spark, sf_dir):
+    """Segments cut at drawn steps change places."""
+    return augment.permutation(sequences(spark, sf_dir), equal=False, seed=7).select(*augment.KEYS, r("value").alias("value"))
+
+
 @query(f"""WITH {SEQS}, c AS (SELECT *, CAST(floor({hashrand.uniform_sql("'slice'", '7', 'sample_id')} * 2) AS INTEGER) AS st FROM seq), p AS (SELECT *, st + step * 6 / 7.0 AS ps, least(st + 5, CAST(floor(st + step * 6 / 7.0) AS INTEGER)) AS i FROM c),
  w AS (SELECT p.sample_id, p.channel, p.step, p.ps, p.i, a.value AS v0, b.value AS v1 FROM p JOIN seq a ON a.sample_id = p.sample_id AND a.channel = p.channel AND a.step = p.i JOIN seq b ON b.sample_id = p.sample_id AND b.channel = p.channel AND b.step = least(p.i + 1, p.st + 5))
  SELECT sample_id, channel, step, round(v0 + (v1 - v0) * least(1.0, greatest(0.0, ps - i)), 6) + 0.0 AS value FROM w""")
@@ -616,6 +631,20 @@ def partners(spark, sf_dir):
     return p.select("sample_id", "label", r(F.aggregate("partner", F.lit(0.0), lambda a, v: a + v), 5).alias("partner_total"))
 
 
+@query(f"""WITH {SEQS}, sz AS (SELECT label, count(*) AS n FROM (SELECT DISTINCT sample_id, label FROM seq) GROUP BY label), bg AS (SELECT label, n, sum(n) OVER (ORDER BY label) - n AS z, sum(n) OVER () AS total FROM sz),
+ rk AS (SELECT sample_id, label, n, CAST(z AS BIGINT) AS z, CAST(total AS BIGINT) AS total, row_number() OVER (PARTITION BY label ORDER BY sample_id) - 1 AS r FROM (SELECT DISTINCT sample_id, label FROM seq) JOIN bg USING (label)),
+ dr AS (SELECT *, CAST(floor({hashrand.uniform_sql("'mixed'", '7', 'sample_id')} * greatest(n - 1, 1)) AS BIGINT) AS st, CAST(floor({hashrand.uniform_sql("'mixed'", '7', "'others'", 'sample_id')} * greatest(total - n, 1)) AS BIGINT) AS b2 FROM rk),
+ pk AS (SELECT sample_id, label, TRUE AS same, z + (r + 1 + (st + t) % (n - 1)) % n AS p FROM dr, (SELECT unnest(range(0, 3)) AS t) WHERE t < n - 1 UNION ALL SELECT sample_id, label, FALSE, (z + n + (b2 + t) % (total - n)) % total FROM dr, (SELECT unnest(range(0, 2)) AS t) WHERE t < total - n),
+ tv AS (SELECT rk.z + rk.r AS p, sum(value) AS v FROM rk JOIN seq ON seq.sample_id = rk.sample_id GROUP BY rk.z + rk.r)
+ SELECT rk.sample_id, rk.label, count(*) FILTER (same) AS n_same, count(*) FILTER (NOT same) AS n_others, round(coalesce(sum(v) FILTER (same), 0), 5) + 0.0 AS same_total, round(coalesce(sum(v) FILTER (NOT same), 0), 5) + 0.0 AS others_total FROM rk LEFT JOIN pk ON pk.sample_id = rk.sample_id LEFT JOIN tv ON tv.p = pk.p GROUP BY rk.sample_id, rk.label""")
+def draws_by_label(spark, sf_dir):
+    """Three other samples of the same label for each, and two of other labels, without repeats."""
+    d = augment.with_draws(augment.pack(sequences(spark, sf_dir)), 3, 2, "mixed", 7, False)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    total = lambda c: r(F.coalesce(F.aggregate(F.flatten(c), F.lit(0.0), lambda a, v: a + v), F.lit(0.0)), 5)
+    return d.select("sample_id", "label", size("same").alias("n_same"), size("different").alias("n_others"), total("same").alias("same_total"), total("different").alias("others_total"))
+
+
 # Ensembles and validation.
 
 

@@ -227,3 +227,15 @@ def dataset_shape(spark, sf_dir):
     d = gappy(spark, sf_dir)
     (n, width), (_, targets) = d.shape
     return spark.createDataFrame([(n, width, d.group_names.count(), targets)], "subjects long, features long, groups long, targets long")
+
+
+@query(f"""WITH {GAPPY} SELECT CAST(count(*) AS BIGINT) AS items, CAST(count(a) + count(b) AS BIGINT) AS numbers, round(sum(CAST(a AS FLOAT)::DOUBLE), 3) + 0.0 AS first, round(sum(CAST(b AS FLOAT)::DOUBLE), 3) + 0.0 AS second, round(sum(CAST(y AS FLOAT)::DOUBLE), 3) + 0.0 AS target FROM gap""")
+def tensor_items(spark, sf_dir):
+    """Single-precision items (features, targets) as other libraries take them, one partition at a time."""
+    items = numbers = 0
+    totals = np.zeros(3)
+    for x, y in gappy(spark, sf_dir).batches(bundles_as_channels=False):
+        assert x.dtype == y.dtype == np.float32
+        items, numbers = items + 1, numbers + int((~np.isnan(x)).sum())
+        totals += [*np.nan_to_num(x.astype(float)), float(y[0])]
+    return spark.createDataFrame([(items, numbers, *totals.tolist())], "items long, numbers long, first double, second double, target double").select("items", "numbers", *(r(c, 3).alias(c) for c in ("first", "second", "target")))
