@@ -96,6 +96,10 @@ class ProfileDataset:
         only = lambda df: None if df is None else df.join(ids, SUBJECT, "left_semi")
         return replace(self, features=only(self.features), subjects=subjects, targets=only(self.targets), sessions=only(self.sessions))
 
+    def persist(self) -> ProfileDataset:
+        """The same with its tables kept in memory and on disk once they are computed, for work that reads them often."""
+        return replace(self, features=self.features.persist(), subjects=self.subjects.persist(), targets=None if self.targets is None else self.targets.persist())
+
     def only(self, kept: DataFrame) -> ProfileDataset:
         """With the subjects of ``kept`` (subjectID, row_idx); positions stay as they were."""
         return self._only(kept, False)

@@ -49,7 +49,7 @@ def gappy(spark, sf_dir) -> ProfileDataset:
     a = F.when(F.col("k").cast("long") % 11 != 0, F.col("a"))
     cells = F.array(F.struct(F.lit("a").alias(TRACT), a.alias("v")), F.struct(F.lit("b").alias(TRACT), F.col("b").alias("v")))
     nodes = p.select(F.col("k").alias(SUBJECT), F.explode(cells).alias("c")).select(SUBJECT, f"c.{TRACT}", F.lit(0).alias(NODE), "c.v")
-    return ProfileDataset.build(nodes, p.select(F.col("k").alias(SUBJECT), "y"), ["y"])
+    return ProfileDataset.build(nodes, p.select(F.col("k").alias(SUBJECT), "y"), ["y"]).persist()
 
 
 # Estimators.
