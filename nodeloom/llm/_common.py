@@ -12,6 +12,9 @@ Three rules hold everywhere below:
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -112,20 +115,61 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: What this Python worker keeps between tasks, by owner, and what else is to be forgotten with it.
+_kept: dict[str, object] = {}
+forgets: list[Callable[[], None]] = []
+#: Characters of text that a step computes on at a time, if it says nothing else.
+HELD = 1 << 23
+
+
+def worker_cache(owner: str, make: Callable[[], object]):
+    """What this Python worker keeps for ``owner`` between tasks. It has one owner at a time."""
+    if owner not in _kept:
+        release()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def release() -> None:
+    """Gives the memory back that earlier steps have left in this Python worker."""
+    if _kept:
+        _kept.clear()
+        for forget in forgets:
+            forget()
+        gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def fresh(run):
+    """``run(batches)`` for a step that keeps nothing, with the worker's memory given back before it."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        release()
+        yield from run(batches)
+
+    return wrapped
+
+
 def append_columns(
     df: DataFrame,
     text_col: str,
     fields: Sequence[tuple[str, T.DataType]],
     make: Callable[[], Callable[[list], Sequence]],
     keep: Sequence[str] | None = None,
-    held: int | None = None,
+    held: int | None = HELD,
+    caches: bool = False,
 ) -> DataFrame:
     """``df`` with columns computed from one text column, batch by batch, without a shuffle.
 
     ``make()`` runs once per task and returns ``f(texts) -> list of columns`` in the order of
     ``fields``. Null texts reach ``f`` as empty strings. ``keep`` names the input columns that
     stay (default: all); a kept column whose name clashes with a new one is replaced by it. Of a batch
-    only about ``held`` characters are computed on at a time, or one text.
+    only about ``held`` characters are computed on at a time, or one text; None for the whole batch.
+    ``caches``: ``make`` uses a cache of the worker's.
     """
     names = [n for n, _ in fields]
     keep = [c for c in without(df, names) if keep is None or c in keep]
@@ -139,6 +183,8 @@ def append_columns(
         return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a or not batch.num_rows]
 
     def run(batches):
+        if not caches:
+            release()
         f = make()
         for batch in batches if held is None else (part for whole in batches for part in parts(whole, len(keep))):
             columns = f(["" if x is None else x for x in batch.column(source).to_pylist()])

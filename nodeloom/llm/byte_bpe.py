@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from nodeloom.llm._common import append_columns
+from nodeloom.llm._common import append_columns, forgets, worker_cache
 
 #: Pre-tokens that a worker's cache holds, about; long ones are not kept.
 CACHED, LONGEST_KEPT = 800_000, 64
@@ -179,10 +179,12 @@ class Words(dict):
         self.update(zip(words, [data[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
 
 
-@lru_cache(maxsize=1)
+forgets.append(load.cache_clear)
+
+
 def worker_words(path: str) -> Words:
     """The cache of this Python worker; it outlives a task."""
-    return Words()
+    return worker_cache(f"byte_bpe {path}", Words)
 
 
 def foreign(pattern: str):
@@ -285,4 +287,4 @@ def byte_bpe(df: DataFrame, path: str, pattern: str, text_col: str = "text", wit
         return columns
 
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return append_columns(df, text_col, [*fields, *[("ids", T.BinaryType()), ("decoded", T.BinaryType())] * with_ids], make)
+    return append_columns(df, text_col, [*fields, *[("ids", T.BinaryType()), ("decoded", T.BinaryType())] * with_ids], make, held=None, caches=True)

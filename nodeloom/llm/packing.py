@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeloom.llm._common import quoted, stored
+from nodeloom.llm._common import forgets, fresh, quoted, stored, worker_cache
 from nodeloom.llm.byte_bpe import CACHED, Merges, Words, encode_blocks, foreign, splitter
 
 SIZE, SEPARATOR = 4096, 1
@@ -111,10 +111,12 @@ class Chunks(Words):
     split = staticmethod(splitter(_SPLIT))
 
 
-@lru_cache(maxsize=1)
+forgets.append(load.cache_clear)
+
+
 def worker_chunks(path: str) -> Chunks:
     """The cache of this Python worker; it outlives a task."""
-    return Chunks()
+    return worker_cache(f"packing {path}", Chunks)
 
 
 def token_bytes(texts: list[str], path: str, chunks: Chunks) -> list[bytes]:
@@ -291,4 +293,4 @@ def best_fit_packing(
             sequence, offset = at[:, 3] + (rank - at[:, 1]) // at[:, 2], at[:, 4] + (rank - at[:, 1]) % at[:, 2] * length
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=schema.names)
 
-    return ranked.select(*(F.col(quoted(c)) for c in names), (F.col("rank") + F.col("__before")).alias("__rank")).mapInArrow(place, schema)
+    return ranked.select(*(F.col(quoted(c)) for c in names), (F.col("rank") + F.col("__before")).alias("__rank")).mapInArrow(fresh(place), schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeloom.llm._common import append_columns, held_out, stored
+from nodeloom.llm._common import append_columns, fresh, held_out, stored
 from nodeloom.llm.learning import Adam, first_rows, labelled, sigmoid, softplus, with_texts
 
 SAMPLE = 8_000
@@ -130,8 +130,8 @@ def fit_vectors(sample: DataFrame) -> dict[str, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([found[t][0] for t in kept], pa.int64()), pa.array([found[t][1].astype(np.float32).tobytes() for t in kept], pa.binary())], names=["token", "n", "sums"])
 
     kind = "token string, n long, sums binary"
-    parts = sample.select("__text").mapInArrow(sums, kind).repartition("token").sortWithinPartitions("token", "n", "sums")
-    rows = parts.mapInArrow(total, kind).orderBy(F.col("token").startswith(" ").desc(), F.col("n").desc(), "token").limit(VOCABULARY).collect()
+    parts = sample.select("__text").mapInArrow(fresh(sums), kind).repartition("token").sortWithinPartitions("token", "n", "sums")
+    rows = parts.mapInArrow(fresh(total), kind).orderBy(F.col("token").startswith(" ").desc(), F.col("n").desc(), "token").limit(VOCABULARY).collect()
     found = {}
     for r in rows:
         vector = np.frombuffer(r["sums"], np.float32)
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shipped.value(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], names=["__id", "label", "x"])
 
     order = F.xxhash64(F.col("__id").cast("string"))
-    pooled = rows.select("__id", "label", "__text").mapInArrow(pool, f"__id {dict(rows.dtypes)['__id']}, label int, x binary").orderBy(order, "__id").collect()
+    pooled = rows.select("__id", "label", "__text").mapInArrow(fresh(pool), f"__id {dict(rows.dtypes)['__id']}, label int, x binary").orderBy(order, "__id").collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in pooled], float).reshape(-1, INPUTS)
     y = np.array([r["label"] for r in pooled], float)
     return pooler, Network(x, y) if len(set(y.tolist())) == 2 else Constant(y)

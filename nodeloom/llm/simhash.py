@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeloom.llm._common import append_columns, quoted, stored
+from nodeloom.llm._common import append_columns, fresh, quoted, stored
 from nodeloom.llm.components import connected_components
 
 SEED = 42
@@ -271,7 +271,7 @@ def near_links(distinct: DataFrame, radius: int = 2, split: int = SPLIT) -> Data
             a, b = forest(values.view(np.uint64), group, radius)
             yield pa.RecordBatch.from_arrays([pa.array(values[a]), pa.array(values[b])], names=["a", "b"])
 
-    return ordered.mapInArrow(compare, "a long, b long")
+    return ordered.mapInArrow(fresh(compare), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeloom.llm._common import Stored, quoted, scratch, without
+from nodeloom.llm._common import Stored, fresh, quoted, scratch, without
 from nodeloom.llm.anchors import anchors
 from nodeloom.llm.simhash import whole_groups
 from nodeloom.llm.suffixes import common_prefix, front_code, front_decode, merge
@@ -318,11 +318,11 @@ def repeated_runs(docs: DataFrame, text: str = "__text", length: int = LENGTH, w
 
     copies = docs.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n > 1")
     found = [copies.select("t1", "t2", F.lit(0).alias("first"), (F.col("size") - length).cast("int").alias("last"))]
-    offered = docs.select(text, "t1", "t2").mapInArrow(_survey(length, width), _OFFERED)
+    offered = docs.select(text, "t1", "t2").mapInArrow(fresh(_survey(length, width)), _OFFERED)
     while True:
         key = F.when(F.col("role") == _PASS, F.col("t1")).otherwise(F.col("core"))
         ordered = offered.repartition(key).sortWithinPartitions(key, "t1", "t2", "spot").select(key.alias("key"), "role", "core", "t1", "t2", "spot")
-        judged = Stored(ordered.mapInArrow(_judge, "core long, t1 long, t2 long, spot long"), "anchors").read()
+        judged = Stored(ordered.mapInArrow(fresh(_judge), "core long, t1 long, t2 long, spot long"), "anchors").read()
         crowded = None
         if width > 1:
             contexts = judged.select("core", F.col("spot").bitwiseAND(F.lit(0xFFFF)).alias("context")).distinct().groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > hot)
@@ -331,12 +331,12 @@ def repeated_runs(docs: DataFrame, text: str = "__text", length: int = LENGTH, w
         salted = judged.withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int"))  # a crowded core is no hot key
         sparse = judged if crowded is None else salted.join(crowded, ["core", "salt"], "left_anti")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sparse.count() // PER_TASK))
-        runs = with_text(sparse).mapInArrow(_runs(length, parts), "part int, run binary")
-        found.append(runs.repartition(parts, "part").mapInArrow(_merge_runs(length, width), _FOUND))
+        runs = with_text(sparse).mapInArrow(fresh(_runs(length, parts)), "part int, run binary")
+        found.append(runs.repartition(parts, "part").mapInArrow(fresh(_merge_runs(length, width)), _FOUND))
         if crowded is None:
             return found
         width = -(-width // FANOUT)
-        offered = with_text(salted.join(crowded, ["core", "salt"], "left_semi")).mapInArrow(_refine(length, width), _OFFERED)
+        offered = with_text(salted.join(crowded, ["core", "salt"], "left_semi")).mapInArrow(fresh(_refine(length, width)), _OFFERED)
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, width: int = WIDTH, hot: int = HOT, with_kept: bool = False) -> DataFrame:
@@ -374,5 +374,5 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], names=schema.names)
 
-    out = joined.mapInArrow(cut, schema)
+    out = joined.mapInArrow(fresh(cut), schema)
     return out.select(*(F.col("__row")[c].alias(c) for c in keep), *schema.names[1:])

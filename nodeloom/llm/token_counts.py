@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeloom.llm._common import Stored, append_columns, quoted, scratch
+from nodeloom.llm._common import Stored, append_columns, forgets, fresh, quoted, scratch, worker_cache
 
 #: Entries of the broadcast tier, and of each worker's cache before it is emptied.
 FREQUENT, CACHED = 65_536, 400_000
@@ -70,10 +70,12 @@ class Lengths(dict):
         return n
 
 
-@lru_cache(maxsize=1)
+forgets.append(load.cache_clear)
+
+
 def worker_lengths(model_path: str) -> Lengths:
     """The cache of this Python worker; it outlives a task."""
-    return Lengths(load(model_path)[0], {})
+    return worker_cache(f"token_counts {model_path}", lambda: Lengths(load(model_path)[0], {}))
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -134,12 +136,12 @@ def frequent_words(df: DataFrame, text_col: str, size: int = FREQUENT, room: int
         yield _summary(_merged(batches, room))
 
     kinds = "words binary, counts binary"
-    level = df.select(F.col(quoted(text_col)).cast("string").alias("t")).mapInArrow(count, kinds)
+    level = df.select(F.col(quoted(text_col)).cast("string").alias("t")).mapInArrow(fresh(count), kinds)
     held = Stored(level, "words")
     n = held.read().count()
     while n > 1:  # FAN summaries to a task, until one is left
         n = -(-n // FAN)
-        following = Stored(held.read().repartition(n).mapInArrow(merge, kinds), "words")
+        following = Stored(held.read().repartition(n).mapInArrow(fresh(merge), kinds), "words")
         held.drop()
         held = following
     found = _merged([_as_batch(held.read().collect())], room)  # one row of a fixed size
@@ -177,4 +179,4 @@ def token_counts(df: DataFrame, model_path: str, text_col: str = "text", limit:
 
         return columns
 
-    return append_columns(df, text_col, [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())], make)
+    return append_columns(df, text_col, [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())], make, caches=True)

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nodeloom.llm import anchors, byte_bpe, components, embedding_dedup, media, packing, pii, quality, similar, simhash, suffix_dedup, suffixes, token_counts, toxicity
 
@@ -101,6 +102,32 @@ def test_word_ids_as_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_a_worker_keeps_the_cache_of_one_step():
+    from nodeloom.llm import _common
+
+    words = byte_bpe.worker_words(RANKS)
+    assert byte_bpe.worker_words(RANKS) is words
+    byte_bpe.load(RANKS)
+    chunks = packing.worker_chunks(WORDS)
+    assert list(_common._kept.values()) == [chunks] and byte_bpe.load.cache_info().currsize == 0
+    assert list(_common.fresh(iter)([1, 2])) == [1, 2] and not _common._kept
+
+
+def test_batches_in_parts(spark):
+    """Small parts of a batch, with long, empty and null texts, give what whole batches give."""
+    from nodeloom.llm._common import append_columns
+
+    rows = [(i, t) for i, t in enumerate([None, "", "x" * 500, "ab", "", "y" * 90, *map(str, range(200))])]
+    df = spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)
+    make = lambda: lambda texts: [[f"{t}!" for t in texts], [len(texts)] * len(texts)]
+    kinds = [("out", T.StringType()), ("n", T.LongType())]
+    for held in (None, 1, 100):
+        got = {r["doc_id"]: r for r in append_columns(df, "text", kinds, make, held=held).collect()}
+        assert all(got[i]["out"] == f"{t or ''}!" for i, t in rows) and len(got) == len(rows)
+        assert (max(r["n"] for r in got.values()) < 60) == (held is not None)
+    assert append_columns(df.limit(0), "text", kinds, make).count() == 0
+
+
 # Packing.
 
 
@@ -536,8 +563,7 @@ def test_peaks_against_a_plain_transform():
     assert list(zip(times.tolist(), codes.tolist(), strict=True)) == plain
 
 
-def test_media_arrays_hold_the_fingerprint(spark, monkeypatch):
-    monkeypatch.setattr(media, "HELD", 100)
+def test_media_arrays_hold_the_fingerprint(spark):
     rows = [(i, prose(i, 5 * i)) for i in range(12)] + [(20, None)]
     out = media.media_columns(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), with_media=True).collect()
     assert len(out) == 13
