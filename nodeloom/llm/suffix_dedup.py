@@ -7,9 +7,9 @@ suffixes are taken at anchors only, about one place in a hundred:
 1. All windows of an anchor share its *core*. Each task sends one row for each distinct core of a
    batch; a core that occurs once in the corpus has no repeated window, whatever surrounds it, and
    its suffix is not exchanged. Hashes of cores only rule suffixes out, they never decide a repeat.
+   Of suffixes with the same bytes around them in a batch, compared as bytes, one goes on.
 2. Each task sorts the suffixes at its other cores, with the reversed bytes to the left, and sends
-   them as front-coded runs; a suffix that stands several times in a batch with all its bytes goes
-   once. A loser tree that never compares a known prefix again merges the runs. With the common
+   them as front-coded runs. A loser tree that never compares a known prefix again merges the runs. With the common
    prefixes of neighbours to the right, and of the sorted reversed contexts to the left, windows
    fall into classes, and a window is repeated if its class has another member.
 3. A core with over ``HOT`` different contexts is too much for one task. Its starts are cut into
@@ -52,12 +52,14 @@ PER_TASK = 100_000
 #: Merged suffixes whose windows are classed together, about.
 CLASSED = 1 << 15
 #: Bytes of text whose anchors are held at once.
-HELD = 1 << 24
+HELD = 1 << 23
 
 _OFFERED = "role byte, core long, t1 long, t2 long, spot long"
 _FOUND = "t1 long, t2 long, first int, last int"
-#: Roles of rows: the only one of its core in a batch, one of several, and the others of those, which need no answer.
-_SINGLE, _SEVERAL, _PASS = 0, 1, 2
+#: Roles of rows: the only context of its core in a batch; one of several contexts; the others of those, which need no
+#: answer; and starts whose windows stand in the batch again, byte by byte, with the first in the place of the core and
+#: the last in that of the spot.
+_SINGLE, _SEVERAL, _OTHER, _KNOWN = 0, 1, 2, 3
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +77,36 @@ def spot(core_at: int, first: int, last: int, digest: int) -> int:
     return core_at << 32 | (core_at - first) << 24 | (core_at - last) << 16 | digest & 0xFFFF
 
 
-def _offers(core: list[int], t1: list[int], t2: list[int], spots: list[int]) -> pa.RecordBatch:
-    """One row of each core, and the others, which stand beside it and so need no answer."""
-    core = np.array(core, np.uint64).view(np.int64)
-    _, first, which, count = np.unique(core, return_index=True, return_inverse=True, return_counts=True)
-    role = np.full(len(core), _PASS, np.int8)
-    role[first] = np.where(count > 1, _SEVERAL, _SINGLE)
-    columns = [pa.array(role), pa.array(core), *(pa.array(x, pa.int64()) for x in (t1, t2, spots))]
-    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _OFFERED.split(", ")])
+def _offers(rows: list[tuple], length: int) -> pa.RecordBatch:
+    """Rows (core, t1, t2, place of the core, first start, last start, text) for the exchange, equal contexts as one."""
+    from xxhash import xxh3_64_intdigest
+
+    by_core: dict[int, list[tuple]] = {}
+    for row in rows:
+        by_core.setdefault(row[0], []).append(row)
+    out, known = [], []
+    for core, members in by_core.items():
+        contexts: dict[tuple, list[tuple]] = {}
+        if len(members) == 1:
+            contexts[()] = members
+        else:
+            for row in members:
+                contexts.setdefault((row[3] - row[4], row[6][row[4] : row[5] + length]), []).append(row)
+        role = _SINGLE if len(contexts) == 1 else _SEVERAL
+        for same in contexts.values():
+            _, a1, a2, at, first, last, data = same[0]
+            out.append((role, core, a1, a2, spot(at, first, last, xxh3_64_intdigest(data[first : last + length]))))
+            role = _OTHER
+            if len(same) > 1:
+                known += [(x[1], x[2], x[4], x[5]) for x in same]
+    out += [(_KNOWN, first, a1, a2, last) for a1, a2, first, last in _joined(known)]
+    columns = list(zip(*out, strict=True)) or [[]] * 5
+    kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _OFFERED.split(", ")])
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _octets(column: pa.Array) -> list[bytes]:
@@ -91,51 +115,45 @@ def _octets(column: pa.Array) -> list[bytes]:
 
 def _survey(length: int, width: int):
     """Batches of (text, t1, t2) to rows for the exchange by core, for all anchors of each different text."""
-    from xxhash import xxh3_64_intdigest, xxh64_intdigest
+    from xxhash import xxh64_intdigest
 
     near = (length - width) // 2
 
     def run(batches):
         for batch in batches:
             texts = dict(zip(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), _octets(batch.column(0)), strict=True))
-            rows, held = ([], [], [], []), 0
+            rows, held = [], 0
             for (a1, a2), data in texts.items():
                 for p, first, last in zip(*(x.tolist() for x in anchors(np.frombuffer(data, np.uint8), length, width)), strict=True):
                     at = p - near
-                    rows[0].append(xxh64_intdigest(data[at : at - width + 1 + length]))
-                    rows[1].append(a1)
-                    rows[2].append(a2)
-                    rows[3].append(spot(at, first, last, xxh3_64_intdigest(data[first : last + length])))
+                    rows.append((_signed(xxh64_intdigest(data[at : at - width + 1 + length])), a1, a2, at, first, last, data))
                 held += len(data)
                 if held >= HELD:
-                    yield _offers(*rows)
-                    rows, held = ([], [], [], []), 0
-            yield _offers(*rows)
+                    yield _offers(rows, length)
+                    rows, held = [], 0
+            yield _offers(rows, length)
 
     return run
 
 
 def _refine(length: int, width: int):
     """Batches of (t1, t2, text, crowded cores) to rows for the exchange by core, at most ``width`` starts to a core."""
-    from xxhash import xxh3_64_intdigest, xxh64_intdigest
+    from xxhash import xxh64_intdigest
 
     def run(batches):
         for batch in batches:
-            rows = ([], [], [], [])
+            rows = []
             for a1, a2, data, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _octets(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 for x in found:
                     at, first, last = _where(x["spot"])
                     for block in range((at - last) // width, (at - first) // width + 1):
                         core_at = at - block * width
-                        low, high = max(first, core_at - width + 1), min(last, core_at)
-                        rows[0].append(xxh64_intdigest(data[core_at : core_at - width + 1 + length]))
-                        rows[1].append(a1)
-                        rows[2].append(a2)
-                        rows[3].append(spot(core_at, low, high, xxh3_64_intdigest(data[low : high + length])))
-                if len(rows[0]) >= PER_TASK:
-                    yield _offers(*rows)
-                    rows = ([], [], [], [])
-            yield _offers(*rows)
+                        core = _signed(xxh64_intdigest(data[core_at : core_at - width + 1 + length]))
+                        rows.append((core, a1, a2, core_at, max(first, core_at - width + 1), min(last, core_at), data))
+                if len(rows) >= PER_TASK:
+                    yield _offers(rows, length)
+                    rows = []
+            yield _offers(rows, length)
 
     return run
 
@@ -147,14 +165,14 @@ def _where(x: int) -> tuple[int, int, int]:
 
 
 def _judge(batches):
-    """Rows sorted by (key, t1, t2, spot) to those whose core stands at another place too, each place once."""
+    """Rows sorted by (key, t1, t2, spot) to those whose core stands at another place too, each place once, and the known ones."""
     for table, group in whole_groups(batches, 1):
         role, core, t1, t2, spots = (table.column(i).to_numpy() for i in range(1, 6))
         new = np.ones(len(group), bool)
-        new[1:] = (group[1:] != group[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]) | (spots[1:] != spots[:-1])
-        places = np.bincount(group, new.astype(int) + (role != _SINGLE))  # one of several in its batch counts for two
-        take = np.flatnonzero(new & ((role == _PASS) | (places[group] > 1)))
-        yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (core, t1, t2, spots)], names=["core", "t1", "t2", "spot"])
+        new[1:] = (group[1:] != group[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]) | (spots[1:] != spots[:-1]) | (core[1:] != core[:-1])
+        places = np.bincount(group, new.astype(int) + (role == _SEVERAL))  # one of several in its batch counts for two
+        take = np.flatnonzero(new & ((role >= _OTHER) | (places[group] > 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (role, core, t1, t2, spots)], names=["role", "core", "t1", "t2", "spot"])
 
 
 def _joined(starts) -> list[list[int]]:
@@ -320,9 +338,11 @@ def repeated_runs(docs: DataFrame, text: str = "__text", length: int = LENGTH, w
     found = [copies.select("t1", "t2", F.lit(0).alias("first"), (F.col("size") - length).cast("int").alias("last"))]
     offered = docs.select(text, "t1", "t2").mapInArrow(fresh(_survey(length, width)), _OFFERED)
     while True:
-        key = F.when(F.col("role") == _PASS, F.col("t1")).otherwise(F.col("core"))
+        key = F.when(F.col("role") >= _OTHER, F.col("t1")).otherwise(F.col("core"))
         ordered = offered.repartition(key).sortWithinPartitions(key, "t1", "t2", "spot").select(key.alias("key"), "role", "core", "t1", "t2", "spot")
-        judged = Stored(ordered.mapInArrow(fresh(_judge), "core long, t1 long, t2 long, spot long"), "anchors").read()
+        both = Stored(ordered.mapInArrow(fresh(_judge), _OFFERED), "anchors").read()
+        found.append(both.where(F.col("role") == _KNOWN).select("t1", "t2", F.col("core").cast("int").alias("first"), F.col("spot").cast("int").alias("last")))
+        judged = both.where(F.col("role") != _KNOWN).drop("role")
         crowded = None
         if width > 1:
             contexts = judged.select("core", F.col("spot").bitwiseAND(F.lit(0xFFFF)).alias("context")).distinct().groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > hot)
