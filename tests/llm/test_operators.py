@@ -697,6 +697,32 @@ def test_positive_unlabelled_risk_stays_right():
     assert all(score(x) > 0 for label, x in rows if "vile" in x) and np.mean([score(x) < 0 for _, x in rows if "vile" not in x]) > 0.98
 
 
+def test_risk_descent_against_finite_differences():
+    """Full batches, the corrected risk written out and its slope taken by differences, a plain Adam."""
+    from nodeloom.llm.learning import softplus
+
+    r = np.random.default_rng(1)
+    for prior, steps in ((0.2, 40), (0.7, 150)):  # the second goes below zero and steps back
+        dense, values = (r.random((30, 5)) < 0.5).astype(float), r.normal(size=5)
+        x = toxicity.Sparse([np.flatnonzero(d).astype(np.int32) for d in dense], values)
+        positive, unlabelled = np.arange(8), np.arange(8, 30)
+        if prior == 0.7:  # what tells them apart in full
+            dense[:, 0], values[0] = np.arange(30) < 8, 2.0
+            x = toxicity.Sparse([np.flatnonzero(d).astype(np.int32) for d in dense], values)
+        weights, bias = toxicity.fit_member(x, positive, unlabelled, prior, 5, 0, steps)
+        z, theta, m, v, back = dense * values, np.append(np.zeros(5), np.log(prior / (1 - prior))), 0.0, 0.0, 0
+        for t in range(1, steps + 1):
+            below = lambda th: softplus(z[unlabelled] @ th[:-1] + th[-1]).mean() - prior * softplus(z[positive] @ th[:-1] + th[-1]).mean()
+            whole = lambda th: prior * softplus(-(z[positive] @ th[:-1] + th[-1])).mean() + below(th) + toxicity.DECAY / 2 * (th[:-1] ** 2).sum()
+            back += below(theta) < 0
+            risk = whole if below(theta) >= 0 else lambda th: -below(th)
+            slope = np.array([(risk(theta + 1e-6 * e) - risk(theta - 1e-6 * e)) / 2e-6 for e in np.eye(6)])
+            m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+            theta = theta - toxicity.RATE * (1 - (t - 1) / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        np.testing.assert_allclose([*weights, bias], theta, atol=1e-2)  # differences are noisy where the sign turns
+        assert (back > 0) == (prior == 0.7)
+
+
 def test_tokens_edges(spark, edge, empty):
     import public_tokenizers
 
