@@ -146,11 +146,13 @@ class Words(dict):
 
     An unknown pre-token is noted and stands for itself until it is learnt, so that each place in a
     text costs one look-up. Entries are of two generations: what is not asked for in one is forgotten
-    with the next.
+    with the next. ``room`` is how many there are at most, about, ``block`` how many characters of text are
+    looked at together.
     """
 
-    def __init__(self):
+    def __init__(self, room: int | None = None, block: int | None = None):
         super().__init__()
+        self.room, self.block = room or CACHED, block or BLOCK
         self.new: list[str] = []
         self.old: dict[str, bytes] = {}
 
@@ -235,8 +237,8 @@ def encode(texts: list[str], path: str, pattern: str, words: Words | None = None
 def encode_blocks(texts: list[str], split, words: Words, learn) -> list[bytes]:
     """Joins what ``words`` holds for the parts of every text; ``learn`` fills in the parts that a block of texts brings."""
     out: list[bytes] = []
-    for block in blocks(texts):
-        if len(words) > CACHED // 2:
+    for block in blocks(texts, words.block):
+        if len(words) > words.room // 2:
             words.turn()
         try:
             found = [list(map(words.__getitem__, split(t))) for t in block]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nodeloom.llm._common import forgets, fresh, quoted, stored, worker_cache
-from nodeloom.llm.byte_bpe import CACHED, Merges, Words, encode_blocks, foreign, splitter
+from nodeloom.llm.byte_bpe import Merges, Words, encode_blocks, foreign, splitter
 
 SIZE, SEPARATOR = 4096, 1
 #: Anything but ASCII print, white space and those letters and signs of the Latin blocks that are in
@@ -96,12 +96,12 @@ def load(path: str):
 class Chunks(Words):
     """Lower-case chunk without white space to its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self):
-        super().__init__()
-        self.parts = Words()  # the same for the pre-tokens that chunks consist of
+    def __init__(self, room: int | None = None, block: int | None = None):
+        super().__init__(room, block)
+        self.parts = Words(room)  # the same for the pre-tokens that chunks consist of
 
     def learn(self, words: list[str], merges: WordMerges) -> None:
-        if len(self.parts) > CACHED // 8:
+        if len(self.parts) > self.room // 8:
             self.parts.turn()
         known = self.parts
         found = [self.split(c) for c in words]
@@ -114,9 +114,9 @@ class Chunks(Words):
 forgets.append(load.cache_clear)
 
 
-def worker_chunks(path: str) -> Chunks:
+def worker_chunks(path: str, room: int | None = None, block: int | None = None) -> Chunks:
     """The cache of this Python worker; it outlives a task."""
-    return worker_cache(f"packing {path}", Chunks)
+    return worker_cache(f"packing {path} {room} {block}", lambda: Chunks(room, block))
 
 
 def token_bytes(texts: list[str], path: str, chunks: Chunks) -> list[bytes]:
@@ -140,13 +140,13 @@ PIECES = T.StructType(
 )
 
 
-def pieces(df: DataFrame, path: str, id_col: str, text_col: str, size: int, separator: int, with_ids: bool) -> DataFrame:
+def pieces(df: DataFrame, path: str, id_col: str, text_col: str, size: int, separator: int, with_ids: bool, room: int | None = None, block: int | None = None) -> DataFrame:
     """One row per piece; ``rank`` numbers the pieces of one length within the task that wrote them."""
     schema = T.StructType([df.schema[id_col], *(f for f in PIECES.fields if with_ids or f.name != "ids")])
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches):
-        task, seen, chunks = TaskContext.get().partitionId(), {}, worker_chunks(path)
+        task, seen, chunks = TaskContext.get().partitionId(), {}, worker_chunks(path, room, block)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             rows = {n: [] for n in schema.names[1:]}
@@ -267,13 +267,16 @@ def best_fit_packing(
     size: int = SIZE,
     separator: int = SEPARATOR,
     with_ids: bool = False,
+    room: int | None = None,
+    block: int | None = None,
 ) -> DataFrame:
     """Packs every document of ``df``; one row per piece with its sequence and offset there.
 
-    ``with_ids`` adds the ids themselves as little-endian unsigned 32-bit integers.
+    ``with_ids`` adds the ids themselves as little-endian unsigned 32-bit integers. ``room`` and ``block``
+    bound what a worker keeps of the chunks it has seen, and the text it looks at together; they change no result.
     """
     spark = df.sparkSession
-    rows = stored(pieces(df, path, id_col, text_col, size, separator, with_ids), "pieces")
+    rows = stored(pieces(df, path, id_col, text_col, size, separator, with_ids, room, block), "pieces")
     by_task = rows.groupBy("task", "length").agg(F.count("*").alias("__n"))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most `size` rows
     table = spark.sparkContext.broadcast(slots(plan(counts, size)))
