@@ -453,6 +453,39 @@ def test_a_core_with_many_contexts_is_cut_finer(spark):
     assert [got[i] for i in range(len(rows))] == want
 
 
+def plain_passages(rows, length, words):
+    """What is left without repeated strings of ``length`` bytes and repeated passages of ``words`` words."""
+    starts = collections.Counter(d[i : i + length] for d in rows for i in range(len(d) - length + 1))
+    passages = collections.Counter(tuple(w[i : i + words]) for w in map(bytes.split, rows) for i in range(len(w) - words + 1))
+    out = []
+    for d in rows:
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - length + 1):
+            if starts[d[i : i + length]] > 1:
+                gone[i : i + length] = True
+        found = [m.span() for m in re.finditer(rb"[^ \t-\r]+", d)]
+        for i in range(len(found) - words + 1):
+            if passages[tuple(d[a:b] for a, b in found[i : i + words])] > 1:
+                gone[found[i][0] : found[i + words - 1][1]] = True
+        out.append(bytes(x for x, g in zip(d, gone, strict=True) if not g).decode("utf-8", "ignore"))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_passages_of_few_bytes_go(spark, hot):
+    """51 to 70 short words between words of their own; with 50 words a passage stays, and so does one that stands once."""
+    planted = [prose(100 + n, n) for n in (50, 51, 60, 70)]
+    short = [" ".join(w[:2] for w in prose(200 + i, 53).split()) for i in range(2)]
+    rows = [f"{prose(2 * i, 30)} {p} {prose(2 * i + 1, 30)}" for i, p in enumerate(planted * 2 + short * 2)]
+    rows += [planted[1].replace(" ", " \n"), planted[0], "é\t" + planted[2][:150], prose(7, 400), "", " \t ", short[0], short[0], "a " * 60, "b " * 49, "x" * 500]
+    want = plain_passages([t.encode() for t in rows], 400, 51)
+    assert sum(a != b for a, b in zip(rows, want, strict=True)) == 15 and max(len(p.encode()) for p in planted[1:3] + short) < 400
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string").repartition(4)
+    got = {x["doc_id"]: x for x in suffix_dedup.remove_repeats(df, words=51, hot=hot, with_kept=True).collect()}
+    assert [got[i]["kept"] for i in range(len(rows))] == want
+    assert all(got[i]["n_bytes"] - got[i]["n_removed"] == len(w.encode()) for i, w in enumerate(want))
+
+
 def test_repeats_edges(spark, edge, empty):
     out = suffix_dedup.remove_repeats(edge, with_kept=True).collect()
     assert len(out) == 8

@@ -4,6 +4,7 @@ import collections
 import importlib
 import os
 import random
+import re
 import shutil
 import subprocess
 import sys
@@ -96,6 +97,32 @@ def test_repeats_go(stages):
         assert r["n_chars"] == len(r["text"])
 
 
+def test_passages_of_over_50_words_go(stages, spark):
+    """The corpus without passages loses every 51 words in a row that also stand elsewhere; most have under 400 bytes."""
+    assert [n for n, _ in corpus_pipeline.WITH_PASSAGES] == [n for n, _ in corpus_pipeline.STAGES]
+    _, given, plain = stages[2]
+    data = {r["doc_id"]: r["text"].encode() for r in given.collect()}
+    starts = collections.Counter(d[i : i + 400] for d in data.values() for i in range(len(d) - 399))
+    passages = collections.Counter(tuple(w[i : i + 51]) for w in map(bytes.split, data.values()) for i in range(len(w) - 50))
+    out = dict(corpus_pipeline.WITH_PASSAGES)["suffixes"](spark, given, SF)
+    assert out.columns == given.columns and [t for _, t in out.dtypes] == [t for _, t in given.dtypes]
+    got = {r["doc_id"]: r for r in out.collect()}
+    for k, d in data.items():
+        gone = [False] * len(d)
+        for i in range(len(d) - 399):
+            if starts[d[i : i + 400]] > 1:
+                gone[i : i + 400] = [True] * 400
+        spans = [m.span() for m in re.finditer(rb"[^ \t-\r]+", d)]
+        for i in range(len(spans) - 50):
+            if passages[tuple(d[a:b] for a, b in spans[i : i + 51])] > 1:
+                a, b = spans[i][0], spans[i + 50][1]
+                gone[a:b] = [True] * (b - a)
+        assert got[k]["text"] == bytes(x for x, g in zip(d, gone, strict=True) if not g).decode("utf-8", "ignore")
+        assert got[k]["n_chars"] == len(got[k]["text"])
+    before = {r["doc_id"]: r["text"] for r in plain.collect()}
+    assert sum(got[k]["text"] != before[k] for k in data) > 5
+
+
 def test_personal_data_is_masked(stages):
     _, given, out = stages[3]
     texts = {r["doc_id"]: r["text"] for r in given.collect()}
