@@ -13,10 +13,12 @@ every byte has a rank, so every text can be encoded, and decoding gives its UTF-
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
 import unicodedata
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -75,6 +77,14 @@ def load(path: str) -> ByteRanks:
     return ByteRanks(path)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """``x`` sorted, without repeats; sorts it in place."""
+    x.sort()
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def replay(ids: np.ndarray, lengths: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all words, by applying all merges in rank order to all words together.
 
@@ -115,7 +125,7 @@ def replay(ids: np.ndarray, lengths: np.ndarray, merges: Merges) -> tuple[np.nda
     while waiting:
         rank = heapq.heappop(waiting)
         parts = index.pop(rank)
-        places = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+        places = parts[0] if len(parts) == 1 else distinct(np.concatenate(parts))
         places = places[alive[places] & (ranked[places] == rank)]
         if not len(places):
             continue
@@ -134,9 +144,12 @@ def replay(ids: np.ndarray, lengths: np.ndarray, merges: Merges) -> tuple[np.nda
         before[following[inner]] = places[inner]
         ranked[places] = NONE
         left = before[places]
+        left[1:][left[1:] == places[:-1]] = -1  # merged places themselves
         left = left[left >= 0]
         ranked[left] = NONE
-        enter(np.unique(np.concatenate((left, places))))
+        places = np.concatenate((left, places))
+        places.sort()
+        enter(places)
     flat = ids[alive]
     return flat, np.concatenate(([0], np.cumsum(alive)))[np.concatenate(([0], ends))]
 
@@ -144,7 +157,7 @@ def replay(ids: np.ndarray, lengths: np.ndarray, merges: Merges) -> tuple[np.nda
 class Words(dict):
     """Pre-token to its ids as little-endian unsigned 32-bit integers.
 
-    An unknown pre-token is noted and stands for itself until it is learnt, so that each place in a
+    An unknown pre-token is noted with an empty array that is filled once it is learnt, so that each place in a
     text costs one look-up. Entries are of two generations: what is not asked for in one is forgotten
     with the next. ``room`` is how many there are at most, about, ``block`` how many characters of text are
     looked at together.
@@ -153,7 +166,7 @@ class Words(dict):
     def __init__(self, room: int | None = None, block: int | None = None):
         super().__init__()
         self.room, self.block = room or CACHED, block or BLOCK
-        self.new: list[str] = []
+        self.new: dict[str, bytearray] = {}
         self.old: dict[str, bytes] = {}
 
     def turn(self) -> None:
@@ -162,7 +175,7 @@ class Words(dict):
         self.clear()
 
     def forget(self) -> None:
-        self.old, self.new = {}, []
+        self.old, self.new = {}, {}
         self.clear()
 
     def __missing__(self, word: str):
@@ -170,9 +183,8 @@ class Words(dict):
         if known is not None:
             self[word] = known
             return known
-        self.new.append(word)
-        self[word] = word
-        return word
+        self[word] = self.new[word] = later = bytearray()
+        return later
 
     def learn(self, words: list[str], merges) -> None:
         flat, bounds = replay(*merges.start([w.encode() for w in words]), merges)
@@ -224,7 +236,7 @@ def splitter(pattern: str):
     if r"\p" in plain:
         return slow
     fast, odd = re.compile(plain).findall, _NOT_LATIN
-    return lambda text: slow(text) if odd(text) else fast(text)
+    return lambda text: fast(text) if text.isascii() or not odd(text) else slow(text)
 
 
 def encode(texts: list[str], path: str, pattern: str, words: Words | None = None) -> list[bytes]:
@@ -234,6 +246,18 @@ def encode(texts: list[str], path: str, pattern: str, words: Words | None = None
     return encode_blocks(texts, split, words, lambda new: words.learn(new, merges))
 
 
+@contextmanager
+def no_cycles():
+    """Many lists are made here and none of them in a cycle: the collector need not look at them."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def encode_blocks(texts: list[str], split, words: Words, learn) -> list[bytes]:
     """Joins what ``words`` holds for the parts of every text; ``learn`` fills in the parts that a block of texts brings."""
     out: list[bytes] = []
@@ -241,17 +265,15 @@ def encode_blocks(texts: list[str], split, words: Words, learn) -> list[bytes]:
         if len(words) > words.room // 2:
             words.turn()
         try:
-            found = [list(map(words.__getitem__, split(t))) for t in block]
-            new, words.new = words.new, []
-            learn(new)
-            for parts in found:
-                try:
-                    out.append(b"".join(parts))
-                except TypeError:  # some were new
-                    out.append(b"".join([x if type(x) is bytes else words[x] for x in parts]))
-            for word in new:
-                if len(word) > LONGEST_KEPT:
-                    del words[word]
+            with no_cycles():
+                found = [list(map(words.__getitem__, split(t))) for t in block]
+                new, words.new = words.new, {}
+                learn(list(new))
+                for word, later in new.items():
+                    later[:] = words[word]
+                    if len(word) > LONGEST_KEPT:
+                        del words[word]
+                out += map(b"".join, found)
         except BaseException:
             words.forget()
             raise

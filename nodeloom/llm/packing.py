@@ -27,6 +27,7 @@ import os
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -104,8 +105,8 @@ class Chunks(Words):
         if len(self.parts) > self.room // 8:
             self.parts.turn()
         known = self.parts
-        found = [self.split(c) for c in words]
-        known.learn(list({p for parts in found for p in parts if p not in known and p not in known.old}), merges)
+        found = [[c] if c.isascii() and c.isalpha() else self.split(c) for c in words]
+        known.learn([p for p in set(chain.from_iterable(found)) if p not in known and p not in known.old], merges)
         self.update(zip(words, [known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for p in found], strict=True))
 
     split = staticmethod(splitter(_SPLIT))
