@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeloom.llm._common import forgets, fresh, quoted, stored, worker_cache
+from nodeloom.llm._common import forgets, fresh, in_parts, quoted, stored, worker_cache
 from nodeloom.llm.byte_bpe import Merges, Words, encode_blocks, foreign, splitter
 
 SIZE, SEPARATOR = 4096, 1
@@ -148,7 +148,7 @@ def pieces(df: DataFrame, path: str, id_col: str, text_col: str, size: int, sepa
 
     def run(batches):
         task, seen, chunks = TaskContext.get().partitionId(), {}, worker_chunks(path, room, block)
-        for batch in batches:
+        for batch in batches if block is None else (part for whole in batches for part in in_parts(whole, 1, block)):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             rows = {n: [] for n in schema.names[1:]}
             source = []

@@ -6,10 +6,12 @@ import hashlib
 import os
 import random
 import re
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,6 +121,26 @@ def test_replay_merges_in_any_chain():
     assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
 
 
+def test_packing_bounds_the_text_held_at_once(spark, monkeypatch):
+    """With ``block``, a worker encodes a large batch in parts of about as many characters; the pieces are the same."""
+    rows = [None, "", prose(3, 900), *(prose(i, 30 + i % 7) for i in range(200)), "日本 é" * 40, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.string())], names=["doc_id", "text"])
+    df, held, encode = spark.createDataFrame([], "doc_id long, text string"), [], packing.token_bytes
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    monkeypatch.setattr(packing, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing, "token_bytes", lambda texts, *a: held.append(sum(map(len, texts))) or encode(texts, *a))
+
+    def made(block):
+        held.clear()
+        found = packing.pieces(df, WORDS, "doc_id", "text", 64, 1, True, 100, block)(iter([batch, batch.slice(0, 0), batch]))
+        return [r for b in found for r in b.to_pylist()]
+
+    whole = made(None)
+    assert len(whole) > 2 * len(rows) and max(held) == sum(len(t or "") for t in rows)
+    assert made(1_000) == whole
+    assert sum(held) == 2 * sum(len(t or "") for t in rows) and max(held) <= 1_000 + max(len(t or "") for t in rows)
+
+
 def test_word_ids_as_the_library():
     tokenizer, merges, _ = packing.load(WORDS)
     assert merges is not None
