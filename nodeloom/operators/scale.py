@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nodeloom.operators import nearest
+
 FEATURE = "feature_idx"
 
 
@@ -38,7 +41,7 @@ def impute(df: DataFrame, strategy: str = "mean", fill: float = 0.0, by: str = F
     return filled(df, fills(df, strategy, by), by)
 
 
-#: Rows that look for neighbours, and rows that are looked at, in one task.
+#: Rows in one box or block that neighbours are sought in.
 NEAREST_ROWS = 2_048
 
 
@@ -47,12 +50,39 @@ def impute_nearest(df: DataFrame, key: str, k: int = 5, by: str = FEATURE, rows:
 
     Distances are Euclidean over shared features, scaled up for those not shared; rows that share none
     are no neighbours, and a feature without neighbours gets its mean. Only rows with a null look for
-    neighbours. They look at all rows, in blocks of about ``rows`` that meet two by two; a pair of blocks
-    gives its ``k`` nearest, never its pairs.
+    neighbours. Over few features they are sought in boxes of space (``nearest``), so that the work grows
+    with the rows; over many, where space has no boxes to leave out, rows look at all rows, in blocks of
+    about ``rows`` that meet two by two; a pair of blocks gives its ``k`` nearest, never its pairs.
     """
-    means = (df if among is None else among).groupBy(by).agg(F.avg("value").alias("__mean")).where("__mean is not null")
-    df = df.join(means, by)
+    means = (df if among is None else among).groupBy(by).agg(F.avg("value").alias("__mean")).where("__mean is not null").persist()
     names = sorted(r[0] for r in means.select(by).collect())
+    df = df.join(F.broadcast(means), by)
+    found = _in_boxes(df, among, key, k, by, names, rows) if 0 < len(names) <= nearest.FEW_FEATURES else None
+    if found is None:
+        found = _in_blocks(df, among, means, key, k, by, names, rows)
+    filled = df.join(found, [key, by], "left")
+    return filled.withColumn("value", F.coalesce("value", "__fill", "__mean")).drop("__fill", "__mean")
+
+
+def _in_boxes(df: DataFrame, among: DataFrame | None, key: str, k: int, by: str, names: list, rows: int) -> DataFrame | None:
+    """(key, by, __fill) of what rows lack; None if rows know too many different sets of features."""
+    number = F.when(~F.isnan(F.col("value").cast("double")), F.col("value").cast("double"))
+    cells = [F.max(F.when(F.col(by) == n, number)).alias(f"x{j}") for j, n in enumerate(names)]
+    known = reduce(lambda a, b: a + b, (F.when(F.col(f"x{j}").isNotNull(), 1 << j).otherwise(0) for j in range(len(names)))).cast("int")
+    wide = lambda t: t.groupBy(key).agg(*cells, F.max(F.col("value").isNull()).alias("seeks")).withColumn("known", known).persist()
+    packed = wide(df)
+    offered = packed if among is None else wide(among)
+    sets = lambda t: {r["known"]: r["n"] for r in t.groupBy("known").agg(F.count("*").alias("n")).collect()}
+    pairs = nearest.searches(sets(packed.where("seeks")), sets(offered))
+    if len(pairs) > nearest.FEW_SEARCHES:
+        return None
+    place = df.sparkSession.createDataFrame(list(enumerate(names)), f"place int, `{by}` {dict(df.dtypes)[by]}")
+    found = nearest.found_in_boxes(packed.where("seeks"), offered, key, k, len(names), pairs, rows) if pairs else packed.where("false").select(key, F.lit(0).alias("place"), F.lit(0.0).alias("fill"))
+    return found.join(F.broadcast(place), "place").select(key, by, F.col("fill").alias("__fill"))
+
+
+def _in_blocks(df: DataFrame, among: DataFrame | None, means: DataFrame, key: str, k: int, by: str, names: list, rows: int) -> DataFrame:
+    """(key, by, __fill) of what rows lack, by comparing all rows in blocks."""
     kinds = dict(df.dtypes)
     cells = F.collect_list(F.struct(F.col(by).alias("f"), F.col("value").cast("double").alias("v")))
     packed = df.groupBy(key).agg(cells.alias("x"), F.max(F.col("value").isNull()).alias("seeks"))
@@ -73,7 +103,7 @@ def impute_nearest(df: DataFrame, key: str, k: int = 5, by: str = FEATURE, rows:
                     out[r, place[cell["f"]]] = cell["v"]
         return out
 
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def compared(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("__b")  # of equal distances the smallest key
         x, y, mine, theirs = dense(a["x"]), dense(b["x"]), a["__a"].to_numpy(), b["__b"].to_numpy()
         out = []
@@ -90,11 +120,10 @@ def impute_nearest(df: DataFrame, key: str, k: int = 5, by: str = FEATURE, rows:
         return pd.DataFrame(out, columns=["__a", by, "__d", "__b", "__y"])
 
     schema = f"__a {kinds[key]}, `{by}` {kinds[by]}, __d double, __b {kinds[key]}, __y double"
-    offers = seekers.groupBy("i", "j").cogroup(looked_at.groupBy("i", "j")).applyInPandas(lambda a, b: nearest(a, b), schema)
+    offers = seekers.groupBy("i", "j").cogroup(looked_at.groupBy("i", "j")).applyInPandas(lambda a, b: compared(a, b), schema)
     first = Window.partitionBy("__a", by).orderBy("__d", "__b")
     found = offers.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k).groupBy("__a", by).agg(F.avg("__y").alias("__fill"))
-    filled = df.join(found.withColumnRenamed("__a", key), [key, by], "left")
-    return filled.withColumn("value", F.coalesce("value", "__fill", "__mean")).drop("__fill", "__mean")
+    return found.withColumnRenamed("__a", key)
 
 
 def spreads(df: DataFrame, how: str = "standard", by: str = FEATURE) -> DataFrame:

@@ -693,3 +693,41 @@ def test_the_package_as_an_archive(tmp_path):
     (tmp_path / "nodeloom.zip").write_bytes(shipping.archive())
     code = "import nodeloom.operators.reshape, nodeloom.plans.pipeline, sys; assert 'nodeloom.zip' in nodeloom.__file__"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path / "nodeloom.zip")}, check=True, timeout=120)
+
+
+def test_neighbours_in_boxes(spark):
+    """Boxes of few offers, ties on whole numbers, and another table that is searched, which holds rows of the same keys."""
+    random = np.random.default_rng(11)
+    x = np.column_stack((random.normal(size=400), random.integers(0, 4, 400), random.integers(0, 5, 400)))
+    x[random.random(x.shape) < 0.2] = np.nan
+    long = lambda rows: spark.createDataFrame([(i, j, None if np.isnan(v) else float(v)) for i, row in rows for j, v in enumerate(row)], "k int, feature_idx int, value double")
+    y = np.where(np.isnan(x), random.integers(0, 3, x.shape), x)[:300]
+    for among, offers in ((None, x), (long(enumerate(y)), y)):
+        got = {(r["k"], r["feature_idx"]): r["value"] for r in scale.impute_nearest(long(enumerate(x)), "k", 3, rows=16, among=among).collect()}
+        for i, j in itertools.product(range(400), range(3)):
+            want = x[i, j]
+            if np.isnan(want):
+                square = (offers - x[i]) ** 2
+                near = sorted((np.nansum(square[b]) * 3 / n, b) for b in range(len(offers)) if b != i and (n := (~np.isnan(square[b])).sum()) and not np.isnan(offers[b, j]))
+                want = np.mean([offers[b, j] for _, b in near[:3]]) if near else np.nanmean(offers[:, j])
+            assert math.isclose(got[i, j], want, abs_tol=1e-9)
+
+
+def test_neighbours_are_not_compared_with_all_rows(spark, monkeypatch):
+    """The distances that are taken grow with the rows, not with their square."""
+    from nodeloom.operators import nearest
+
+    counted, plain = spark.sparkContext.accumulator(0), nearest.closest
+
+    def closest(z, y, *rest):
+        counted.add(len(z) * len(y))
+        return plain(z, y, *rest)
+
+    monkeypatch.setattr(nearest, "closest", closest)
+    taken = []
+    for n in (2_000, 4_000):
+        random, before = np.random.default_rng(n), counted.value
+        rows = [(i, j, None if j == 2 and i % 4 == 0 else float(v)) for i, row in enumerate(random.random((n, 3))) for j, v in enumerate(row)]
+        scale.impute_nearest(spark.createDataFrame(rows, "k int, feature_idx int, value double"), "k", 3, rows=64).count()
+        taken.append(counted.value - before)
+    assert 0 < taken[0] < 2_000 * 500 / 4 and taken[1] < 3 * taken[0]
