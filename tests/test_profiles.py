@@ -731,3 +731,48 @@ def test_neighbours_are_not_compared_with_all_rows(spark, monkeypatch):
         scale.impute_nearest(spark.createDataFrame(rows, "k int, feature_idx int, value double"), "k", 3, rows=64).count()
         taken.append(counted.value - before)
     assert 0 < taken[0] < 2_000 * 500 / 4 and taken[1] < 3 * taken[0]
+
+
+def test_assignment_on_a_line():
+    random = np.random.default_rng(3)
+    for n, m in [*random.integers(1, 12, (300, 2)).tolist(), (60, 200), (200, 60)]:
+        a, b = (random.integers(0, 20, k).astype(float) if n % 2 else random.random(k) for k in (n, m))
+        cost = np.abs(np.subtract.outer(a, b))
+        r, c = match.assign_on_line(a, b)
+        assert len(set(r.tolist())) == len(set(c.tolist())) == min(n, m)
+        assert math.isclose(cost[r, c].sum(), cost[match.assign(cost)].sum(), abs_tol=1e-9)
+
+
+def test_large_blocks_on_a_line_are_matched(spark):
+    """16,000 by 4,000 units of one block have more pairs than a matrix may have."""
+    df = spark.range(20_000).select("id", (F.col("id") % 5 == 0).alias("status"), F.sqrt("id").alias("f"), F.lit(1.0).alias("g"), F.lit(0).alias("b"))
+    both = df.withColumn("g", F.col("b") + (F.col("id") % 2)).where("id < 100").withColumn("b", F.lit(1)).withColumn("id", F.col("id") + 20_000)
+    out = match.mahalanobis_match(df.unionByName(both), "status", "id", ["f", "g"], 100.0, "b").where("b = 0")
+    assert out.count() == 8_000 and out.select("id").distinct().count() == 8_000
+
+
+def test_pairs_within_a_distance(spark, monkeypatch):
+    """The near pairs are those of all pairs, for features that hang together, and all pairs are made in pieces."""
+    random = np.random.default_rng(8)
+    x = random.normal(size=(300, 3)) @ np.array([[2.0, 1.0, 0.0], [0.0, 0.5, 0.3], [0.0, 0.0, 0.1]])
+    df = spark.createDataFrame([(i, i % 3 == 0, *map(float, v)) for i, v in enumerate(x)], "k int, status boolean, a double, b double, c double")
+    test, control = match.split_by_status(df, "status")
+    names = ["a", "b", "c"]
+    inverse = match.precision(df, names)
+    want = {(i, j): math.sqrt(max((x[i] - x[j]) @ inverse @ (x[i] - x[j]), 0)) for i in range(0, 300, 3) for j in range(300) if j % 3}
+    every = match.pair_distances(test, control, names, inverse, "k")
+    got = {(r["test_id"], r["ctrl_id"]): r["dist"] for r in every.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[p], want[p], abs_tol=1e-9) for p in want) and every.rdd.getNumPartitions() > 1
+    for within in (0.4, 1.5):
+        near = match.pair_distances(test, control, names, inverse, "k", within)
+        assert {(r["test_id"], r["ctrl_id"]) for r in near.collect()} == {p for p, d in want.items() if d <= within}
+        assert "NestedLoop" not in near._jdf.queryExecution().toString() and "Cartesian" not in near._jdf.queryExecution().toString()
+
+
+def test_places_in_an_order(spark):
+    from nodeloom.operators.ranks import numbered
+
+    df = spark.range(1_000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 50 != 7, (F.col("id") * 7 % 500).cast("string")).alias("k"), "id")
+    got = numbered(df, ["k", "id"], ["g"], rows=100)
+    plain = df.withColumn("w", F.expr("row_number() over (partition by g order by k, id) - 1")).withColumn("t", F.expr("count(*) over (partition by g)"))
+    assert got.select("g", "k", "id", "__i", "__n").exceptAll(plain).count() == 0 and got.count() == 1_000
