@@ -173,7 +173,7 @@ def found_in_boxes(seekers: DataFrame, offered: DataFrame, key: str, k: int, p:
     value = lambda i: F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda j: F.get("ys", i * p + j))
     listed = first.unionByName(more).where(F.size("ds") > 0).select("s", *zs, F.transform("ds", lambda d, i: F.struct(d.alias("d"), F.get("bs", i).alias("b"), value(i).alias("y"))).alias("o"))
     answers = listed.groupBy("s", *zs).agg(F.slice(F.array_sort(F.flatten(F.collect_list("o"))), 1, k + 1).alias("o"))
-    whole = asks.join(answers, ["s", *zs]).groupBy(key).agg(F.first("known").alias("known"), F.array_sort(F.flatten(F.collect_list("o"))).alias("o"))
+    whole = asks.join(answers.hint("merge"), ["s", *zs]).groupBy(key).agg(F.first("known").alias("known"), F.array_sort(F.flatten(F.collect_list("o"))).alias("o"))
 
     def mean(j: int):
         best = F.slice(F.filter("o", lambda t: F.get(t["y"], F.lit(j)).isNotNull() & ~F.isnan(F.get(t["y"], F.lit(j))) & (t["b"] != F.col(key))), 1, k)

@@ -7,11 +7,14 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.functions import hashrand
+from nodeloom.operators.ranks import numbered
 from nodeloom.plans.estimators import make
+from nodeloom.plans.fitted import SUMMED, fit_from, sums_by
+from nodeloom.plans.spilled import Spilled
 
 
 def draws(rows: DataFrame, n_estimators: int, share: float = 1.0, stratify: str | None = None, replace: bool = True, seed: int = 0, key: str = "subjectID", first: int = 0) -> DataFrame:
@@ -22,19 +25,17 @@ def draws(rows: DataFrame, n_estimators: int, share: float = 1.0, stratify: str
     """
     if not 0 < share <= 1:
         raise ValueError("the share of rows must be in (0, 1]")
-    strata = [stratify] if stratify else []
-    members = rows.withColumn("estimator", F.explode(F.sequence(F.lit(first), F.lit(first + n_estimators - 1))))
-    by = Window.partitionBy("estimator", *strata)
+    strata, every = [stratify] if stratify else [], F.explode(F.sequence(F.lit(first), F.lit(first + n_estimators - 1)))
     if not replace:
-        order = by.orderBy(hashrand.uniform("bag", seed, F.col("estimator"), F.col(key)), key)
-        ranked = members.withColumn("__k", F.row_number().over(order)).withColumn("__n", F.count("*").over(by))
-        return ranked.where(F.col("__k") <= F.floor(F.col("__n") * share)).drop("__k", "__n").withColumn("weight", F.lit(1).cast("long"))
-    ranked = members.withColumn("__i", F.row_number().over(by.orderBy(key)) - 1).withColumn("__n", F.count("*").over(by))
-    sizes = ranked.select("estimator", *strata, "__n").distinct()
-    slots = sizes.withColumn("__slot", F.explode(F.sequence(F.lit(1), F.greatest(F.floor(F.col("__n") * share), F.lit(1)).cast("int"))))
-    drawn = slots.withColumn("__i", F.floor(hashrand.uniform("boot", seed, F.col("estimator"), F.col("__slot"), *(F.col(s) for s in strata)) * F.col("__n")).cast("int"))
+        members = rows.withColumn("estimator", every)
+        ranked = numbered(members.withColumn("__u", hashrand.uniform("bag", seed, F.col("estimator"), F.col(key))), ["__u", key], ["estimator", *strata])
+        return ranked.where(F.col("__i") < F.floor(F.col("__n") * share)).select(*members.columns, F.lit(1).cast("long").alias("weight"))
+    ranked = numbered(rows, [key], strata)  # places are the same for all estimators
+    slots = ranked.select(*strata, "__n", (F.col("__i") + 1).alias("__slot")).where(F.col("__slot") <= F.greatest(F.floor(F.col("__n") * share), F.lit(1))).withColumn("estimator", every)
+    drawn = slots.withColumn("__i", F.floor(hashrand.uniform("boot", seed, F.col("estimator"), F.col("__slot"), *(F.col(s) for s in strata)) * F.col("__n")).cast("long"))
     counts = drawn.groupBy("estimator", *strata, "__i").agg(F.count("*").alias("weight"))
-    return ranked.join(counts, ["estimator", *strata, "__i"]).drop("__i", "__n")
+    # merged, as the planner takes the draws of many estimators for as small as the table they are drawn from, and would broadcast them
+    return ranked.join(counts.hint("merge"), [*strata, "__i"]).select(*rows.columns, "estimator", "weight")
 
 
 def mean_of(members: DataFrame, column: str, keys=("sample", "class")) -> DataFrame:
@@ -50,8 +51,10 @@ def log_mean_of(members: DataFrame, column: str, keys=("sample", "class")) -> Da
 class Bagging:
     """An ensemble of one kind of estimator on bootstrap draws of rows and features.
 
-    Classifiers are drawn within classes, regressors are not. Each member is fitted by one task on its
-    draw, which must fit there; the fitted members, few and small, are held by the driver and broadcast.
+    Classifiers are drawn within classes, regressors are not. Members with ``fit_sums`` on up to ``SUMMED``
+    features are fitted from sums that batches are reduced to. Others are fitted by one task each, which
+    has its draw in a file beside it if it is large; estimators that are not ``in_blocks`` read it whole.
+    The fitted members, few and small, are held by the driver and broadcast.
     """
 
     def __init__(self, estimator="ridge", n_estimators: int = 10, max_samples: float = 1.0, max_features: float = 1.0, bootstrap: bool = True, bootstrap_features: bool = False, oob_score: bool = False, warm_start: bool = False, seed: int = 0, **params):
@@ -82,22 +85,51 @@ class Bagging:
         rows = matrix.select(F.col(key).alias("__key"), F.col(x).alias("__x"), F.col(y).alias("__y"))
         sample = draws(rows, self.n_estimators - have, self.max_samples, "__y" if self.kind == "classifier" else None, self.bootstrap, self.seed, "__key", have)
 
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            member = int(pdf["estimator"].iloc[0])
-            pdf = pdf.sort_values("__key")
-            values = np.stack(pdf["__x"].to_numpy()).astype(float)
-            columns = self.columns_of(member, values.shape[1])
-            model = make(self.estimator, **self.params).fit(values[:, columns], pdf["__y"].to_numpy(), pdf["weight"].to_numpy(float))
-            return pd.DataFrame({"estimator": [member], "model": [pickle.dumps((columns, model))]})
-
-        fitted = sample.groupBy("estimator").applyInPandas(one, "estimator int, model binary").orderBy("estimator").collect()
-        self.members += [pickle.loads(r["model"]) for r in fitted]
+        if self.oob:
+            sample = sample.persist()
+        width = rows.agg(F.max(F.size("__x"))).first()[0] or 0
+        numeric = dict(rows.dtypes)["__y"] in ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean")
+        if hasattr(make(self.estimator, **self.params), "fit_sums") and numeric and 0 < width <= SUMMED:
+            sums = sums_by(sample, "estimator", width, F.col("weight"))
+            for member in range(have, self.n_estimators):
+                columns = self.columns_of(member, width)
+                self.members.append((columns, fit_from(make(self.estimator, **self.params), sums[member], sums[None], columns)))
+        else:
+            self.members += self._fitted(sample, self.n_estimators - have)
         if self.oob:
             self.oob_score_ = self._oob(matrix, sample, x, y, key)
+            sample.unpersist()
         return self
 
+    def _fitted(self, sample: DataFrame, n: int) -> list:
+        """Members fitted on their rows, which come to a task in batches, in the order of their keys."""
+
+        def model_of(member, columns, values, truth, weight) -> bytes:
+            found = make(self.estimator, **self.params)
+            return pickle.dumps((columns, found.fit(values if getattr(found, "in_blocks", False) else np.asarray(values), np.concatenate(truth), np.concatenate(weight))))
+
+        def run(batches):
+            member, held = None, None
+            for pdf in batches:
+                for name, part in pdf.groupby("estimator", sort=True):
+                    values = np.stack(part["__x"].to_numpy()).astype(float)
+                    if name != member:
+                        if held is not None:
+                            yield pd.DataFrame({"estimator": [member], "model": [model_of(member, *held)]})
+                        columns = self.columns_of(int(name), values.shape[1])
+                        member, held = int(name), (columns, Spilled(len(columns)), [], [])
+                    held[1].append(values[:, held[0]])
+                    held[2].append(part["__y"].to_numpy())
+                    held[3].append(part["weight"].to_numpy(float))
+            if held is not None:
+                yield pd.DataFrame({"estimator": [member], "model": [model_of(member, *held)]})
+
+        dealt = sample.select("estimator", "__key", "__x", "__y", "weight").repartition(4 * n, "estimator").sortWithinPartitions("estimator", "__key")
+        fitted = dealt.mapInPandas(run, "estimator int, model binary").orderBy("estimator").collect()
+        return [pickle.loads(r["model"]) for r in fitted]
+
     def _oob(self, matrix, sample, x, y, key) -> float:
-        out = self._each(matrix, x, key, y).join(sample.select(F.col("__key").alias("sample"), "estimator").distinct(), ["sample", "estimator"], "left_anti")
+        out = self._each(matrix, x, key, y).join(sample.select(F.col("__key").alias("sample"), "estimator").hint("merge"), ["sample", "estimator"], "left_anti")
         if self.kind == "classifier":
             best = mean_of(out, "value", ("sample", "class", "y")).groupBy("sample", "y").agg(F.max_by("class", "value").alias("class"))
             return float(best.agg(F.avg((F.col("class") == F.col("y").cast("string")).cast("double"))).first()[0])

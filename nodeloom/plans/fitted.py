@@ -6,7 +6,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.plans.estimators import make
@@ -16,6 +16,52 @@ from nodeloom.plans.estimators import make
 SUMMED = 512
 
 
+def sums_by(rows: DataFrame, by: str, width: int, weight: Column | None = None) -> dict[object, np.ndarray]:
+    """For each ``by``, what linear models need of (__x, __y): sums about common means, as tasks and then the driver add them up.
+
+    The sums are rows, weights, weighted x, weighted y, y squared and, from place ``width`` + 4, the products of x
+    and y with x. Only sums leave a task, whatever the number of rows.
+    """
+    kind = dict(rows.dtypes)[by]
+    flat = rows.select(F.col(by).alias("__by"), "__x", F.col("__y").cast("double").alias("__y"), (F.lit(1.0) if weight is None else weight).cast("double").alias("__w"))
+
+    def added(reduce, parts: int) -> dict:
+        def run(batches):
+            total = {}
+            for pdf in batches:
+                for name, part in pdf.groupby("__by", sort=False):
+                    found = reduce(np.stack(part["__x"].to_numpy()).astype(float), part["__y"].to_numpy(), part["__w"].to_numpy())
+                    total[name] = total[name] + found if name in total else found
+            if total:
+                yield pd.DataFrame({"__by": list(total), "sums": list(total.values())})
+
+        each = flat.mapInPandas(run, f"__by {kind}, sums array<double>")
+        got = each.select("__by", F.posexplode("sums").alias("i", "s")).groupBy("__by", "i").agg(F.sum("s").alias("s")).toPandas()
+        out = {name: np.zeros(parts) for name in got["__by"].unique()}
+        for name, part in got.groupby("__by"):
+            out[name][part["i"].to_numpy(int)] = part["s"].to_numpy(float)
+        return out
+
+    one = sum(added(lambda x, y, w: np.concatenate(([len(x)], x.sum(0), [y.sum()])), width + 2).values())
+    center = one[1:] / one[0]
+
+    def about(x, y, w):
+        d = np.column_stack((x, y)) - center
+        return np.concatenate(([len(x), w.sum()], w @ d, [w @ d[:, -1] ** 2], (d.T @ (d[:, :-1] * w[:, None])).reshape(-1)))
+
+    return {None: center} | added(about, width + 4 + width * (width + 1))
+
+
+def fit_from(model, sums: np.ndarray, center: np.ndarray, columns: np.ndarray | None = None):
+    """A model with ``fit_sums`` fitted from sums of ``sums_by``, on some of the features."""
+    width = len(center) - 1
+    columns = np.arange(width) if columns is None else columns
+    w, by = sums[1], sums[2 : width + 3]
+    products = sums[width + 4 :].reshape(width + 1, width) - np.outer(by, by[:-1]) / w
+    means = center + by / w
+    return model.fit_sums(w, means[columns], means[-1], products[np.ix_(columns, columns)], products[-1, columns])
+
+
 class Fitted:
     """fit, predict and score of an estimator of ``estimators`` on (key, x, y) tables.
 

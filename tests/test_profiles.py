@@ -776,3 +776,37 @@ def test_places_in_an_order(spark):
     got = numbered(df, ["k", "id"], ["g"], rows=100)
     plain = df.withColumn("w", F.expr("row_number() over (partition by g order by k, id) - 1")).withColumn("t", F.expr("count(*) over (partition by g)"))
     assert got.select("g", "k", "id", "__i", "__n").exceptAll(plain).count() == 0 and got.count() == 1_000
+
+
+def test_members_fit_from_sums_and_from_files(spark, monkeypatch):
+    """Bags of linear models equal those of rows, and rows that are read from a file give the same as rows in memory."""
+    from nodeloom.plans import spilled
+    from nodeloom.plans.estimators import Logistic, Ridge
+
+    random = np.random.default_rng(6)
+    x = random.normal(5, 1, size=(300, 3))
+    y = x @ np.array([1.0, -2.0, 0.5]) + random.normal(size=300)
+    df = spark.createDataFrame([(f"s{i:03d}", v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "k string, x array<double>, y double")
+    drawn = bagging.draws(df, 3, 0.7, seed=5, key="k")
+    bag = bagging.Bagging("ridge", 3, 0.7, 0.7, seed=5).fit(df, "x", "y", "k")
+    for e, (columns, model) in enumerate(bag.members):
+        rows = drawn.where(F.col("estimator") == e).orderBy("k").collect()
+        assert sum(r["weight"] for r in rows) == 210
+        plain = Ridge().fit(np.array([r["x"] for r in rows])[:, columns], np.array([r["y"] for r in rows]), np.array([r["weight"] for r in rows]))
+        np.testing.assert_allclose(model.coef_, plain.coef_, atol=1e-9)
+        np.testing.assert_allclose(model.intercept_, plain.intercept_, atol=1e-8)
+    monkeypatch.setattr(spilled, "KEPT_BYTES", 2_000)
+    monkeypatch.setattr(spilled, "BLOCK_ROWS", 64)
+    file = spilled.Spilled(3)
+    for i in range(0, 300, 50):
+        file.append(x[i : i + 50])
+    assert file._file is not None and (np.asarray(file) == x).all() and len(list(file.blocks())) == 5
+    label, weight = (y > y.mean()).astype(int), random.integers(1, 4, 300).astype(float)
+    np.testing.assert_allclose(Logistic().fit(file, label, weight).coef_, Logistic().fit(x, label, weight).coef_, atol=1e-9)
+
+
+def test_draws_stand_in_no_single_row(spark):
+    """Slots are dealt over the rows; no task makes a list as long as the table, and none ranks all of it."""
+    df = spark.range(120_000).select(F.col("id").cast("string").alias("k"))
+    plan = bagging.draws(df, 2, key="k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(1" not in plan and "__bucket" in plan
