@@ -198,7 +198,8 @@ def false_discovery(tests: DataFrame, p: str = "p", by: Sequence[str] = (), tie:
     """
     every = Window.partitionBy(*by)
     up = every.orderBy(F.col(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    down = every.orderBy(F.col(p)).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the largest on: a frame that ends with the last row is computed anew for each row, one that grows is not
+    down = every.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = tests.withColumn("__raw", F.col(p) * F.count(p).over(every) / F.count(p).over(up))
     return ranked.withColumn("q", F.least(F.lit(1.0), F.min("__raw").over(down))).drop("__raw")
 
