@@ -823,3 +823,26 @@ def test_correction_of_many_tests_is_no_square(spark):
         mine = [t["p"] for t in rows if t["g"] == r["g"] and t["p"] is not None]
         if r["p"] is not None:
             assert math.isclose(got[r["i"]], min(1.0, min(v * len(mine) / sum(u <= v for u in mine) for v in mine if v >= r["p"])))
+
+
+def test_many_alignments_at_once(monkeypatch):
+    """Pairs of any lengths and windows align as one by one, and a batch of samples is aligned in a few calls."""
+    random = np.random.default_rng(9)
+    pairs = [(random.integers(0, 3, (random.integers(1, 9), 2)).astype(float), random.random((random.integers(1, 9), 2)), (None, 1, 3)[i % 3]) for i in range(90)]
+    for slope, shape in itertools.product(("symmetric", "asymmetric"), (False, True)):
+        for (a, b, window), (distance, p, q) in zip(pairs, series.warps(pairs, slope, shape), strict=True):
+            one = series.warp(a, b, slope, window, shape)
+            assert one[0] == distance and one[1].tolist() == p.tolist() and one[2].tolist() == q.tolist()
+            if len(p):
+                steps = set(zip(np.diff(p).tolist(), np.diff(q).tolist(), strict=True))
+                assert steps <= set(series.MOVES[slope]) and (p[-1], q[-1]) == (len(a) - 1, len(b) - 1)
+    calls, plain = [], augment.warps
+    monkeypatch.setattr(augment, "warps", lambda *rest, **more: calls.append(len(rest[0])) or plain(*rest, **more))
+
+    def change(own):
+        ((distance, _, _),) = yield [(own, own, None)], False
+        ((_, p, _),) = yield [(own, own, None)], True
+        return distance, len(p)
+
+    found = augment._aligned([change(a) for a, _, _ in pairs] + ["as it is"], "symmetric", False)
+    assert found == [(0.0, len(a)) for a, _, _ in pairs] + ["as it is"] and sum(calls) == 180 and len(calls) == 4
