@@ -9,9 +9,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.operators.ranks import numbered
 from nodeloom.plans.estimators import make, r2
 
 SCORERS: dict[str, Callable] = {
@@ -38,14 +39,15 @@ def scorers(scoring) -> dict[str, Callable]:
 
 def with_folds(rows: DataFrame, key: str, folds: int, stratify: str | None = None) -> DataFrame:
     """Adds ``fold``: parts of the rows in the order of their key, whose sizes differ by one at most; within classes if stratified."""
-    by = Window.partitionBy(stratify) if stratify else Window.partitionBy()
-    place = F.row_number().over(by.orderBy(key)) - 1
+    placed = numbered(rows, [key], [stratify] if stratify else [], "__place", "__rows")
+    place, n = F.col("__place"), F.col("__rows")
     if stratify:
-        return rows.withColumn("fold", (place % folds).cast("int"))
-    n = F.count("*").over(by)
-    size, longer = F.floor(n / folds), n % folds
-    border = longer * (size + 1)
-    return rows.withColumn("fold", F.when(place < border, F.floor(place / (size + 1))).otherwise(longer + F.floor((place - border) / F.greatest(size, F.lit(1)))).cast("int"))
+        fold = place % folds
+    else:
+        size, longer = F.floor(n / folds), n % folds
+        border = longer * (size + 1)
+        fold = F.when(place < border, F.floor(place / (size + 1))).otherwise(longer + F.floor((place - border) / F.greatest(size, F.lit(1))))
+    return placed.withColumn("fold", fold.cast("int")).drop("__place", "__rows")
 
 
 def fingerprint(rows: DataFrame) -> str:

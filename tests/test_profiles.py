@@ -846,3 +846,21 @@ def test_many_alignments_at_once(monkeypatch):
 
     found = augment._aligned([change(a) for a, _, _ in pairs] + ["as it is"], "symmetric", False)
     assert found == [(0.0, len(a)) for a, _, _ in pairs] + ["as it is"] and sum(calls) == 180 and len(calls) == 4
+
+
+def test_penalty_path_from_sums(spark, monkeypatch):
+    """Scores and zeros from sums of folds are those of rows, and the table never meets in one task."""
+    from nodeloom.plans import sgl
+
+    random = np.random.default_rng(12)
+    x = random.normal(3, 1, size=(90, 4))
+    y = x @ np.array([1.0, 0.0, -1.0, 0.0]) + random.normal(size=90)
+    df = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "k int, x array<double>, y double").repartition(4)
+    path = lambda: sgl.path(df, "x", "y", "k", [[0, 1], [2, 3]], [0.3, 0.05], [0.5, 1.0], 3)
+    scores = lambda found: {(r["alpha"], r["l1_ratio"], r["fold"]): (r["score"], r["n_nonzero"]) for r in found.collect()}
+    assert "FlatMapGroups" not in path()._jdf.queryExecution().toString()
+    got = scores(path())
+    monkeypatch.setattr(sgl, "SUMMED", 0)
+    want = scores(path())
+    assert len(got) == 12 and got.keys() == want.keys()
+    assert all(math.isclose(got[s][0], want[s][0], abs_tol=1e-5) and got[s][1] == want[s][1] for s in want)
