@@ -92,6 +92,8 @@ def displayed(table: DataFrame, columns: Sequence[str] = ("value",)) -> DataFram
 POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 #: Parts whose sums are added by themselves before the parts are.
 SALTS = 32
+#: Profile nodes times subjects in one product, subjects whose weights and nodes whose sums a task keeps.
+CELLS, KEPT_SUBJECTS, HELD_GROUPS = 1_000_000, 4_096, 4_096
 
 
 def replicate_weights(subject, n_boot: int, seed: int = 0) -> np.ndarray:
@@ -112,21 +114,48 @@ def profiles_with_intervals(features: DataFrame, hues: DataFrame, n_boot: int =
     rows = features.join(hues, SUBJECT).where("value is not null and hue is not null").select(*keys, SUBJECT, "value")
 
     def sums(batches):
+        held, subjects, first = {}, {}, None
+
+        def add(pdf: pd.DataFrame) -> None:
+            subject, names = pd.factorize(pdf[SUBJECT])
+            grouped = pdf.groupby(keys, sort=False)
+            if len(pdf) > 1 and len(names) * grouped.ngroups > CELLS:
+                add(pdf.iloc[: len(pdf) // 2])
+                add(pdf.iloc[len(pdf) // 2 :])
+                return
+            for name in names:
+                if name not in subjects:
+                    if len(subjects) >= KEPT_SUBJECTS:
+                        subjects.clear()
+                    subjects[name] = replicate_weights(name, n_boot, seed)
+            weights = np.stack([subjects[name] if name in subjects else replicate_weights(name, n_boot, seed) for name in names], 1)
+            group, value, shape = grouped.ngroup().to_numpy(), pdf["value"].to_numpy(), (grouped.ngroups, len(names))
+            at = group * len(names) + subject
+            here, total = (np.bincount(at, v, shape[0] * shape[1]).reshape(shape) for v in (None, value))
+            w, wv = (weights @ m.T for m in (here.astype(float), total))  # replicates by groups
+            places = pdf[keys].to_numpy()[np.unique(group, return_index=True)[1]]
+            for i, key in enumerate(map(tuple, places)):
+                mine = held.setdefault(key, [0, 0.0, 0.0, 0.0])
+                for j, x in enumerate((int(here[i].sum()), float(total[i].sum()), w[:, i], wv[:, i])):
+                    mine[j] = mine[j] + x
+
+        def given() -> pd.DataFrame:
+            out = pd.DataFrame(list(held), columns=keys)
+            for j, c in enumerate(("n", "total", "w", "wv")):
+                out[c] = [x[j] for x in held.values()]
+            out.insert(len(keys), "salt", zlib.crc32(str(first).encode()) % SALTS)
+            held.clear()
+            return out
+
         for pdf in batches:
             if pdf.empty:
                 continue
-            subject, names = pd.factorize(pdf[SUBJECT])
-            weights = np.stack([replicate_weights(s, n_boot, seed) for s in names])
-            grouped = pdf.groupby(keys, sort=True)
-            group, value = grouped.ngroup().to_numpy(), pdf["value"].to_numpy()
-            order = np.argsort(group, kind="stable")
-            first = np.flatnonzero(np.diff(group[order], prepend=-1))
-            w = weights[subject[order]]
-            out = grouped["value"].agg(["count", "sum"]).reset_index().rename(columns={"count": "n", "sum": "total"})
-            out["salt"] = zlib.crc32(str(names[0]).encode()) % SALTS
-            out["w"] = list(np.add.reduceat(w, first, axis=0))
-            out["wv"] = list(np.add.reduceat(w * value[order, None], first, axis=0))
-            yield out
+            first = pdf[SUBJECT].iloc[0] if first is None else first
+            add(pdf)
+            if len(held) > HELD_GROUPS:
+                yield given()
+        if held:
+            yield given()
 
     def added(names: list[str], finish):
         """Sums of consecutive rows that agree in ``names``; of each only the running sums are held."""

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions.series import fill_smooth
@@ -117,26 +117,29 @@ def interpolate(full: DataFrame, method: str = "linear", by: Sequence[str] = SER
     quadratic, polynomial of an ``order``, pchip and akima, which take a line where a series has too few
     values. ``limit`` leaves what is further than that many places from the value before unfilled.
     """
-    if method in SMOOTH:
-        found = _smooth(full, by, method, order)
-    else:
-        found = _along(full, by, method)
+    if limit is not None:
+        full = full.withColumn("__far", since(by))
+    found = _smooth(full, by, method, order) if method in SMOOTH else _along(full, by, method)
     if limit is None:
         return found
+    return found.withColumn("value", F.when(F.col("__far") <= limit, F.col("value"))).drop("__far")
+
+
+def since(by: Sequence[str] = SERIES) -> Column:
+    """How many places the last value of the series lies before a place, 0 at a value."""
     before = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    keys = [*by, "pos"]
-    near = full.select(*keys, (F.col("pos") - F.last(F.when(F.col("value").isNotNull(), F.col("pos")), True).over(before)).alias("__far"))
-    return found.join(near, keys).withColumn("value", F.when(F.col("__far") <= limit, F.col("value"))).select(*full.columns)
+    return F.col("pos") - F.last(F.when(F.col("value").isNotNull(), F.col("pos")), True).over(before)
 
 
 def _along(full: DataFrame, by: Sequence[str], method: str) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy("pos")
-    left, right = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    series = Window.partitionBy(*by)
+    # both frames grow: one that runs to the series' end would be computed anew at each place
+    left, right = (series.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("pos"), F.col("pos").desc()))
     known = F.when(F.col("value").isNotNull(), F.col("pos"))
     p0, v0 = F.last(known, True).over(left), F.last("value", True).over(left)
-    p1, v1 = F.first(known, True).over(right), F.first("value", True).over(right)
+    p1, v1 = F.last(known, True).over(right), F.last("value", True).over(right)
     inside = p0.isNotNull() & p1.isNotNull()
-    n0, n1 = F.last(F.when(F.col("value").isNotNull(), F.col(NODE)), True).over(left), F.first(F.when(F.col("value").isNotNull(), F.col(NODE)), True).over(right)
+    n0, n1 = F.last(F.when(F.col("value").isNotNull(), F.col(NODE)), True).over(left), F.last(F.when(F.col("value").isNotNull(), F.col(NODE)), True).over(right)
     filled = {
         "index": v0 + (v1 - v0) * F.try_divide(F.col(NODE) - n0, n1 - n0),
         "linear": v0 + (v1 - v0) * F.try_divide(F.col("pos") - p0, p1 - p0),

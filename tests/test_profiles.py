@@ -864,3 +864,29 @@ def test_penalty_path_from_sums(spark, monkeypatch):
     want = scores(path())
     assert len(got) == 12 and got.keys() == want.keys()
     assert all(math.isclose(got[s][0], want[s][0], abs_tol=1e-5) and got[s][1] == want[s][1] for s in want)
+
+
+def test_gaps_are_filled_by_growing_frames(spark):
+    """No frame runs to the end of its series, and a limit needs no join; values beyond the limit stay out."""
+    full = spark.createDataFrame([("s", "t", "m", 2 * i, i, v) for i, v in enumerate([None, 1.0, None, None, 4.0, None])], "subjectID string, tractID string, metric string, nodeID int, pos int, value double")
+    for limit, want in ((None, [None, 1, 2, 3, 4, None]), (1, [None, 1, 2, None, 4, None])):
+        out = reshape.interpolate(full, "index", limit=limit)
+        plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "unboundedfollowing" not in plan and "join" not in plan
+        assert [r["value"] for r in out.orderBy("pos").collect()] == want
+
+
+def test_replicates_of_many_small_products(spark, monkeypatch):
+    """Intervals from tasks' sums, cut into small products and given away early, are those of the weights."""
+    monkeypatch.setattr(profiles, "CELLS", 20)
+    monkeypatch.setattr(profiles, "HELD_GROUPS", 2)
+    monkeypatch.setattr(profiles, "KEPT_SUBJECTS", 3)
+    rows = [(f"s{i}", "m", "T", n, float((i * 7 + n) % 11)) for i in range(40) for n in range(5)]
+    df = spark.createDataFrame(rows, "subjectID string, metric string, tractID string, nodeID int, value double").repartition(3)
+    out = profiles.profiles_with_intervals(df, df.select("subjectID", F.lit("all").alias("hue")).distinct(), 60).collect()
+    weights = {s: profiles.replicate_weights(s, 60) for s in {r[0] for r in rows}}
+    assert len(out) == 5
+    for r in out:
+        mine = [(weights[s], v) for s, _, _, n, v in rows if n == r["nodeID"]]
+        means = sum(w * v for w, v in mine) / sum(w for w, _ in mine)
+        assert r["n"] == 40 and math.isclose(r["low"], np.percentile(means, 2.5)) and math.isclose(r["high"], np.percentile(means, 97.5))
